@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import mixing, packing, token_files
+from sessionloom.llm import mixing, neardup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,8 @@ def op8_packing(spark, folder):
 @query
 def op10_token_files(spark, folder):
     return token_files.token_round_trip(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op5_near_duplicates(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"))
