@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import mixing, neardup, packing, token_files
+from sessionloom.llm import licenses, mixing, neardup, packing, pii, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,13 @@ def op10_token_files(spark, folder):
 @query
 def op5_near_duplicates(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op1_licenses(spark, folder):
+    return licenses.scan_licenses(table(spark, folder, "documents")).drop("places")
+
+
+@query
+def op9_personal_data(spark, folder):
+    return pii.replace_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
