@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import licenses, mixing, neardup, packing, pii, token_files
+from sessionloom.llm import ann, embedding_dedup, licenses, mixing, neardup, packing, pii, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,14 @@ def op1_licenses(spark, folder):
 @query
 def op9_personal_data(spark, folder):
     return pii.replace_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_nearest(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return ann.nearest_neighbours(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query
+def op4_near_vectors(spark, folder):
+    return embedding_dedup.near_vectors(table(spark, folder, "embeddings"))
