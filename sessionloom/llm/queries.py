@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import ann, embedding_dedup, licenses, mixing, neardup, packing, pii, token_files
+from sessionloom.llm import ann, embedding_dedup, licenses, mixing, neardup, packing, pii, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,9 @@ def op3_nearest(spark, folder):
 @query
 def op4_near_vectors(spark, folder):
     return embedding_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op7_toxicity(spark, folder):
+    scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_terms")
