@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionloom.llm import ann, embedding_dedup, licenses, mixing, neardup, packing, pii, token_files, toxicity
+from sessionloom.llm import ann, embedding_dedup, licenses, mixing, neardup, packing, pii, quality, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +73,9 @@ def op4_near_vectors(spark, folder):
 def op7_toxicity(spark, folder):
     scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", "n_terms")
+
+
+@query
+def op6_quality(spark, folder):
+    scored = quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "quality_score", "text_score", "metadata_score", (F.col("quality_score") >= 0.5).alias("kept"))
