@@ -121,10 +121,12 @@ def mix_sources(
 def take_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed documents themselves: each as many times as it is taken, a last part cut to its words.
 
-    Rows are told apart by doc_id, which must not repeat here. Documents of
-    which nothing is taken are left out, those without words among them.
+    Decisions are joined by doc_id; rows that repeat one share the largest
+    decision. Documents of which nothing is taken are left out, those without
+    words or doc_id among them.
     """
-    mix = mix_sources(docs, seed=seed).where("taken > 0").select("doc_id", "size", "taken")
+    mix = mix_sources(docs, seed=seed).where("taken > 0").groupBy("doc_id")
+    mix = mix.agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
     copies = F.expr("sequence(1, cast((taken + size - 1) div size as int))")
     repeated = docs.join(mix, "doc_id").withColumn("nth", F.explode(copies))
     words = F.col("taken") - (F.col("nth") - 1) * F.col("size")

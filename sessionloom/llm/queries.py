@@ -79,3 +79,10 @@ def op7_toxicity(spark, folder):
 def op6_quality(spark, folder):
     scored = quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc_id", "quality_score", "text_score", "metadata_score", (F.col("quality_score") >= 0.5).alias("kept"))
+
+
+@query
+def pipeline(spark, folder):
+    import corpus_pipeline  # it takes its tables from this module
+
+    return corpus_pipeline.run(spark, folder)
