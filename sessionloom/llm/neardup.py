@@ -63,6 +63,43 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
+def links_across(rest: DataFrame, sets: DataFrame, percent: int, block: int = 50_000) -> DataFrame:
+    """Links between the components that share a bucket, as a spanning forest for each pair of blocks.
+
+    ``rest`` has (key, id, part, weight): the members of the buckets, their component so
+    far and the bucket's number of shingles. A bucket is cut into blocks of about
+    ``block`` shingles, and each pair of its blocks is compared on full sets
+    within a task, by counting common shingles for all their pairs at once.
+    """
+    pieces = F.ceil(F.col("weight") / block).cast("int")
+    dealt = rest.withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int")).join(sets, "id")
+    blocks = materialize(dealt.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "part", "items")).alias("rows")), "blocks")
+    one = blocks.select("key", F.col("piece").alias("piece_a"), F.col("rows").alias("a"))
+    other = blocks.select("key", F.col("piece").alias("piece_b"), F.col("rows").alias("b"))
+    pairs = one.join(other, "key").where("piece_a <= piece_b").repartition("key", "piece_a", "piece_b")
+
+    def compare(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                ids, parts, sizes, flat = zip(*(unpack(x.values) for x in (a, b)), strict=True)
+                common = shingles.common_counts(flat[0], sizes[0], flat[1], sizes[1])
+                union = sizes[0][:, None] + sizes[1] - common
+                i, j = np.nonzero((100 * common >= percent * union) & (parts[0][:, None] != parts[1]))
+                # of the links between the same two components one is enough
+                _, first = np.unique(np.stack([parts[0][i], parts[1][j]], axis=1), axis=0, return_index=True)
+                i, j = i[first], j[first]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[0][i]), pa.array(ids[1][j])], ["a", "b"])
+
+    return pairs.select("a", "b").mapInArrow(compare, "a long, b long")
+
+
+def unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, components, set sizes and all items of the rows of a block."""
+    items = rows.field("items")
+    sizes = np.diff(items.offsets.to_numpy())
+    return rows.field("id").to_numpy(), rows.field("part").to_numpy(), sizes.astype(np.int64), items.flatten().to_numpy()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
     """Group documents whose sets of ``size``-word shingles are similar to ``percent`` percent or more.
 
@@ -104,16 +141,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
         "key", "id", "n", "leader", F.coalesce("component", "id").alias("part")
     )
     labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    rest = materialize(labelled.join(mixed, "key"), "rest")
-    left = rest.select("key", F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("leader_n"))
-    across = (
-        rest.join(left, "key")
-        .where(f"part_a < part and a <> leader and id <> leader and {similar}")
-        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        .distinct()
-    )
-    more = confirmed(across, sets, percent)
+    mixed = labelled.groupBy("key").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"),
+        F.sum("n").alias("weight"),
+    )
+    # one of the buckets that hold the same members will do
+    mixed = mixed.where("low < high").groupBy("many", "sum").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
+    rest = labelled.join(mixed.select("key", "weight"), "key")
+    more = links_across(rest, sets, percent)
     parts = connected_components(links.union(more))
     return mapped.join(parts, mapped.rep == parts.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"),

@@ -142,3 +142,23 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def common_counts(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of two lists, whose items stand one set after the other."""
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(sizes_a), len(sizes_b)), np.float32)
+    sides = []
+    for items, sizes in ((a, sizes_a), (b, sizes_b)):
+        owner, at = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(both, items)
+        kept = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == items) if len(both) else np.zeros(len(items), bool)
+        sides.append((owner[kept], at[kept]))
+    for low in range(0, len(both), width):
+        held = []
+        for (owner, at), sizes in zip(sides, (sizes_a, sizes_b), strict=True):
+            inside = (at >= low) & (at < low + width)
+            dense = np.zeros((len(sizes), min(width, len(both) - low)), np.float32)
+            dense[owner[inside], at[inside] - low] = 1
+            held.append(dense)
+        out += held[0] @ held[1].T
+    return np.rint(out).astype(np.int64)
