@@ -120,7 +120,7 @@ def live_sessions(sessions: DataFrame, traces: DataFrame, now_us: int, gap_s: in
 
 def observe(sessions: DataFrame, now_us: int, gap_s: int) -> DataFrame:
     """Freshness, confidence, role, project attribution and provenance of live sessions."""
-    age = F.greatest(F.lit(0), F.lit(now_us) - F.col("last_us"))
+    age = F.when(F.col("last_us").isNotNull(), F.greatest(F.lit(0), F.lit(now_us) - F.col("last_us")))
     gap = (gap_s if gap_s > 0 else config.IDLE_GAP_S) * 1_000_000
     missing = F.col("last_us").isNull()
     freshness = F.when(missing, "unknown").when(age <= gap, "active").when(age <= config.stale_after(gap_s) * 1_000_000, "idle").otherwise("stale")

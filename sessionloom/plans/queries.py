@@ -363,7 +363,7 @@ def age_buckets(s, d):
 
 
 def _focus(s, d):
-    return rollups.project_focus(observed_of(s, d), NOW)
+    return rollups.project_focus(observed_of(s, d).persist(), NOW)
 
 
 @query
@@ -415,7 +415,10 @@ def _peak(s, d):
 
 
 def _risk(s, d):
-    return indicators.coordination_risk(_counts(s, d), observed_of(s, d), _focus(s, d), _workitems(s, d), _peak(s, d), GAP)
+    seen, counts = observed_of(s, d).persist(), _counts(s, d)  # read by every indicator
+    peaks = historic_peaks(s, d).where("kind = 'session'").select(F.concat("range", F.lit("_transcript_peak")).alias("source"), F.col("peak").alias("value"))
+    peak = indicators.load_peak(seen.agg(F.count("*").alias("value")), peaks)
+    return indicators.coordination_risk(counts, seen, rollups.project_focus(seen, NOW).persist(), rollups.candidate_workitems(seen), peak, GAP)
 
 
 @query
@@ -517,12 +520,12 @@ def project_sessions(s, d):
 
 @query
 def session_tree(s, d):
-    return views.tree_counts(views.session_tree(observed_of(s, d)))
+    return views.tree_counts(views.session_tree(observed_of(s, d).persist()))
 
 
 @query
 def session_tree_hidden(s, d):
-    return views.hidden_counts(views.session_tree(observed_of(s, d)), 3, 1, 2)
+    return views.hidden_counts(views.session_tree(observed_of(s, d).persist()).persist(), 3, 1, 2)
 
 
 @query
