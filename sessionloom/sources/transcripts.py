@@ -11,7 +11,8 @@ from sessionloom.functions import text as T
 def read_lines(spark: SparkSession, root: str, glob: str = "*.jsonl", since=None) -> DataFrame:
     """All non-blank lines of files below ``root``: path, line_no, value, mtime, size; optionally of files changed since a time.
 
-    line_no orders the lines of a file; it is taken before any shuffle.
+    line_no orders the lines of a file; it is taken before any shuffle. Spark lists no hidden folders on its own, so
+    ``root`` has to lead through them, as in ``/home/x/.codex/sessions``.
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
     lines = files.select(

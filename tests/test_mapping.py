@@ -1,0 +1,83 @@
+from sessionloom.operators import history, indicators, mapping, rollups, traces
+
+PROCESS = "pid long, tool string, command string, files array<struct<tool:string,path:string>>, hints array<string>"
+TRACE = "path string, tool string, session_id string, project string, project_source string, thread_source string, parent_thread_id string, role_hint_source string, independently_run boolean, first_us long, last_us long"
+T, R = "/w/.codex/sessions/trace.jsonl", "/w/.codex/sessions/rollout-2026-06-28T10-00-00-fallback-session.jsonl"
+NOW, S = 1_782_561_600_000_000, 1_000_000
+
+
+def trace(spark, *rows):
+    return spark.createDataFrame([(p, "codex", i, None, None, src, None, None, False, NOW - 3600 * S, NOW - age * S) for p, i, src, age in rows], TRACE)
+
+
+def process(spark, *rows):
+    return spark.createDataFrame([(pid, "codex", "", [("codex", f) for f in files], list(hints)) for pid, files, hints in rows], PROCESS)
+
+
+def flags(r):
+    return "".join(n[0] if getattr(r, n) else "-" for n in ("parsed_transcript_id", "command_hint", "fallback_session_id"))
+
+
+def test_three_processes_two_sessions(spark):
+    t = trace(spark, (T, "trace-session", None, 30))
+    p = process(spark, (101, [T], []), (102, [], ["trace-session"]), (103, [R], []))
+    live = {r.session_id: r for r in mapping.live_sessions(mapping.process_sessions(p, t), t, NOW, 90).collect()}
+    assert set(live) == {"trace-session", "fallback-session"}
+    assert flags(live["trace-session"]) == "pc-" and live["trace-session"].pids == [101, 102]
+    assert flags(live["fallback-session"]) == "--f" and live["fallback-session"].trace_path is None
+
+
+def test_hint_and_file_name_agree(spark):
+    found = mapping.process_sessions(process(spark, (1, [R], ["fallback-session"])), trace(spark)).collect()
+    assert [(r.session_id, flags(r), r.transcript_path) for r in found] == [("fallback-session", "-cf", True)]
+
+
+def test_parsed_id_beats_hint_and_drops_siblings(spark):
+    t = trace(spark, (T, "trace-session", None, 30))
+    p = process(spark, (1, [T, R], ["conflicting"]))
+    assert [(r.session_id, flags(r)) for r in mapping.process_sessions(p, t).collect()] == [("trace-session", "p--")]
+    assert "conflicting" in mapping.mapping_notes(p, t).first().note
+
+
+def test_hint_beats_file_name(spark):
+    p = process(spark, (1, [R], ["hint-session"]))
+    assert [(r.session_id, flags(r)) for r in mapping.process_sessions(p, trace(spark)).collect()] == [("hint-session", "-c-")]
+    assert "fallback-session" in mapping.mapping_notes(p, trace(spark)).first().note
+
+
+def test_transcript_only_sessions_are_recent_ones(spark):
+    t = trace(spark, (T, "new", "subagent", 30), (R, "old", None, 100_000))
+    found = mapping.observe(mapping.live_sessions(mapping.process_sessions(process(spark), t), t, NOW, 90), NOW, 90).collect()
+    assert [(r.session_id, r.freshness, r.role, r.role_confidence) for r in found] == [("new", "active", "subagent", "high")]
+
+
+def test_rollups_of_nothing(spark):
+    seen = mapping.observe(mapping.live_sessions(mapping.process_sessions(process(spark), trace(spark)), trace(spark), NOW, 90), NOW, 90)
+    assert [r.sessions for r in rollups.age_buckets(seen, NOW, 90).collect()] == [0] * 5
+    assert rollups.attention_basis(seen).first().basis == "session_count"
+    assert indicators.duplicate_overlap(seen).first().suspicion == 0
+    assert indicators.top_project(rollups.project_focus(seen, NOW)).first().top_project == ""
+
+
+def test_host_ancestors_end_at_cycles(spark):
+    p = spark.createDataFrame([(100, 1, "/Applications/Terminal.app/x"), (200, 100, "zsh"), (300, 301, "a"), (301, 300, "b")], "pid long, ppid long, command string")
+    assert {(r.pid, r.host_pid) for r in mapping.host_ancestors(p).collect()} == {(100, 100), (200, 100)}
+
+
+def test_last_project_of_strongest_source(spark):
+    lines = ['{"timestamp":"2026-06-28T12:00:00Z","project":"first","sessionId":"a"}', '{"timestamp":"2026-06-28T12:01:00Z","cwd":"/w/dir"}', '{"timestamp":"2026-06-28T12:01:00Z","project":"second"}', '{"parent_thread_id":"p","x":1}', "not json"]
+    rows = spark.createDataFrame([("/w/.codex/sessions/a.jsonl", "codex", i, v) for i, v in enumerate(lines)], "path string, tool string, line_no long, value string")
+    r = traces.fold_traces(rows).first()
+    assert (r.project, r.project_source, r.events, r.session_id, r.parent_thread_id, r.independently_run) == ("second", "transcript_project", 2, "a", "p", False)
+
+
+def test_history_counts_broken_and_old_lines(spark):
+    at = lambda d: f'{{"at":"2026-{d}T12:00:00Z","current":{{"pid_concurrency":4}},"projects":[{{"project":"a","attention_share_pct":60.0}}]}}'
+    lines = [at("06-27"), at("06-27"), at("05-01"), "{", '{"at":"yesterday"}', "", at("06-26") + " x"]
+    parsed = history.parse(spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "line_no long, value string"))
+    r = history.load_statistics(parsed, NOW).first()
+    assert (r.loaded, r.dropped, r.corrupt, r.retained) == (3, 1, 3, 1)
+    kept = history.retained(parsed, NOW)
+    assert history.growth(kept).first().samples == 1 and history.allocation(kept).first().average_share_pct == 60
+    assert history.in_range(kept, NOW, NOW - 1).count() == 0
+    assert {x.metric: x.value for x in history.peaks(kept).collect()}["pid_concurrency"] == 4
