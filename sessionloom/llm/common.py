@@ -42,6 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text, the only columns that most operators read."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for frame in frames:

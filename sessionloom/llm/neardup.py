@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import shingles
-from sessionloom.llm.common import connected_components, materialize
+from sessionloom.llm.common import connected_components, id_and_text, materialize
 
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
@@ -37,7 +37,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int = 5) -> DataFrame
                 columns = [batch.column(0)[at:to], pa.array(n), pa.array(fp[0]), pa.array(fp[1]), held]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, SKETCH)
+    return id_and_text(docs).mapInArrow(sketch, SKETCH)
 
 
 def full_sets(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -49,7 +49,7 @@ def full_sets(docs: DataFrame, size: int = 5) -> DataFrame:
                 found = shingles.lists(shingles.shingle_sets(data, starts, size))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], found], ["id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "id long, items array<long>")
+    return id_and_text(docs).mapInArrow(sets, "id long, items array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
