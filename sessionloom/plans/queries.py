@@ -158,7 +158,9 @@ def evidence_start(s, d):
 
 @query
 def transcript_trends(s, d):
-    return trends.transcript_trends(spans_of(s, d), bursts_of(s, d), _start(s, d), NOW)
+    spans, bursts = spans_of(s, d).persist(), bursts_of(s, d).persist()  # every range reads both
+    both = spans.select("start_us", "end_us").union(bursts.select("start_us", "end_us"))
+    return trends.transcript_trends(spans, bursts, trends.evidence_start(A.trace_events(s, d), both, NOW - 7 * DAY, NOW), NOW)
 
 
 @query
