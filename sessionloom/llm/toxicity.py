@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import crc_bucket, materialize
+from sessionloom.llm.common import crc_bucket, id_and_text, materialize
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: Letters of a longer word's opening that are a term too.
@@ -71,76 +71,57 @@ def vocabulary(rows: DataFrame, size: int, least_rows: int = 3, least_z: float =
     return [r.term for r in best.orderBy(F.desc("z"), "term").limit(size).collect()]
 
 
-def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[int, np.ndarray]:
-    """The number of documents, and of those that hold each term, over all documents."""
-    place = {t: i for i, t in enumerate(words)}
-
-    def count(batches):
-        for batch in batches:
-            total = np.zeros(len(words) + 1, np.int64)
-            for text in batch.column(0).to_pylist():
-                for t in place.keys() & set(terms(text)):
-                    total[place[t]] += 1
-            total[-1] = batch.num_rows
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["place", "n"])
-
-    counts = np.zeros(len(words) + 1, np.int64)
-    for r in docs.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        counts[r.place] = r.n  # one row a term
-    return int(counts[-1]), counts[:-1]
-
-
 class BlockMaxIndex:
     """Unit TF-IDF vectors of the examples as postings in blocks, each with its largest weight by term."""
 
-    def __init__(self, vectors: list[dict[int, float]], terms_in_all: int):
-        blocks = -(-len(vectors) // BLOCK)
-        self.size = len(vectors)
-        self.most = np.zeros((terms_in_all, max(1, blocks)), np.float32)
-        lists: list[list[list]] = [[] for _ in range(terms_in_all)]
-        for at, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                if not lists[term] or lists[term][-1][0] != at // BLOCK:
-                    lists[term].append([at // BLOCK, [], []])
-                lists[term][-1][1].append(at)
-                lists[term][-1][2].append(weight)
-                self.most[term, at // BLOCK] = max(self.most[term, at // BLOCK], np.nextafter(np.float32(weight), np.float32(2)))
-        self.postings = [{b: (np.array(ids), np.array(ws)) for b, ids, ws in one} for one in lists]
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of largest positive cosine, ties to the earlier one."""
-        held = list(vector)
-        bounds = np.array([vector[t] for t in held]) @ self.most[held]
-        order = np.argsort(-bounds, kind="stable")
-        ids, scores, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bounds[b] <= 0 or (len(ids) == k and bounds[b] + 1e-9 < worst):
-                break
-            sums = np.zeros(BLOCK)
-            for t in held:
-                if (one := self.postings[t].get(b)) is not None:
-                    sums[one[0] - b * BLOCK] += vector[t] * one[1]
-            if 0 <= without - b * BLOCK < BLOCK:
-                sums[without - b * BLOCK] = 0
-            found = np.flatnonzero(sums > 0)
-            ids, scores = np.concatenate([ids, found + b * BLOCK]), np.concatenate([scores, sums[found]])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            worst = scores[-1] if len(scores) else 0.0
-        return ids, np.minimum(scores, 1.0)
-
-
-def unit(counts: Counter, idf: np.ndarray) -> dict[int, float]:
-    raw = {t: (1 + np.log(n)) * idf[t] for t, n in counts.items()}
-    length = np.sqrt(sum(w * w for w in raw.values()))
-    return {t: w / length for t, w in raw.items()}
-
-
-def votes(cosines: np.ndarray, toxic: np.ndarray) -> float:
-    """Share of toxic neighbours, each weighted by the inverse of its distance."""
-    weight = 1 / (np.sqrt(np.maximum(2 - 2 * cosines, 0)) + 0.1)
-    return float((weight * toxic).sum() / weight.sum()) if len(cosines) else 0.0
+    def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, terms_in_all: int):
+        self.size, blocks = len(starts), -(-len(starts) // BLOCK)
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
+        self.blocks = np.zeros((blocks, terms_in_all, BLOCK))
+        self.blocks[owner // BLOCK, terms, owner % BLOCK] = weights
+        self.most = self.blocks.max(axis=2).T if blocks else np.zeros((terms_in_all, 0))
+
+    def nearest(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the ``k`` examples of largest cosine, ties to the earlier one; places with cosine 0 are empty.
+
+        A block is scored only for those queries whose bound on it beats their k-th best cosine so far.
+        """
+        n, lengths = len(starts), np.diff(np.append(starts, len(terms)))
+        ids, best = np.zeros((n, k), np.int64), np.zeros((n, k))
+        if not n or not len(self.blocks):
+            return ids, best
+        bounds = np.add.reduceat(self.most[terms] * weights[:, None], starts, axis=0) + 1e-9
+        for b in range(len(self.blocks)):
+            at = np.flatnonzero((bounds[:, b] > 2e-9) & (bounds[:, b] > best[:, -1]))
+            if not len(at):
+                continue
+            size = lengths[at]
+            begin = np.cumsum(size) - size
+            flat = np.repeat(starts[at] - begin, size) + np.arange(size.sum())
+            scores = np.add.reduceat(self.blocks[b][terms[flat]] * weights[flat, None], begin, axis=0)
+            if without is not None:
+                own = (without[at] // BLOCK == b) & (without[at] >= 0)
+                scores[own, without[at][own] % BLOCK] = 0
+            both = np.concatenate([best[at], scores], axis=1)
+            order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            names = np.concatenate([ids[at], np.broadcast_to(b * BLOCK + np.arange(BLOCK), scores.shape)], axis=1)
+            best[at], ids[at] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        return ids, np.minimum(best, 1.0)
+
+
+def unit_vectors(starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights (1 + log count) * idf of vectors that stand one after the other, each of length 1."""
+    raw = (1 + np.log(np.maximum(counts, 1))) * idf[terms]
+    if not len(raw):
+        return raw
+    length = np.sqrt(np.add.reduceat(raw * raw, starts))
+    return raw / np.repeat(length, np.diff(np.append(starts, len(terms))))
+
+
+def votes(cosines: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Share of toxic neighbours, each weighted by the inverse of its distance; 0 without neighbours."""
+    weight = np.where(cosines > 0, 1 / (np.sqrt(np.maximum(2 - 2 * cosines, 0)) + 0.1), 0)
+    return (weight * toxic).sum(1) / np.maximum(weight.sum(1), 1e-12)
 
 
 def logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -158,13 +139,13 @@ def logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: in
     return w
 
 
-def evidence(vote: float, hits: int, distinct: int) -> list[float]:
+def evidence(vote: np.ndarray, hits: np.ndarray, distinct: np.ndarray) -> np.ndarray:
     """What a score is calibrated from: the vote, and how much of the vocabulary the text holds."""
-    return [vote, vote * vote, np.log1p(hits), vote * np.log1p(hits), vote * distinct]
+    return np.stack([vote, vote * vote, np.log1p(hits), vote * np.log1p(hits), vote * distinct], axis=1)
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, folds: int = 5, fit_rows: int = 20_000, examples: int = 4_000, terms_kept: int = 4_096, k: int = 15, seed: int = 3
+    docs: DataFrame, labels: DataFrame, folds: int = 5, fit_rows: int = 20_000, examples: int = 4_000, terms_kept: int = 2_048, k: int = 15, seed: int = 3
 ) -> DataFrame:
     """Score every whole text for toxicity.
 
@@ -181,57 +162,61 @@ def score_toxicity(
     """
     rows = materialize(labelled(docs, labels, "toxic", crc_bucket(F.col("doc_id"), folds) != 0, fit_rows, seed), "labelled")
     words = vocabulary(rows, terms_kept)
-    n, frequency = document_frequencies(docs, words) if words else (1, np.zeros(0))
-    idf = np.log((1 + n) / (1 + frequency)) + 1
     place = {t: i for i, t in enumerate(words)}
 
-    def counted(text) -> Counter:
-        return Counter(place[t] for t in terms(text) if t in place)
-
     def reduce(batches):
         for batch in batches:
-            held = [counted(t) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([list(c.keys()) for c in held], pa.list_(pa.int32())), pa.array([list(c.values()) for c in held], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "label", "terms", "counts"])
-
-    reduced = rows.select("doc_id", "text", "label").mapInArrow(reduce, "doc_id long, label int, terms array<int>, counts array<int>")
-    reduced = materialize(reduced, "reduced")
-    bare = reduced.where("size(terms) = 0").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
+            held = [Counter(place[t] for t in terms(text) if t in place) for text in batch.column(1).to_pylist()]
+            kind = pa.list_(pa.int32())
+            columns = [pa.array([list(c.keys()) for c in held], kind), pa.array([list(c.values()) for c in held], kind)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "terms", "counts"])
+
+    # every text is read once; what it holds of the vocabulary is all that its score needs
+    reduced = materialize(id_and_text(docs).mapInArrow(reduce, "doc_id long, terms array<int>, counts array<int>"), "reduced")
+    n, frequency = reduced.count(), np.zeros(max(1, len(words)))
+    for r in reduced.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row a term
+        frequency[r.t] = r["count"]
+    idf = np.log((1 + n) / (1 + frequency)) + 1
+    known = reduced.join(F.broadcast(rows.select("doc_id", "label").distinct()), "doc_id")  # at most fit_rows ids
+    bare = known.where("size(terms) = 0").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     base = ((bare.toxic or 0) + 0.1) / (bare.n + 10) if words else 0.0
     order = F.xxhash64(F.lit(seed + 1), "doc_id")
-    known = reduced.where("size(terms) > 0").orderBy(order, "doc_id").limit(examples).collect()
-    vectors = [unit(Counter(dict(zip(r.terms, r.counts, strict=True))), idf) for r in known]
-    index = BlockMaxIndex(vectors, len(words))
+    known = known.where("size(terms) > 0").orderBy(order, "doc_id").limit(examples).collect()
+    sizes = np.array([len(r.terms) for r in known], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    flat, counts = (np.array([x for r in known for x in r[c]], np.int64) for c in ("terms", "counts"))
+    vectors = unit_vectors(starts, flat, counts, idf)
     toxic = np.array([r.label for r in known], float)
     ids = np.array([r.doc_id for r in known], np.int64)
-    features = []
-    for at, (r, vector) in enumerate(zip(known, vectors, strict=True)):
-        near, cosines = index.nearest(vector, k, without=at)
-        features.append(evidence(votes(cosines, toxic[near]), sum(r.counts), len(r.terms)))
-    weights = logistic(np.array(features), toxic) if 0 < toxic.sum() < len(toxic) else None
+    rate = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else base  # where the examples are of one label
+    weights = None
+    if 0 < toxic.sum() < len(toxic):
+        near, cosines = BlockMaxIndex(starts, flat, vectors, len(words)).nearest(starts, flat, vectors, k, np.arange(len(known)))
+        weights = logistic(evidence(votes(cosines, toxic[near]), np.add.reduceat(counts, starts), sizes), toxic)
 
     def score(batches):
+        index = BlockMaxIndex(starts, flat, vectors, len(words))
         for batch in batches:
-            scores, hits, found = [], [], []
-            for text in batch.column(1).to_pylist():
-                held = counted(text)
-                if not held or weights is None:
-                    scores.append(base)
-                    hits.append(0)
-                    found.append([])
-                    continue
-                near, cosines = index.nearest(unit(held, idf), k)
-                x = np.array(evidence(votes(cosines, toxic[near]), sum(held.values()), len(held)))
-                scores.append(float(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))))
-                hits.append(sum(held.values()))
-                found.append([{"doc_id": int(ids[i]), "cosine": float(c), "toxic": int(toxic[i])} for i, c in zip(near, cosines, strict=True)])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array(hits, pa.int64()), pa.array(found, kind)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "n_terms", "evidence"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(
-        score, "doc_id long, score double, n_terms long, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
-    )
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                size = np.diff(part.column(1).offsets.to_numpy())
+                own = part.column(1).flatten().to_numpy().astype(np.int64)
+                many = part.column(2).flatten().to_numpy().astype(np.int64)
+                scores, hits = np.full(len(size), base), np.zeros(len(size), np.int64)
+                found = [[] for _ in size]
+                full = np.flatnonzero(size)
+                if len(full):
+                    begin = np.cumsum(size[full]) - size[full]
+                    near, cosines = index.nearest(begin, own, unit_vectors(begin, own, many, idf), k)
+                    hits[full] = np.add.reduceat(many, begin)
+                    x = evidence(votes(cosines, toxic[near]), hits[full], size[full])
+                    scores[full] = rate if weights is None else 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+                    for row, i, c in zip(full.tolist(), near, cosines, strict=True):
+                        found[row] = [{"doc_id": int(ids[e]), "cosine": float(v), "toxic": int(toxic[e])} for e, v in zip(i, c, strict=True) if v > 0]
+                kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array(hits), pa.array(found, kind)], ["doc_id", "score", "n_terms", "evidence"])
+
+    scored = reduced.mapInArrow(score, "doc_id long, score double, n_terms long, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     return scored.select(
         "doc_id", (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_terms", "evidence",

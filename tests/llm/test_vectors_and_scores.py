@@ -6,7 +6,7 @@ from sessionloom.llm import ann, embedding_dedup, quality, toxicity
 from sessionloom.llm.common import connected_components
 
 ROW = "vec_id long, embedding array<float>, label int"
-ODD = [(None, [1.0, 0, 0, 0], 0), (9001, None, 0), (9002, [0.0] * 4, 0), (9003, [float("nan"), 1, 0, 0], 0), (9004, [None, 1.0, 0, 0], 0), (9005, [float("inf"), 0, 0, 0], 0)]
+ODD = [(None, [1.0, 0.0, 0.0, 0.0], 0), (9001, None, 0), (9002, [0.0] * 4, 0), (9003, [float("nan"), 1.0, 0.0, 0.0], 0), (9004, [None, 1.0, 0.0, 0.0], 0), (9005, [float("inf"), 0.0, 0.0, 0.0], 0)]
 
 
 def vectors(n, seed=0):
@@ -46,7 +46,7 @@ def test_nearest_neighbours(spark):
         assert list(zip(own.score, own.vec_id)) == sorted(zip(own.score, own.vec_id))
         hit, total = hit + len(set(order) & set(own.vec_id)), total + 10
     assert hit / total >= 0.9
-    few = spark.createDataFrame([(0, [1.0, 0, 0, 0], 0), (1, [1.0, 0, 0, 0], 0), (2, [0.0, 1, 0, 0], 0)], ROW)
+    few = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0], 0), (1, [1.0, 0.0, 0.0, 0.0], 0), (2, [0.0, 1.0, 0.0, 0.0], 0)], ROW)
     assert [(r.vec_id, r["rank"]) for r in ann.nearest_neighbours(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.nearest_neighbours(few.limit(0), few).count() == 0
 
