@@ -11,7 +11,7 @@ forest of the links it found, never the pairs themselves.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -47,54 +47,61 @@ def pivots(points: np.ndarray, count: int) -> np.ndarray:
     return points[chosen]
 
 
-class CoverTree:
-    """Nested nets of a block: per level the nodes' points, covering radii and parents; the last level is all points."""
-
-    def __init__(self, points: np.ndarray):
-        d = spans(points, points)
-        rows = np.arange(len(points))
-        self.points, self.levels = points, []
-        net = np.zeros(0, np.int64)  # point numbers of the level's nodes; those of the level above stay in it
-        above = np.zeros(len(points), np.int64)
-        for radius in (*LEVELS, 0.0):
-            if radius:
-                nodes = net.tolist()
-                covered = (d[:, net] <= radius).any(1) if len(net) else np.zeros(len(points), bool)
-                while not covered.all():
-                    first = int(covered.argmin())
-                    nodes.append(first)
-                    covered |= d[first] <= radius
-                new = np.array(nodes)
-            else:
-                new = rows
-            parent = above[new]
-            at = d[:, new].argmin(1) if radius else rows  # descendants keep to a child of their own node
-            if radius and len(net):
-                near = np.where(parent[None, :] == above[:, None], d[:, new], np.inf)
-                at = near.argmin(1)
-            reach = np.zeros(len(new))
-            np.maximum.at(reach, at, d[rows, new[at]])
-            self.levels.append((new, reach, parent))
-            net, above = new, at
-
-
-def linked(a: CoverTree, b: CoverTree, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of the two trees, each unordered pair once, with a cosine of ``least`` or more."""
-    eps = np.sqrt(2 - 2 * least) + 1e-6
+def tree_levels(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A cover tree of unit vectors: per level of nested nets the nodes' points, covering radii and parents; the last level is all points."""
+    near = points.astype(np.float32)
+    d = np.sqrt(np.maximum(2 - 2 * (near @ near.T), 0))
+    rows, levels = np.arange(len(points)), []
+    net = np.zeros(0, np.int64)  # point numbers of the level's nodes; those of the level above stay in it
+    above = np.zeros(len(points), np.int64)
+    for radius in LEVELS:
+        nodes = net.tolist()
+        open_ = (d[:, net] > radius).all(1) if len(net) else np.ones(len(points), bool)
+        while open_.any():
+            first = int(open_.argmax())
+            nodes.append(first)
+            open_ &= d[first] > radius
+        new = np.array(nodes)
+        parent = above[new]
+        # a point goes to the nearest child of the node that it belongs to
+        at = d[:, new].argmin(1) if not levels else np.where(parent == above[:, None], d[:, new], np.float32(9)).argmin(1)
+        reach = np.zeros(len(new), np.float32)
+        np.maximum.at(reach, at, d[rows, new[at]])
+        levels.append((new, reach, parent))
+        net, above = new, at
+    return [*levels, (rows, np.zeros(len(rows), np.float32), above)]
+
+
+def linked(a: np.ndarray, tree_a: list, b: np.ndarray, tree_b: list, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points of two trees, each unordered pair once, with a cosine of ``least`` or more.
+
+    Node pairs further apart than their covering radii and the links' length
+    allow are pruned, with room for single precision; what is left of the
+    points is compared in double precision.
+    """
+    eps = np.float32(np.sqrt(2 - 2 * least) + 1e-3)
+    rows = cols = np.zeros(1, np.int64)
     live = np.ones((1, 1), bool)
-    for (na, ra, pa_), (nb, rb, pb) in zip(a.levels, b.levels, strict=True):
-        if live.shape == (1, 1):
-            pa_, pb = np.zeros_like(pa_), np.zeros_like(pb)
-        rows = np.flatnonzero(live.any(1)[pa_])
-        cols = np.flatnonzero(live.any(0)[pb])
-        below = np.zeros((len(na), len(nb)), bool)
-        if not len(rows) or not len(cols):
+    a32, b32 = a.astype(np.float32), b.astype(np.float32)
+    for (na, ra, up_a), (nb, rb, up_b) in zip(tree_a, tree_b, strict=True):
+        sides = []
+        for kept, up in ((rows, up_a), (cols, up_b)):
+            place = np.full(int(up.max()) + 1 if len(up) else 1, -1)
+            place[kept[kept < len(place)]] = np.flatnonzero(kept < len(place))
+            own = place[up]
+            sides.append((np.flatnonzero(own >= 0), own[own >= 0]))
+        (rows, from_a), (cols, from_b) = sides
+        far = np.minimum(ra[rows][:, None] + rb[cols] + eps, np.float32(2.01))
+        live = live[from_a][:, from_b] & (a32[na[rows]] @ b32[nb[cols]].T >= 1 - far * far / 2)
+        used, seen = live.any(1), live.any(0)
+        if not used.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        d = spans(a.points[na[rows]], b.points[nb[cols]])
-        below[np.ix_(rows, cols)] = live[pa_[rows]][:, pb[cols]] & (d <= ra[rows][:, None] + rb[cols] + eps)
-        live = below
-    i, j = np.nonzero(np.triu(live, 1) if same else live)
-    exact = (a.points[i] * b.points[j]).sum(1) >= least
+        rows, cols, live = rows[used], cols[seen], live[used][:, seen]
+    i, j = np.nonzero(live)
+    i, j = rows[i], cols[j]
+    if same:
+        i, j = i[i < j], j[i < j]
+    exact = np.concatenate([(a[i[k : k + 100_000]] * b[j[k : k + 100_000]]).sum(1) >= least for k in range(0, max(1, len(i)), 100_000)])
     return i[exact], j[exact]
 
 
@@ -154,22 +161,28 @@ def near_vectors(rows: DataFrame, least: float = 0.95, fit_rows: int = 4096, cel
 
     kinds = "cell long, home boolean, id long, copies long, embedding array<float>"
     dealt = materialize(unique.select("id", "copies", "embedding").mapInArrow(deal, kinds), "dealt")
-    blocks = materialize(in_blocks(dealt, ["cell", "home"], ["id", "copies", "embedding"], "id"), "blocks")
-    mine = blocks.where("home").select("cell", F.col("part").alias("part_a"), F.col("items").alias("a"))
-    other = blocks.select("cell", F.col("home").alias("home_b"), F.col("part").alias("part_b"), F.col("items").alias("b"))
+    gathered = in_blocks(dealt, ["cell", "home"], ["id", "copies", "embedding"], "id")
+
+    def build(batches):
+        for batch in batches:
+            trees = [pickle.dumps(tree_levels(units(matrix(x.values.field("embedding"))))) for x in batch.column("items")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees, pa.binary())], [*batch.schema.names, "tree"])
+
+    item = "array<struct<id:long,copies:long,embedding:array<float>>>"
+    built = gathered.select("cell", "home", "part", "items").mapInArrow(build, f"cell long, home boolean, part int, items {item}, tree binary")
+    blocks = materialize(built, "blocks")  # each block's tree is made once, however many blocks it meets
+    mine = blocks.where("home").select("cell", F.col("part").alias("part_a"), F.col("items").alias("a"), F.col("tree").alias("tree_a"))
+    other = blocks.select("cell", F.col("home").alias("home_b"), F.col("part").alias("part_b"), F.col("items").alias("b"), F.col("tree").alias("tree_b"))
     pairs = mine.join(other, "cell").where("not home_b or part_a <= part_b")
-    pairs = pairs.select("cell", "part_a", "home_b", "part_b", "a", "b").repartition(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "part_a", "home_b", "part_b"
-    )
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "part_a", "home_b", "part_b")
+    pairs = pairs.select((F.col("home_b") & (F.col("part_a") == F.col("part_b"))).alias("same"), "a", "tree_a", "b", "tree_b")
 
     def traverse(batches):
-        tree = lru_cache(maxsize=8)(lambda key: CoverTree(units(held[key])))
         for batch in batches:
-            for cell, part_a, home_b, part_b, a, b in zip(*(batch.column(k) for k in range(6)), strict=True):
-                a, b, same = a.values, b.values, home_b.as_py() and part_a == part_b
-                keys = (cell.as_py(), True, part_a.as_py()), (cell.as_py(), home_b.as_py(), part_b.as_py())
-                held = {keys[0]: matrix(a.field("embedding")), keys[1]: matrix(b.field("embedding"))}
-                i, j = linked(tree(keys[0]), tree(keys[1]), same, least)
+            for same, a, tree_a, b, tree_b in zip(*(batch.column(k) for k in range(5)), strict=True):
+                same, a, b = same.as_py(), a.values, b.values
+                points = [units(matrix(x.field("embedding"))) for x in (a, b)]
+                i, j = linked(points[0], pickle.loads(tree_a.as_py()), points[1], pickle.loads(tree_b.as_py()), same, least)
                 ids = np.concatenate([x.field("id").to_numpy() for x in (a, b)])
                 copies = np.concatenate([x.field("copies").to_numpy() for x in (a, b)])
                 j = j if same else j + len(a)
