@@ -117,6 +117,13 @@ def tuned_ratio(points: np.ndarray, graph: CentroidGraph, replicas: int, boundar
     return float(np.quantile(need / np.maximum(nearest, 1e-12)[:, None], aim)) + 1e-6
 
 
+def found_rows(best: dict[int, dict]) -> pa.RecordBatch:
+    rows = [(q, c, ids, x) for q, known in best.items() for c, (x, ids, _) in known.items()]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(columns, ["query_id", "class", "ids", "score"])
+
+
 def nearest_neighbours(
     rows: DataFrame, queries: DataFrame, k: int = 10, fit_rows: int = 8192, list_rows: int = 256, most_lists: int = 1024,
     replicas: int = 4, boundary: float = 1.1, aim: float = 0.985, seed: int = 11,
@@ -169,20 +176,26 @@ def nearest_neighbours(
     pairs = blocks.select("list", F.col("items").alias("block")).join(asks.select("list", F.col("items").alias("asks")), "list")
 
     def search(batches):
+        held, best = 0, {}  # what this task has found so far for each query
         for batch in batches:
             for block, asks in zip(batch.column(0), batch.column(1), strict=True):
                 block, asks = block.values, asks.values
                 these, own = matrix(block.field("embedding")), matrix(asks.field("embedding"))
-                d = distances(own, these)
+                names, ids, d = block.field("class").to_numpy(), block.field("ids"), distances(own, these)
                 most = min(k + 1, len(these))
                 near = np.argpartition(d, most - 1, axis=1)[:, :most]
-                at = np.repeat(np.arange(len(own)), most)
-                near = near.ravel()
-                exact = np.sqrt(((own[at] - these[near]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays(
-                    [asks.field("vec_id").take(pa.array(at)), block.field("class").take(pa.array(near)), block.field("ids").take(pa.array(near)), pa.array(exact)],
-                    ["query_id", "class", "ids", "score"],
-                )
+                for row, (query, places) in enumerate(zip(asks.field("vec_id").to_pylist(), near, strict=True)):
+                    exact = np.sqrt(((own[row] - these[places]) ** 2).sum(1))
+                    known = best.get(query, {})
+                    held -= len(known)
+                    known |= {int(names[at]): (float(x), at, ids) for x, at in zip(exact, places.tolist(), strict=True)}
+                    least = sorted(known.items(), key=lambda x: (x[1][0], x[0]))[: k + 1]
+                    best[query] = {c: (x, at if got is None else got[at].as_py(), None) for c, (x, at, got) in least}
+                    held += len(best[query])
+                if held > 500_000:
+                    yield found_rows(best)
+                    held, best = 0, {}
+        yield found_rows(best)
 
     found = pairs.select("block", "asks").mapInArrow(search, "query_id long, class long, ids array<long>, score double")
     by_query = Window.partitionBy("query_id")
