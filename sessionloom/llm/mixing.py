@@ -130,7 +130,8 @@ def take_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     copies = F.expr("sequence(1, cast((taken + size - 1) div size as int))")
     repeated = docs.join(mix, "doc_id").withColumn("nth", F.explode(copies))
     words = F.col("taken") - (F.col("nth") - 1) * F.col("size")
-    some = F.expr("regexp_extract(text, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){', cast(words as string), '}'), 0)")
+    led = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))  # words with the blanks before them
+    some = F.array_join(F.slice(led, F.lit(1), F.col("words").cast("int")), "")
     text = F.when(F.col("words") >= F.col("size"), F.col("text")).otherwise(some)
     out = repeated.withColumn("words", words).withColumn("text", text)
     if "n_chars" in docs.columns:
