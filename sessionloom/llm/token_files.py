@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import drop_tables, materialize, new_path
+from sessionloom.llm.common import drop_tables, id_and_text, materialize, new_path
 from sessionloom.llm.tokens import piece_encoder
 
 #: Byte counts of the four codes that a control byte describes.
@@ -25,21 +25,31 @@ COUNTS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)]
 def encode(codes: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit codes."""
     codes = np.asarray(codes, np.uint32)
-    extra = (codes > 0xFF).astype(np.uint8) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
+    most = int(codes.max()) if len(codes) else 0
+    extra = (codes > 0xFF).astype(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF):
+        if most > limit:
+            extra += codes > limit
     padded = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
     padded[: len(codes)] = extra
-    four = padded.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    used = np.arange(4) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), codes.astype("<u4").view(np.uint8).reshape(-1, 4)[used].tobytes()
+    control = padded[::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    width = 2 if most <= 0xFFFF else 4
+    used = np.empty((len(codes), width), bool)
+    for k in range(width):
+        used[:, k] = extra >= k
+    return control.tobytes(), codes.astype(f"<u{width}").view(np.uint8)[used.ravel()].tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` codes that ``encode`` wrote."""
-    counts = COUNTS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < counts[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").ravel()
+    counts = COUNTS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    width = 2 if n and counts.max() <= 2 else 4
+    used = np.empty((n, width), bool)
+    for k in range(width):
+        used[:, k] = counts > k
+    out = np.zeros(n * width, np.uint8)
+    out[used.ravel()] = np.frombuffer(data, np.uint8)
+    return out.view(f"<u{width}").astype(np.uint32)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -65,13 +75,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
                 ["doc_id", "ids", "width"],
             )
 
-    held = materialize(docs.select("doc_id", "text").mapInArrow(tokens, "doc_id long, ids binary, width int"), "ids")
+    held = materialize(id_and_text(docs).mapInArrow(tokens, "doc_id long, ids binary, width int"), "ids")
 
     def counts(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for width in {w for _, w in rows}:
+                found = np.bincount(np.frombuffer(b"".join(ids for ids, w in rows if w == width), f"<u{width}"))
                 total = np.pad(total, (0, max(0, len(found) - len(total))))
                 total[: len(found)] += found
         used = np.flatnonzero(total)
