@@ -197,8 +197,8 @@ def score_toxicity(
     def score(batches):
         index = BlockMaxIndex(starts, flat, vectors, len(words))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 size = np.diff(part.column(1).offsets.to_numpy())
                 own = part.column(1).flatten().to_numpy().astype(np.int64)
                 many = part.column(2).flatten().to_numpy().astype(np.int64)
