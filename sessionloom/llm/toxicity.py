@@ -1,17 +1,17 @@
 """Toxicity by the nearest labelled examples (operator 7).
 
-Terms are words and the openings of long words. Those that labelled toxic rows
-hold more often than chance allows make the vocabulary; their document
-frequencies are counted over all documents. Labelled examples stand in an inverted
-index whose postings lie in blocks with a largest weight for each term, so that
-blocks which can't hold one of the nearest examples are skipped and the nearest
-ones by TF-IDF cosine are still exact. Their votes, weighted by distance, are
-calibrated on the examples themselves, each left out in turn.
+Terms are words and the openings of long words. All terms of a text weigh in its
+TF-IDF vector, by document frequencies over all documents. Every labelled row of the sample,
+of both labels, stands in an inverted index; the nearest ones by cosine are exact.
+Their votes, weighted by distance, are calibrated on the examples themselves, each left
+out in turn, beside those of the nearest by the telling terms alone, which toxic rows hold
+more often than chance allows, and the count of these.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -24,8 +24,8 @@ from sessionloom.llm.common import crc_bucket, id_and_text, materialize
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: Letters of a longer word's opening that are a term too.
 OPENING = 5
-#: Examples in a block of postings.
-BLOCK = 64
+#: Share of the examples from which a term counts as common.
+COMMON = 1 / 12
 
 
 def terms(text: str | None) -> list[str]:
@@ -72,40 +72,48 @@ def vocabulary(rows: DataFrame, size: int, least_rows: int = 3, least_z: float =
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples as postings in blocks, each with its largest weight by term."""
+    """Unit TF-IDF vectors of the examples as postings by term; those of the most common terms as a table."""
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, terms_in_all: int):
-        self.size, blocks = len(starts), -(-len(starts) // BLOCK)
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
-        self.blocks = np.zeros((blocks, terms_in_all, BLOCK))
-        self.blocks[owner // BLOCK, terms, owner % BLOCK] = weights
-        self.most = self.blocks.max(axis=2).T if blocks else np.zeros((terms_in_all, 0))
+        self.size = len(starts)
+        order = np.argsort(terms, kind="stable")
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(np.append(starts, len(terms))))
+        self.owner, self.weights = owner[order], weights[order]
+        self.begin = np.searchsorted(terms[order], np.arange(terms_in_all + 1))
+        common = np.flatnonzero(np.diff(self.begin) > self.size * COMMON)
+        self.place = np.full(terms_in_all, -1)
+        self.place[common] = np.arange(len(common))
+        self.table = None
 
     def nearest(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the ``k`` examples of largest cosine, ties to the earlier one; places with cosine 0 are empty.
-
-        A block is scored only for those queries whose bound on it beats their k-th best cosine so far.
-        """
-        n, lengths = len(starts), np.diff(np.append(starts, len(terms)))
+        """For each query the ``k`` examples of largest cosine, ties to the earlier one; places with cosine 0 are empty."""
+        n = len(starts)
         ids, best = np.zeros((n, k), np.int64), np.zeros((n, k))
-        if not n or not len(self.blocks):
+        if not n or not self.size:
             return ids, best
-        bounds = np.add.reduceat(self.most[terms] * weights[:, None], starts, axis=0) + 1e-9
-        for b in range(len(self.blocks)):
-            at = np.flatnonzero((bounds[:, b] > 2e-9) & (bounds[:, b] > best[:, -1]))
-            if not len(at):
-                continue
-            size = lengths[at]
-            begin = np.cumsum(size) - size
-            flat = np.repeat(starts[at] - begin, size) + np.arange(size.sum())
-            scores = np.add.reduceat(self.blocks[b][terms[flat]] * weights[flat, None], begin, axis=0)
-            if without is not None:
-                own = (without[at] // BLOCK == b) & (without[at] >= 0)
-                scores[own, without[at][own] % BLOCK] = 0
-            both = np.concatenate([best[at], scores], axis=1)
-            order = np.argsort(-both, axis=1, kind="stable")[:, :k]
-            names = np.concatenate([ids[at], np.broadcast_to(b * BLOCK + np.arange(BLOCK), scores.shape)], axis=1)
-            best[at], ids[at] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        if self.table is None:  # made where it is used: it is larger than what it is made of
+            self.table = np.zeros((int(self.place.max(initial=-1)) + 1, self.size))
+            for t in np.flatnonzero(self.place >= 0):
+                at = slice(self.begin[t], self.begin[t + 1])
+                self.table[self.place[t], self.owner[at]] = self.weights[at]
+        lengths, place = np.diff(np.append(starts, len(terms))), self.place[terms]
+        common = place >= 0
+        queries = np.zeros((n, len(self.table)))
+        queries[np.repeat(np.arange(n), lengths)[common], place[common]] = weights[common]
+        scores = queries @ self.table
+        for i, (start, length) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
+            rare = np.arange(start, start + length)[~common[start : start + length]]
+            at = self.begin[terms[rare]]
+            size = self.begin[terms[rare] + 1] - at
+            if size.sum():
+                flat = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                scores[i] += np.bincount(self.owner[flat], self.weights[flat] * np.repeat(weights[rare], size), self.size)
+            if without is not None and without[i] >= 0:
+                scores[i, without[i]] = 0
+            kth = -np.partition(-scores[i], k - 1)[k - 1] if self.size > k else 0.0
+            found = np.flatnonzero((scores[i] >= kth - 1e-12) & (scores[i] > 0))
+            top = found[np.lexsort((found, -np.round(scores[i, found], 12)))[:k]]
+            ids[i, : len(top)], best[i, : len(top)] = top, scores[i, top]
         return ids, np.minimum(best, 1.0)
 
 
@@ -139,84 +147,195 @@ def logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: in
     return w
 
 
-def evidence(vote: np.ndarray, hits: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-    """What a score is calibrated from: the vote, and how much of the vocabulary the text holds."""
-    return np.stack([vote, vote * vote, np.log1p(hits), vote * np.log1p(hits), vote * distinct], axis=1)
+def evidence(vote: np.ndarray, telling: np.ndarray, hits: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """What a score is calibrated from: the vote, that by telling terms alone, and how many of those the text holds."""
+    return np.stack([vote, vote * vote, telling, telling * telling, np.log1p(hits), telling * np.log1p(hits), telling * distinct], axis=1)
+
+
+def only(which: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, terms and counts of vectors that stand one after the other, of the terms in ``which`` alone."""
+    some = which[terms]
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes)), terms[some], counts[some]
+
+
+def packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising terms by their differences, and counts, as planes of bytes: a fraction of the lists' size."""
+    both = np.concatenate([np.diff(terms, prepend=0), counts]).astype("<i4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, terms and counts of vectors, one after the other."""
+    sizes, terms, counts = np.zeros(len(rows), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, row in enumerate(rows):
+        both = np.ascontiguousarray(np.frombuffer(zlib.decompress(row), np.uint8).reshape(4, -1).T).view("<i4")[:, 0]
+        sizes[i] = n = len(both) // 2
+        terms.append(np.cumsum(both[:n], dtype=np.int64))
+        counts.append(both[n:].astype(np.int64))
+    return sizes, np.concatenate(terms), np.concatenate(counts)
+
+
+def counted(frame: DataFrame, names: pa.Array) -> DataFrame:
+    """The columns of ``frame`` but its last, text; its terms in ``names`` and their counts packed, and other terms and theirs."""
+    *kept, _ = frame.columns
+
+    def count(batches):
+        place = {t: i for i, t in enumerate(names.to_pylist())}
+        kinds = [pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                for text in part.column(len(kept)).to_pylist():
+                    own, other = {}, {}
+                    for term, n in Counter(terms(text)).items():
+                        if (found := place.get(term)) is None:
+                            other[term] = n
+                        else:
+                            own[found] = n
+                    held = np.array(sorted(own), np.int64)
+                    rows.append((packed(held, np.array([own[t] for t in held.tolist()], np.int64)), list(other), list(other.values())))
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], [*kept, "held", "others", "other_counts"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in frame.dtypes[:-1])
+    return frame.mapInArrow(count, kinds + ", held binary, others array<string>, other_counts array<int>")
+
+
+class Examples:
+    """The labelled vectors, packed as they are sent to the workers; each makes its indexes once."""
+
+    def __init__(self, held: list[bytes], idf: np.ndarray, telling: np.ndarray, toxic: np.ndarray):
+        self.held, self.idf, self.telling, self.toxic, self.made = held, idf, telling, toxic, None
+
+    def search(self, held: list[bytes], k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Nearest examples and their cosines; squared length, vote by telling terms, their places and number, of each vector."""
+        if self.made is None:
+            vectors = unpacked(self.held)
+            self.made = self.index(*vectors), self.index(*only(self.telling, *vectors))
+        sizes, terms, counts = unpacked(held)
+        ids, cosines = np.zeros((len(held), k), np.int64), np.zeros((len(held), k))
+        length, vote, hits = np.zeros(len(held)), np.zeros(len(held)), np.zeros(len(held), np.int64)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            begin = np.cumsum(sizes[full]) - sizes[full]
+            length[full] = np.add.reduceat(((1 + np.log(counts)) * self.idf[terms]) ** 2, begin)
+            ids[full], cosines[full] = self.made[0].nearest(begin, terms, unit_vectors(begin, terms, counts, self.idf), k, None if without is None else without[full])
+        distinct, terms, counts = only(self.telling, sizes, terms, counts)
+        full = np.flatnonzero(distinct)
+        if len(full):
+            begin = np.cumsum(distinct[full]) - distinct[full]
+            hits[full] = np.add.reduceat(counts, begin)
+            near, close = self.made[1].nearest(begin, terms, unit_vectors(begin, terms, counts, self.idf), k, None if without is None else without[full])
+            vote[full] = votes(close, self.toxic[near])
+        return ids, cosines, length, vote, hits, distinct
+
+    def index(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> BlockMaxIndex:
+        starts = np.cumsum(sizes) - sizes
+        return BlockMaxIndex(starts, terms, unit_vectors(starts[sizes > 0], terms, counts, self.idf), len(self.telling))
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, folds: int = 5, fit_rows: int = 20_000, examples: int = 4_000, terms_kept: int = 2_048, k: int = 15, seed: int = 3
+    docs: DataFrame, labels: DataFrame, folds: int = 5, fit_rows: int = 20_000, terms_kept: int = 4_096, k: int = 15, seed: int = 3
 ) -> DataFrame:
     """Score every whole text for toxicity.
 
     Rows whose crc32(doc_id as text) modulo ``folds`` is 0 are held out. Fitted
-    on at most ``fit_rows`` labelled rows of the others, of which at most
-    ``examples`` that hold a vocabulary term stand in the index. Returns doc_id,
-    held_out, score, predicted, n_terms (places of vocabulary terms), and the
+    on at most ``fit_rows`` labelled rows of the others, all of which stand in
+    the index. Returns doc_id, held_out, score, predicted, n_terms (places of
+    the ``terms_kept`` terms that toxic rows hold most above chance), and the
     evidence: doc_ids, cosines and labels of the nearest examples.
 
-    Null and empty texts and texts without vocabulary terms have no neighbours
-    and get the rate of toxic rows among labelled rows of that kind. Without
-    usable labels every score is 0. Repeated rows score alike; null doc_ids are
-    kept (crc32 of empty text); of repeated labels the larger counts; an empty table gives no rows.
+    Null and empty texts and texts that share no term with an example have no
+    neighbours and get the rate of toxic rows among labelled rows of that kind.
+    Without usable labels every score is 0. Repeated rows score alike; null doc_ids are
+    kept (crc32 of empty text); of repeated labels the larger counts, of texts of one
+    labelled doc_id the least; an empty table gives no rows.
     """
-    rows = materialize(labelled(docs, labels, "toxic", crc_bucket(F.col("doc_id"), folds) != 0, fit_rows, seed), "labelled")
-    words = vocabulary(rows, terms_kept)
-    place = {t: i for i, t in enumerate(words)}
+    spark = docs.sparkSession
+    rows = labelled(docs, labels, "toxic", crc_bucket(F.col("doc_id"), folds) != 0, fit_rows, seed)
+    rows = materialize(rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "label").agg(F.min("text").alias("text")), "labelled")
 
-    def reduce(batches):
+    def distinct_terms(batches):
         for batch in batches:
-            held = [Counter(place[t] for t in terms(text) if t in place) for text in batch.column(1).to_pylist()]
-            kind = pa.list_(pa.int32())
-            columns = [pa.array([list(c.keys()) for c in held], kind), pa.array([list(c.values()) for c in held], kind)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "terms", "counts"])
-
-    # every text is read once; what it holds of the vocabulary is all that its score needs
-    reduced = materialize(id_and_text(docs).mapInArrow(reduce, "doc_id long, terms array<int>, counts array<int>"), "reduced")
-    n, frequency = reduced.count(), np.zeros(max(1, len(words)))
-    for r in reduced.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row a term
-        frequency[r.t] = r["count"]
+            yield pa.RecordBatch.from_arrays([pa.array(set().union(*map(terms, batch.column(0).to_pylist())), pa.string())], ["term"])
+
+    # what the labelled sample holds is bounded by it; no other term can bring a neighbour
+    # common ones first, so that differences are small
+    names = rows.select("text").mapInArrow(distinct_terms, "term string").groupBy("term").count().toArrow()
+    names = names.sort_by([("count", "descending"), ("term", "ascending")]).column(0).combine_chunks()
+    telling = np.isin(names.to_numpy(zero_copy_only=False), vocabulary(rows, terms_kept))
+
+    # every text is read once
+    reduced = materialize(counted(id_and_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), names), "reduced")
+    n, frequency = reduced.count(), np.zeros(max(1, len(names)))
+
+    def documents(batches):
+        total = np.zeros(len(frequency), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                total += np.bincount(unpacked(batch.column(0).slice(at, 256).to_pylist())[1], minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["t", "n"])
+
+    of_term = reduced.select("held").mapInArrow(documents, "t long, n long").groupBy("t").agg(F.sum("n")).toArrow()  # one row a term of the sample
+    frequency[of_term.column(0).to_numpy()] = of_term.column(1).to_numpy()
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    known = reduced.join(F.broadcast(rows.select("doc_id", "label").distinct()), "doc_id")  # at most fit_rows ids
-    bare = known.where("size(terms) = 0").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
-    base = ((bare.toxic or 0) + 0.1) / (bare.n + 10) if words else 0.0
-    order = F.xxhash64(F.lit(seed + 1), "doc_id")
-    known = known.where("size(terms) > 0").orderBy(order, "doc_id").limit(examples).collect()
-    sizes = np.array([len(r.terms) for r in known], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    flat, counts = (np.array([x for r in known for x in r[c]], np.int64) for c in ("terms", "counts"))
-    vectors = unit_vectors(starts, flat, counts, idf)
-    toxic = np.array([r.label for r in known], float)
-    ids = np.array([r.doc_id for r in known], np.int64)
-    rate = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else base  # where the examples are of one label
-    weights = None
-    if 0 < toxic.sum() < len(toxic):
-        near, cosines = BlockMaxIndex(starts, flat, vectors, len(words)).nearest(starts, flat, vectors, k, np.arange(len(known)))
-        weights = logistic(evidence(votes(cosines, toxic[near]), np.add.reduceat(counts, starts), sizes), toxic)
 
-    def score(batches):
-        index = BlockMaxIndex(starts, flat, vectors, len(words))
+    # terms that no example holds count in a text's length alone
+    others = reduced.select("row", F.explode(F.arrays_zip("others", "other_counts")).alias("o")).select("row", F.col("o.others").alias("term"), F.col("o.other_counts").alias("n"))
+    weight = (1 + F.log("n")) * (F.log((F.lit(1.0) + n) / (1 + F.col("count"))) + 1)
+    rest = others.join(others.groupBy("term").count(), "term").groupBy("row").agg(F.sum(weight * weight).alias("rest"))
+
+    sample = counted(rows.select("doc_id", "label", "text"), names).select("doc_id", "label", "held").toArrow().sort_by("doc_id").combine_chunks()
+    ids, toxic = sample.column(0).to_numpy(), sample.column(1).to_numpy().astype(float)
+    if not len(ids):
+        none = reduced.selectExpr("doc_id", "0D as score", "0L as n_terms", "cast(array() as array<struct<doc_id:bigint,cosine:double,toxic:int>>) as evidence")
+        return none.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "score", F.lit(0).alias("predicted"), "n_terms", "evidence")
+    examples = spark.sparkContext.broadcast(Examples(sample.column(2).to_pylist(), idf, telling, toxic))
+    names_found = ["near", "cosines", "length", "vote", "hits", "distinct"]
+    kinds = "near array<long>, cosines array<double>, length double, vote double, hits long, distinct long"
+
+    def as_columns(near, cosines, *others):
+        return [pa.array(list(near), pa.list_(pa.int64())), pa.array(list(cosines), pa.list_(pa.float64())), *map(pa.array, others)]
+
+    def search(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                size = np.diff(part.column(1).offsets.to_numpy())
-                own = part.column(1).flatten().to_numpy().astype(np.int64)
-                many = part.column(2).flatten().to_numpy().astype(np.int64)
-                scores, hits = np.full(len(size), base), np.zeros(len(size), np.int64)
-                found = [[] for _ in size]
-                full = np.flatnonzero(size)
-                if len(full):
-                    begin = np.cumsum(size[full]) - size[full]
-                    near, cosines = index.nearest(begin, own, unit_vectors(begin, own, many, idf), k)
-                    hits[full] = np.add.reduceat(many, begin)
-                    x = evidence(votes(cosines, toxic[near]), hits[full], size[full])
-                    scores[full] = rate if weights is None else 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-                    for row, i, c in zip(full.tolist(), near, cosines, strict=True):
-                        found[row] = [{"doc_id": int(ids[e]), "cosine": float(v), "toxic": int(toxic[e])} for e, v in zip(i, c, strict=True) if v > 0]
-                kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array(hits), pa.array(found, kind)], ["doc_id", "score", "n_terms", "evidence"])
-
-    scored = reduced.mapInArrow(score, "doc_id long, score double, n_terms long, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *as_columns(*examples.value.search(part.column(2).to_pylist(), k))], ["row", "doc_id", *names_found])
+
+    def leave_out(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                own = batch.column(0).slice(at, 128)
+                found = examples.value.search([examples.value.held[i] for i in own.to_pylist()], k, own.to_numpy())
+                yield pa.RecordBatch.from_arrays([own, *as_columns(*found)], ["own", *names_found])
+
+    tried = spark.range(0, len(ids), 1, 48).mapInArrow(leave_out, "own long, " + kinds).toArrow().combine_chunks()
+    y = toxic[tried.column(0).to_numpy()]
+    near, cosines = (tried.column(i).combine_chunks().flatten().to_numpy().reshape(len(y), k) for i in (1, 2))
+    alone = cosines[:, 0] == 0
+    base = (y[alone].sum() + 0.1) / (alone.sum() + 10)
+    rate = (toxic.sum() + 0.5) / (len(toxic) + 1)  # where the examples are of one label
+    weights = None
+    if 0 < y[~alone].sum() < (~alone).sum():
+        x = evidence(votes(cosines, toxic[near]), *(tried.column(i).to_numpy() for i in (4, 5, 6)))
+        weights = logistic(x[~alone], y[~alone])
+
+    def score(batches):
+        for batch in batches:
+            near, cosines = (np.array(batch.column(i).to_pylist()).reshape(batch.num_rows, k) for i in (2, 3))
+            length, vote, hits, distinct, rest = (batch.column(i).to_numpy() for i in (4, 5, 6, 7, 8))
+            cosines = cosines * np.sqrt(length / np.maximum(length + rest, 1e-12))[:, None]
+            x = evidence(votes(cosines, toxic[near]), vote, hits, distinct)
+            scores = np.full(len(x), rate) if weights is None else 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+            scores[~(cosines > 0).any(1)] = base
+            found = [[{"doc_id": int(ids[e]), "cosine": float(v), "toxic": int(toxic[e])} for e, v in zip(i, c, strict=True) if v > 0] for i, c in zip(near, cosines, strict=True)]
+            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores), pa.array(hits), pa.array(found, kind)], ["doc_id", "score", "n_terms", "evidence"])
+
+    near = reduced.select("row", "doc_id", "held").mapInArrow(search, "row long, doc_id long, " + kinds).join(rest, "row", "left")
+    scored = near.select("row", "doc_id", *names_found, F.coalesce("rest", F.lit(0.0)).alias("rest")).mapInArrow(score, "doc_id long, score double, n_terms long, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     return scored.select(
         "doc_id", (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_terms", "evidence",

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -86,6 +87,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_weighs_all_terms(spark):
+    """Neighbours by exact cosine over all terms: rare toxic words, rows without a telling term and terms that no example holds count."""
+    docs, labels = corpus(spark)
+    rare = [(2000 + i, f"quoz{c} blent{c} vark{c} worda", "en", "s", 9, "") for i, c in enumerate("abcdefghij")]
+    rare += [(3000 + i, f"quoz{c} blent{c} vark{c} unheard{c}", "en", "s", 9, "") for i, c in enumerate("abcdefghij")]
+    docs = docs.union(spark.createDataFrame(rare, docs.schema))
+    labels = labels.union(spark.createDataFrame([(2000 + i, 1, 1) for i in range(10)], labels.schema))
+    found = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    texts = {r.doc_id: toxicity.terms(r.text) for r in docs.collect()}
+    df = Counter(t for r in docs.collect() for t in set(toxicity.terms(r.text)))
+    weigh = lambda d: {t: (1 + np.log(c)) * (np.log((1 + len(found)) / (1 + df[t])) + 1) for t, c in Counter(texts[d]).items()}
+    size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    used = [i for i in [*range(400), *range(2000, 2010)] if zlib.crc32(str(i).encode()) % 5]
+    for d in [3000, 3001, 7, 8, 1002, *(3000 + i - 2000 for i in used if i >= 2000)]:
+        own = weigh(d)
+        want = sorted((sum(x * own.get(t, 0) for t, x in v.items()) / size(v) / size(own) for v in map(weigh, used)), reverse=True)[:15]
+        assert np.allclose([e.cosine for e in found[d].evidence], [w for w in want if w > 0], atol=1e-9)
+    for i in used:
+        if i >= 2000:
+            assert found[i + 1000].evidence[0].doc_id == i and found[i + 1000].evidence[0].toxic == 1
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(5)
     dense = rng.random((300, 40)) * (rng.random((300, 40)) < 0.15)
