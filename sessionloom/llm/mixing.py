@@ -59,7 +59,7 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
 
 
 def mix_sources(
-    docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 7, cell_words: int = 10_000_000, blocks: int = 1 << 20
+    docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 7, cell_words: int = 10_000_000, blocks: int = 1 << 20, carried: tuple[str, ...] = ()
 ) -> DataFrame:
     """How many words the mix takes of each document.
 
@@ -72,11 +72,11 @@ def mix_sources(
     Null and blank texts have size 0 and nothing taken; a null source is a
     source of its own; repeated rows are separate documents, which share a place
     in the seeded order; a null doc_id has its own place in that order. An
-    empty table gives no rows. Further columns are ignored.
+    empty table gives no rows. Further columns are ignored but for those ``carried``.
     """
     spark = docs.sparkSession
     sized = materialize(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        docs.select("doc_id", "source", *carried, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         .withColumn("known", F.col("source").isNotNull())
         .withColumn("name", F.coalesce("source", F.lit(""))),
         "sized",
@@ -108,27 +108,26 @@ def mix_sources(
             passes, rest = divmod(words, r.cell_size) if r.cell_size else (0, 0)
             taken.append((r.known, r.name, r.shard, passes, rest))
     plan = spark.createDataFrame(taken, "known boolean, name string, shard int, passes long, rest long")
-    order = Window.partitionBy("known", "name", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
+    order = Window.partitionBy("known", "name", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size", *carried)
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return (
         dealt.withColumn("before", before)
         .join(plan, ["known", "name", "shard"])
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
+        .select("doc_id", "source", *carried, "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
     )
 
 
 def take_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed documents themselves: each as many times as it is taken, a last part cut to its words.
 
-    Decisions are joined by doc_id; rows that repeat one share the largest
-    decision. Documents of which nothing is taken are left out, those without
-    words or doc_id among them.
+    Each row has its own decision, whether its doc_id is null or repeated.
+    Documents of which nothing is taken are left out, those without words among them.
     """
-    mix = mix_sources(docs, seed=seed).where("taken > 0").groupBy("doc_id")
-    mix = mix.agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    numbered = materialize(docs.withColumn("mix_row", F.monotonically_increasing_id()), "numbered")
+    mix = mix_sources(numbered, seed=seed, carried=("mix_row",)).where("taken > 0").select("mix_row", "size", "taken")
     copies = F.expr("sequence(1, cast((taken + size - 1) div size as int))")
-    repeated = docs.join(mix, "doc_id").withColumn("nth", F.explode(copies))
+    repeated = numbered.join(mix, "mix_row").withColumn("nth", F.explode(copies))
     words = F.col("taken") - (F.col("nth") - 1) * F.col("size")
     led = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))  # words with the blanks before them
     some = F.array_join(F.slice(led, F.lit(1), F.col("words").cast("int")), "")

@@ -118,3 +118,15 @@ def test_mixing(spark):
     taken = mixing.take_mix(rows).toPandas()
     assert taken.columns.tolist() == rows.columns and taken.text.str.split().str.len().sum() == found.taken.sum()
     assert mixing.mix_sources(rows.limit(0)).count() == 0
+
+
+def test_mix_takes_rows_without_or_with_a_repeated_id(spark):
+    rows = [(None if i % 2 else i % 10, f"t{i} " * (1 + i % 7), "ab"[i % 3 == 0]) for i in range(90)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mix_sources(rows).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("target")).collect()
+    found = mixing.take_mix(rows)
+    words = {r.source: r.n for r in found.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert words == {r.source: r.n for r in mix} and all(abs(r.n - r.target) <= 2 for r in mix)
+    texts = {(r.doc_id, r.source, r.text.split()[0]): len(r.text.split()) for r in rows.collect()}
+    assert all(len(r.text.split()) <= texts[r.doc_id, r.source, r.text.split()[0]] for r in found.collect())
+    assert not found.where("doc_id is null").isEmpty()
