@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,14 @@ _own_folder: list[str] = []
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    On a cluster it is ``spark.checkpoint.dir``; only where that is unset
-    (a single machine, as in tests) does it fall back to a folder of its own.
+    On a cluster it is ``spark.checkpoint.dir``; only where that is unset on a
+    single machine, as in tests, does it fall back to a folder of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-loom-"))
     return _own_folder[0]

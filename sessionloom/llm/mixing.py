@@ -2,7 +2,9 @@
 
 Equal-word blocks go to the sources with the highest quotients, then within a
 source to its shards; a shard takes as many whole passes over its documents as
-its quota holds and the rest from its documents in a seeded order.
+its quota holds and the rest from its documents in a seeded order. That order is
+one of keys drawn from the rows themselves, so a shard's decision is a single key
+up to which rows are taken once more, and no text moves.
 """
 
 from __future__ import annotations
@@ -10,29 +12,32 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import materialize
 
 #: A run of what is not an ASCII blank.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Tables of at most so many narrow rows are broadcast; larger ones are joined by shuffles.
+FEW = 100_000
 
 
 def target_words(sizes: list[int], cycle: tuple[float, ...] = (5, 2, 1), most: float = 3) -> list[float]:
     """Targets of sources in order: shares by the cycle's weights, none above ``most`` times its size."""
-    weights = [cycle[i % len(cycle)] for i in range(len(sizes))]
-    target, open_, rest = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        above = [i for i in open_ if rest * weights[i] / total > most * sizes[i]]
-        for i in above or open_:
-            target[i] = float(most * sizes[i]) if above else rest * weights[i] / total
-        if not above:
+    size = np.asarray(sizes, float)
+    weight = np.resize(np.asarray(cycle, float), len(size))
+    target, open_, rest = np.zeros(len(size)), np.ones(len(size), bool), float(sum(sizes))
+    while open_.any():
+        share = rest * weight / weight[open_].sum()
+        above = open_ & (share > most * size)
+        if not above.any():
+            target[open_] = share[open_]
             break
-        rest -= sum(target[i] for i in above)
-        open_ = [i for i in open_ if i not in set(above)]
-    return target
+        target[above] = most * size[above]
+        rest -= target[above].sum()
+        open_ &= ~above
+    return target.tolist()
 
 
 def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -42,12 +47,14 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
     held = np.zeros(len(weights), np.int64)
     if seats <= 0:
         return held
+    if len(weights) == 1:
+        return np.array([seats])
     rounded = lambda d: np.minimum(caps, np.floor(weights / d + 0.5).astype(np.int64))
     low, high = weights[weights > 0].min() / (2 * seats + 2), 2 * weights.sum() + 1  # a divisor with too many seats, one with none
     for _ in range(100):
         middle = (low * high) ** 0.5
         low, high = (middle, high) if rounded(middle).sum() > seats else (low, middle)
-    held = rounded(high)
+    held = rounded(high * (1 + 1e-9))  # none of those that tie at the divisor; the queue takes them in order
     queue = [(-w / (2 * h + 1), i) for i, (w, h, c) in enumerate(zip(weights, held, caps, strict=True)) if h < c and w > 0]
     heapq.heapify(queue)
     for _ in range(seats - int(held.sum())):
@@ -58,40 +65,51 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
     return held
 
 
-def mix_sources(
-    docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 7, cell_words: int = 10_000_000, blocks: int = 1 << 20, carried: tuple[str, ...] = ()
-) -> DataFrame:
-    """How many words the mix takes of each document.
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], many: int, spread: Column, salts: int = 32) -> DataFrame:
+    """Each of the rows with its row of ``table``, which has ``many`` rows and each key once.
 
-    Sources in order of code point, null last, weigh as ``cycle`` repeats.
-    Shards hold about ``cell_words`` words (at least 512 shards in all), a
-    block a ``blocks``-th of all words up to 1024. Only one row for each source
-    and shard comes to the driver. Returns ``doc_id, source, size, source_size,
-    target, taken`` for every row.
+    A table of FEW rows at most is broadcast. Beyond that both are shuffled by
+    key and salt, so that the rows of a frequent key are dealt to many tasks.
+    """
+    if many <= FEW:
+        return rows.join(F.broadcast(table), keys, "left")
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(spread, F.lit(salts)).cast("int")).join(salted.hint("merge"), [*keys, "salt"], "left").drop("salt")
 
-    Null and blank texts have size 0 and nothing taken; a null source is a
-    source of its own; repeated rows are separate documents, which share a place
-    in the seeded order; a null doc_id has its own place in that order. An
-    empty table gives no rows. Further columns are ignored but for those ``carried``.
+
+def keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """``row`` (all columns of a row), its size in words, its source and its key in the seeded order.
+
+    The key is drawn from doc_id and text, so equal rows share one.
+    """
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    drawn = F.md5(F.concat(F.lit(f"{seed}|"), said("doc_id"), F.lit("|"), said("text")).cast("binary"))
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("name"), drawn.alias("drawn"),
+    ).withColumns({"key": F.substring("drawn", 1, 16), "hash": F.conv(F.substring("drawn", 17, 8), 16, 10).cast("long")}).drop("drawn")
+
+
+def decided(rows: DataFrame, narrow: DataFrame, cycle: tuple[float, ...], most: int, cell_words: int, blocks: int) -> DataFrame:
+    """Add source_size, target and taken to ``rows``; the decisions come from ``narrow``, the same rows without their text.
+
+    The driver gets one row for each source and for each shard, sums only.
     """
-    spark = docs.sparkSession
-    sized = materialize(
-        docs.select("doc_id", "source", *carried, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-        .withColumn("known", F.col("source").isNotNull())
-        .withColumn("name", F.coalesce("source", F.lit(""))),
-        "sized",
-    )
-    found = sized.groupBy("known", "name").agg(F.sum("size").alias("size")).collect()
+    spark = rows.sparkSession
+    found = narrow.groupBy("known", "name").agg(F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: (not r.known, r.name))
-    sizes = [r.size for r in found]
+    sizes = [r["size"] for r in found]
     total, targets = sum(sizes), target_words(sizes, cycle, most)
     cell = max(1, total // max(512, total // cell_words))
     sources = [(r.known, r.name, s, t, -(-s // cell) or 1) for r, s, t in zip(found, sizes, targets, strict=True)]
-    kinds = "known boolean, name string, source_size long, target double, shards int"
-    dealt = sized.join(spark.createDataFrame(sources, kinds), ["known", "name"]).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int")
-    )
-    cells = dealt.groupBy("known", "name", "shard").agg(F.sum("size").alias("cell_size")).collect()
+    sources = spark.createDataFrame(sources, "known boolean, name string, source_size long, target double, shards long")
+    shard = (F.col("hash") % F.col("shards")).alias("shard")
+    in_source = lambda x: joined(x, sources, ["known", "name"], len(found), F.col("hash"))
+    # equal rows are one unit of the seeded order, counted on the map side
+    units = in_source(narrow.where("size > 0")).groupBy("known", "name", shard, "key", "size").agg(F.count("*").alias("rows"))
+    units = materialize(units, "units")
+    cells = units.groupBy("known", "name", "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("cell_size")).collect()
     cells.sort(key=lambda r: (not r.known, r.name, r.shard))
     block = min(1024, max(1, total // blocks))
     most_blocks = lambda n: [-(-most * x // block) for x in n]
@@ -101,38 +119,64 @@ def mix_sources(
         by_source.setdefault((r.known, r.name), []).append(r)
     taken = []
     for source, quota in zip(found, quotas, strict=True):
-        own = by_source[source.known, source.name]
+        own = by_source.get((source.known, source.name), [])
         each = [r.cell_size for r in own]
         for r, q in zip(own, sainte_lague(each, quota, most_blocks(each)), strict=True):
-            words = min(int(q) * block, most * r.cell_size)
-            passes, rest = divmod(words, r.cell_size) if r.cell_size else (0, 0)
-            taken.append((r.known, r.name, r.shard, passes, rest))
-    plan = spark.createDataFrame(taken, "known boolean, name string, shard int, passes long, rest long")
-    order = Window.partitionBy("known", "name", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size", *carried)
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return (
-        dealt.withColumn("before", before)
-        .join(plan, ["known", "name", "shard"])
-        .select("doc_id", "source", *carried, "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
-    )
-
-
-def take_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
+            taken.append((r.known, r.name, r.shard, *divmod(min(int(q) * block, most * r.cell_size), r.cell_size)))
+    plan = spark.createDataFrame(taken, "known boolean, name string, shard long, passes long, rest long")
+    order = Window.partitionBy("known", "name", "shard").orderBy("key", "size")
+    words = F.col("size") * F.col("rows")
+    before = F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - words
+    placed = joined(units.withColumn("before", before), plan, ["known", "name", "shard"], len(taken), F.xxhash64("key"))
+    edges = placed.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + words)).select(
+        "known", "name", "shard", "passes", F.col("key").alias("edge_key"), F.col("size").alias("edge_size"),
+        F.floor((F.col("rest") - F.col("before")) / F.col("rows")).cast("long").alias("edge_part"),
+    )
+    edges = materialize(edges, "edges")
+    out = joined(in_source(rows).withColumn("shard", shard), edges, ["known", "name", "shard"], len(taken), F.xxhash64("key"))
+    once_more = F.expr("case when key < edge_key or key = edge_key and size < edge_size then size when key = edge_key and size = edge_size then edge_part else 0 end")
+    return out.withColumn("taken", F.when(F.col("size") > 0, F.col("passes") * F.col("size") + once_more).otherwise(F.lit(0).cast("long")))
+
+
+def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 7, cell_words: int = 10_000_000, blocks: int = 1 << 20) -> DataFrame:
+    """How many words the mix takes of each document.
+
+    Sources in order of code point, null last, weigh as ``cycle`` repeats.
+    Shards hold about ``cell_words`` words (at least 512 shards in all), a
+    block a ``blocks``-th of all words up to 1024. Returns ``doc_id, source,
+    size, source_size, target, taken`` for every row.
+
+    Null and blank texts have size 0 and nothing taken; a null source is a
+    source of its own. Repeated rows (the same doc_id and text) share a place in
+    the seeded order and are taken alike, rounded down; rows that share only a
+    null or repeated doc_id have places of their own. Equal sizes go by
+    key. A text's length is not bounded: the last document that a shard takes is
+    taken in part. An empty table gives no rows. Further columns are ignored,
+    whatever their names.
+    """
+    rows = keyed(docs.select("doc_id", "text", "source"), seed)
+    narrow = materialize(rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size", "known", "name", "key", "hash"), "sized")
+    out = decided(narrow, narrow, cycle, most, cell_words, blocks)
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def take_mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 7, cell_words: int = 10_000_000, blocks: int = 1 << 20) -> DataFrame:
     """The mixed documents themselves: each as many times as it is taken, a last part cut to its words.
 
-    Each row has its own decision, whether its doc_id is null or repeated.
-    Documents of which nothing is taken are left out, those without words among them.
+    Decisions are those of ``mix_sources``, for each row by its key. Documents of
+    which nothing is taken are left out, those without words among them. All
+    columns pass through, whatever their names; ``n_chars``, where there is one,
+    is the new text's length. Nulls, ties, repeated rows, long texts and empty
+    tables are as there.
     """
-    numbered = materialize(docs.withColumn("mix_row", F.monotonically_increasing_id()), "numbered")
-    mix = mix_sources(numbered, seed=seed, carried=("mix_row",)).where("taken > 0").select("mix_row", "size", "taken")
-    copies = F.expr("sequence(1, cast((taken + size - 1) div size as int))")
-    repeated = numbered.join(mix, "mix_row").withColumn("nth", F.explode(copies))
+    rows = keyed(docs, seed)
+    narrow = materialize(rows.select("size", "known", "name", "key", "hash"), "sized")
+    mixed = decided(rows, narrow, cycle, most, cell_words, blocks).where("taken > 0")
+    mixed = mixed.withColumn("nth", F.explode(F.expr("sequence(1, cast((taken + size - 1) div size as int))")))
     words = F.col("taken") - (F.col("nth") - 1) * F.col("size")
-    led = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))  # words with the blanks before them
-    some = F.array_join(F.slice(led, F.lit(1), F.col("words").cast("int")), "")
-    text = F.when(F.col("words") >= F.col("size"), F.col("text")).otherwise(some)
-    out = repeated.withColumn("words", words).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    led = F.regexp_extract_all("row.text", F.lit("[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++"), F.lit(0))  # words with the blanks before them
+    some = F.array_join(F.slice(led, F.lit(1), words.cast("int")), "")
+    mixed = mixed.select("row", F.when(words >= F.col("size"), F.col("row.text")).otherwise(some).alias("text"))
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(kinds.get("n_chars", "long"))}
+    return mixed.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

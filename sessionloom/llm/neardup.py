@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import shingles
-from sessionloom.llm.common import connected_components, id_and_text, materialize
+from sessionloom.llm.common import connected_components, drop_tables, id_and_text, materialize
 
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
@@ -130,7 +130,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
     members = materialize(entries.join(shared, "key"), "members")
     ids = members.select("id").distinct()
     sets = materialize(
-        full_sets(docs.join(ids, docs.doc_id == ids.id, "left_semi"), size).dropDuplicates(["id"]), "sets"
+        # both sides are shuffled at any size: how many texts share a bucket is not bounded
+        full_sets(id_and_text(docs).join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi"), size).dropDuplicates(["id"]), "sets"
     )
     similar = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
     stars = members.where(f"id <> leader and {similar}").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -150,6 +151,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
     rest = labelled.join(mixed.select("key", "weight"), "key")
     more = links_across(rest, sets, percent)
     parts = connected_components(links.union(more))
+    drop_tables(docs.sparkSession, sketched, classes, members, sets, links, labelled)
     return mapped.join(parts, mapped.rep == parts.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "rep"), F.lit(True)).alias("kept"),

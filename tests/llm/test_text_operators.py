@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.llm import licenses, mixing, neardup, pii
@@ -130,3 +131,27 @@ def test_mix_takes_rows_without_or_with_a_repeated_id(spark):
     texts = {(r.doc_id, r.source, r.text.split()[0]): len(r.text.split()) for r in rows.collect()}
     assert all(len(r.text.split()) <= texts[r.doc_id, r.source, r.text.split()[0]] for r in found.collect())
     assert not found.where("doc_id is null").isEmpty()
+
+
+def test_mix_leaves_other_columns_alone(spark):
+    names = ["words", "nth", "size", "taken", "key", "row", "name", "salt", "passes", "shard"]
+    rows = spark.createDataFrame([(i, "w " * (i % 5), "ab"[i % 2], *[i * 10 + k for k in range(10)]) for i in range(40)], f"doc_id long, text string, source string, {', '.join(n + ' long' for n in names)}")
+    taken = mixing.take_mix(rows)
+    assert taken.columns == rows.columns and taken.count() >= 20
+    assert all(r[n] == r.doc_id * 10 + k for r in taken.collect() for k, n in enumerate(names))
+    assert mixing.mix_sources(rows).count() == 40 and mixing.take_mix(rows.limit(0)).count() == 0
+
+
+def test_mix_takes_repeated_rows_alike_and_parts_of_long_texts(spark):
+    rows = spark.createDataFrame([(1, "a b c", "s")] * 50 + [(2, "x " * 200_000, "t"), (3, None, "t"), (4, " \t", None)], "doc_id long, text string, source string")
+    found = mixing.mix_sources(rows).toPandas()
+    assert len(found) == 53 and found[found.doc_id == 1].taken.nunique() == 1
+    assert (found[found.doc_id == 1].taken == 9).all() and (found[found.doc_id >= 3].taken == 0).all()
+    assert found[found.doc_id == 2].taken.iloc[0] == pytest.approx(200_150 - 450, abs=50)
+
+
+def test_mix_joins_large_tables_of_sources_by_salted_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"w{i} " * (1 + i % 7), f"s{i % 30 if i % 3 else 0}") for i in range(300)], "doc_id long, text string, source string")
+    few = {r.doc_id: r.taken for r in mixing.mix_sources(rows).collect()}
+    monkeypatch.setattr(mixing, "FEW", 5)
+    assert {r.doc_id: r.taken for r in mixing.mix_sources(rows).collect()} == few
