@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm.common import materialize
+from sessionloom.llm.common import drop_tables, materialize
 from sessionloom.llm.mixing import take_mix
 from sessionloom.llm.neardup import near_duplicates
 from sessionloom.llm.packing import pack_documents
@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of repeated rows of one id, one."""
     groups = materialize(near_duplicates(docs).select("doc_id", "kept"), "groups")
-    kept = docs.join(groups.where("not kept"), "doc_id", "left_anti").select(*docs.columns)
+    # ids of copies grow with the corpus, so they are never broadcast
+    kept = docs.join(groups.where("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if twice.isEmpty():
         return kept
@@ -65,6 +66,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        done = materialize(stage(spark, docs, sf_dir), name)
+        if at:  # the stage before is read no more
+            drop_tables(spark, docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
