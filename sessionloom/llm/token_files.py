@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import drop_tables, id_and_text, materialize, new_path
-from sessionloom.llm.tokens import piece_encoder
+from sessionloom.llm.tokens import piece_encoder, runs
 
 #: Byte counts of the four codes that a control byte describes.
 COUNTS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -65,15 +65,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     spark = docs.sparkSession
 
     def tokens(batches):
-        encoder = piece_encoder(tokenizer, "word")
+        encoder = piece_encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [np.append(x, np.uint32(end_id)) for x in encoder.batches(texts)]
-            small = "<u2" if max((int(x.max()) for x in ids), default=0) < 1 << 16 else "<u4"
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.astype(small).tobytes() for x in ids], pa.binary()), pa.array([int(small[2])] * len(ids), pa.int32())],
-                ["doc_id", "ids", "width"],
-            )
+            for texts, at in runs(batch.column(1)):
+                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode_all(texts)]
+                small = "<u2" if max((int(x.max()) for x in ids), default=0) < 1 << 16 else "<u4"
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(ids)), pa.array([x.astype(small).tobytes() for x in ids], pa.binary()), pa.array([int(small[2])] * len(ids), pa.int32())],
+                    ["doc_id", "ids", "width"],
+                )
 
     held = materialize(id_and_text(docs).mapInArrow(tokens, "doc_id long, ids binary, width int"), "ids")
 

@@ -1,24 +1,26 @@
+import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sessionloom.llm import packing, token_files
+from sessionloom.llm import packing, token_files, tokens
 from sessionloom.llm.tokens import PieceEncoder, RankEncoder
 
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
-SOME = ["", "a  b", " a", "a ", "\n", "a\n\nb", "x\t \ty", "x.. y", " . y", "x. ", "x.\ny. z, a", "_. a", "it's 'S We'll\n\n  don't 123 45!?", "é ́ İ ΣAΣ <|endoftext|> x<|endoftext|>y", "a\x1cb\x85c　 e\0. f", "日本語 текст, да. Ok"]
+DATA = "/root/testdata/sf0.1"
+SOME = ["İx ŉ ſ ª²½ ÀÉ\xa0é", "\x01 a\x01 \x01", "", "a  b", " a", "a ", "\n", "a\n\nb", "x\t \ty", "x.. y", " . y", "x. ", "x.\ny. z, a", "_. a", "it's 'S We'll\n\n  don't 123 45!?", "é ́ İ ΣAΣ <|endoftext|> x<|endoftext|>y", "a\x1cb\x85c　 e\0. f", "日本語 текст, да. Ok"]
 TEXT = st.text(alphabet=st.sampled_from(list("abAÉß19.,'!_ \n\t\x1c\x85　яΣ\0")), max_size=40)
 DOCS = "doc_id long, text string, score string"
 
 
 def library(name):
-    t = tokenizers.Tokenizer.from_file(str(P.path(name)))
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(str(P.path(name)))
 
 
 @settings(max_examples=60, deadline=None)
@@ -26,16 +28,34 @@ def library(name):
 def test_ids_are_those_of_the_library(texts):
     texts = SOME + texts
     byte, word = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
-    global _r, _b, _w
+    global _r, _w
     try:
         _r
     except NameError:
-        _r, _b, _w = RankEncoder(str(P.path("byte_bpe_50k.json"))), PieceEncoder(str(P.path("byte_bpe_50k.json")), "byte"), PieceEncoder(str(P.path("word_bpe_49k.json")), "word")
-    for x, by, w, b in zip(texts, byte.encode_batch(texts, add_special_tokens=False), _w.batches(texts, 30), _b.batches(texts, 30), strict=True):
-        assert _r.encode(x).tolist() == b.tolist() == by.ids
+        _r, _w = RankEncoder(str(P.path("byte_bpe_50k.json"))), PieceEncoder(str(P.path("word_bpe_49k.json")))
+    for x, by, w in zip(texts, byte.encode_batch(texts, add_special_tokens=False), _w.encode_all(pa.array(texts)), strict=True):
+        assert _r.encode(x).tolist() == by.ids
         assert w.tolist() == word.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_ids_of_given_texts_are_those_of_the_library():
+    """All texts of 10,000 documents by the words' tokenizer and by the bytes' one."""
+    texts = [x or "" for x in pq.read_table(f"{DATA}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    byte, word = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+    rank, piece = RankEncoder(str(P.path("byte_bpe_50k.json"))), PieceEncoder(str(P.path("word_bpe_49k.json")))
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        for x, by, w, own in zip(some, byte.encode_batch_fast(some, add_special_tokens=False), word.encode_batch_fast(some, add_special_tokens=False), piece.encode_all(pa.array(some)), strict=True):
+            assert own.tolist() == w.ids and rank.encode(x).tolist() == by.ids
+
+
+def test_special_strings_are_the_librarys_tokens():
+    rank, piece = RankEncoder(str(P.path("byte_bpe_50k.json"))), PieceEncoder(str(P.path("word_bpe_49k.json")))
+    assert rank.encode("x<|endoftext|>y").tolist() == [87, 50256, 88]
+    assert 49407 in piece.encode_all(pa.array(["x<|endoftext|>y <|startoftext|>"]))[0].tolist()
+
+
 def rows(spark):
     texts = [*SOME, None, "word " * 5000, "word " * 700, "same", "same"]
     return spark.createDataFrame([(i % 18, t, "clash") for i, t in enumerate(texts)], DOCS), texts
@@ -85,3 +105,12 @@ def test_token_files(spark):
     crcs = [zlib.crc32(np.array(word.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for t in texts]
     assert sorted(found.ids_crc32) == sorted(crcs)
     assert token_files.token_round_trip(docs.limit(0), str(P.path("word_bpe_49k.json")), 2).count() == 0
+
+
+def test_the_cache_is_bounded_and_changes_nothing(monkeypatch):
+    texts = [f"common w{i} word{i % 7}, other!{i}" for i in range(400)]
+    want = [x.ids for x in library("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    encoder = PieceEncoder(str(P.path("word_bpe_49k.json")))
+    found = [x.tolist() for at in range(0, 400, 10) for x in encoder.encode_all(pa.array(texts[at : at + 10]))]
+    assert found == want and len(encoder.numbers) <= 50 + 40 and "common" in encoder.numbers
