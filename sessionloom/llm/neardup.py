@@ -130,8 +130,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
     members = materialize(entries.join(shared, "key"), "members")
     ids = members.select("id").distinct()
     sets = materialize(
-        # both sides are shuffled at any size: how many texts share a bucket is not bounded
-        full_sets(id_and_text(docs).join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi"), size).dropDuplicates(["id"]), "sets"
+        # both sides are shuffled at any size, as how many texts share a bucket is not bounded; texts aren't sorted
+        full_sets(id_and_text(docs).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi"), size).dropDuplicates(["id"]), "sets"
     )
     similar = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
     stars = members.where(f"id <> leader and {similar}").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
