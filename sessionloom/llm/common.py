@@ -50,6 +50,17 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def free_names(wanted: list[str], taken: list[str]) -> list[str]:
+    """Names for an operator's own columns: the wanted ones, with "_" after those that the input already has."""
+    held, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for frame in frames:

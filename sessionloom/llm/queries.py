@@ -55,7 +55,7 @@ def op1_licenses(spark, folder):
 
 @query
 def op9_personal_data(spark, folder):
-    return pii.replace_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+    return pii.replace_personal_data(table(spark, folder, "documents").select("doc_id", "text"), pii.surrogate_key(spark))
 
 
 @query
