@@ -8,12 +8,13 @@ shared folder and reads it back for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionloom.llm.common import drop_tables, materialize
 from sessionloom.llm.mixing import take_mix
 from sessionloom.llm.neardup import near_duplicates
 from sessionloom.llm.packing import pack_documents
-from sessionloom.llm.pii import replace_personal_data
+from sessionloom.llm.pii import replace_personal_data, surrogate_key
 from sessionloom.llm.quality import score_quality
 from sessionloom.llm.queries import table, tokenizer_file
 
@@ -26,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of repeated rows of one id, one."""
     groups = materialize(near_duplicates(docs).select("doc_id", "kept"), "groups")
-    # ids of copies grow with the corpus, so they are never broadcast
-    kept = docs.join(groups.where("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    # ids of copies grow with the corpus, so they are never broadcast; texts are shuffled but not sorted
+    kept = docs.join(groups.where("not kept").select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     twice = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if twice.isEmpty():
         return kept
@@ -37,10 +38,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data, and their new lengths."""
-    out = replace_personal_data(docs)
-    if "n_chars" in docs.columns:
-        out = out.selectExpr(*[f"if(n_entities > 0, cast(length(text) as {t}), n_chars) as n_chars" if c == "n_chars" else f"`{c}`" for c, t in docs.dtypes])
-    return out.select(*docs.columns)
+    out = replace_personal_data(docs, surrogate_key(spark))
+    places = out.columns[len(docs.columns)]
+    changed = lambda c, t: F.when(F.col(places) > 0, F.length("text").cast(t)).otherwise(F.col(c)) if c == "n_chars" else F.col(f"`{c}`")
+    return out.select(*[changed(c, t).alias(c) for c, t in docs.dtypes])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
