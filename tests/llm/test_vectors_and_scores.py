@@ -2,6 +2,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sessionloom.llm import ann, embedding_dedup, quality, toxicity
 from sessionloom.llm.common import connected_components
@@ -132,3 +134,48 @@ def test_quality(spark):
     assert found[3].score == "clash" and found[3].text is not None and found[1000].text is None
     assert {r.quality_score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {1.0}
     assert quality.score_quality(docs.limit(0), labels).count() == 0
+
+
+def test_text_features_against_a_plain_version():
+    texts = ["Aa b1 b1 c. c. c.", "", "x y x y x y é!\n", "one"]
+    odds = np.linspace(-1, 1, 2 * quality.BUCKETS).astype(np.float32)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = np.cumsum([0, *(len(t.encode()) for t in texts[:-1])])
+    found = quality.text_view(data, starts, odds)
+    for text, row in zip(texts, found, strict=True):
+        raw, words = text.encode(), text.lower().encode().split()
+        share = lambda f: sum(map(f, raw)) / max(1, len(raw))
+        assert row[0] == pytest.approx(share(lambda b: 65 <= b <= 90)) and row[3] == pytest.approx(share(lambda b: b >= 128))
+        assert row[7 + quality.MARKS.index(b".")] == pytest.approx(share(lambda b: b == 46))
+        at = quality.KINDS
+        seen = lambda items: sum(x in items[:i] for i, x in enumerate(items)) / max(1, len(items))
+        assert row[at] == pytest.approx(np.log1p(len(words))) and row[at + 3] == pytest.approx(seen(words))
+        assert row[at + 4] == pytest.approx(seen(list(zip(words, words[1:]))))
+        hashes = quality.shingles.words(np.frombuffer(raw, np.uint8), np.array([0]))[1]
+        own = odds[(hashes % np.uint64(quality.BUCKETS)).astype(int)]
+        assert row[-2] == pytest.approx(own.mean() if len(own) else 0, abs=1e-6)
+
+
+def test_quality_exchanges_sure_labels_over_all_rows(spark):
+    """Rounds against plain sums over all unlabelled rows at once."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    m = rng.integers(0, 5, (300, 1)) + np.array([[0, quality.SLOTS, 2 * quality.SLOTS]])
+    y = (x[:, 0] > 0).astype(float)
+    text, meta = quality.Text.fit(x[:100], y[:100]), quality.Metadata(quality.Metadata.count(m[:100], (m[:100, 0] > 2).astype(int)))
+    rows = spark.createDataFrame([(x[i].tolist(), m[i].tolist()) for i in range(100, 300)], "text array<float>, meta array<int>").repartition(3)
+    counted, sums, many = quality.exchange(rows, text, meta, 0.8)
+    p, q = quality.sigmoid(text.logit(x[100:])), quality.sigmoid(meta.logit(m[100:]))
+    sure, told = (p >= 0.8) | (p <= 0.2), (q >= 0.8) | (q <= 0.2)
+    assert sure.sum() and told.sum() == many
+    assert np.array_equal(counted, quality.Metadata.count(m[100:][sure], (p[sure] >= 0.8).astype(int)))
+    assert np.allclose(sums, text.sums(x[100:][told], (q[told] >= 0.8).astype(float)))
+
+
+def test_quality_of_clashing_names_long_texts_and_repeated_labels(spark):
+    docs, labels = corpus(spark)
+    named = docs.withColumnRenamed("score", "quality_score").withColumn("scores", F.lit(1)).union(spark.createDataFrame([(1, "w " * 500_000, "en", "s", 1, "mine", 1)] * 3, "doc_id long, text string, lang string, source string, n_chars long, q string, s int"))
+    scored = quality.score_quality(named, labels, fit_rows=300, rounds=1)
+    assert scored.columns == [*named.columns, "quality_score_", "text_score", "metadata_score"]
+    found = scored.where("doc_id = 1 and length(text) > 900000").collect()
+    assert len(found) == 3 and len({r.quality_score_ for r in found}) == 1 and found[0].quality_score == "mine"
