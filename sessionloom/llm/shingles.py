@@ -41,11 +41,15 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of each word of texts that stand in ``data`` from ``starts`` on."""
+def words(data: np.ndarray, starts: np.ndarray, gap: np.ndarray = BLANK, opening: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each word of texts that stand in ``data`` from ``starts`` on.
+
+    Words are parted by the bytes in ``gap``. With ``opening``, words of more
+    bytes than that are followed, at the end, by the hashes of their first so many bytes.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, U)
-    full = ~BLANK[data]
+    full = ~gap[data]
     first = full.copy()
     first[1:] &= ~full[:-1]
     inner = starts[(starts > 0) & (starts < len(data))]
@@ -58,7 +62,12 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     sums = np.cumsum((LOWER[data].astype(U) + U(1)) * power[: len(data)], dtype=U)
     before = np.where(begin > 0, sums[begin - 1], U(0))
     hashes = mix((sums[end] - before) * inverse[begin] + (end - begin).astype(U) * ODD[2])
-    return np.searchsorted(starts, begin, side="right") - 1, hashes
+    owner = np.searchsorted(starts, begin, side="right") - 1
+    if opening:
+        longer = np.flatnonzero(end - begin >= opening)
+        own = (sums[begin[longer] + opening - 1] - before[longer]) * inverse[begin[longer]]
+        return np.concatenate([owner, owner[longer]]), np.concatenate([hashes, mix(own + ODD[4])])
+    return owner, hashes
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int = 5) -> list[np.ndarray]:

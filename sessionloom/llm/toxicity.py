@@ -2,7 +2,7 @@
 
 Terms are words and the openings of long words. All terms of a text weigh in its
 TF-IDF vector, by document frequencies over all documents. Every labelled row of the sample,
-of both labels, stands in an inverted index; the nearest ones by cosine are exact.
+of both labels, stands in a block-max inverted index; the nearest ones by cosine are exact.
 Their votes, weighted by distance, are calibrated on the examples themselves, each left
 out in turn, beside those of the nearest by the telling terms alone, which toxic rows hold
 more often than chance allows, and the count of these.
@@ -10,28 +10,41 @@ more often than chance allows, and the count of these.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.llm import shingles
 from sessionloom.llm.common import crc_bucket, id_and_text, materialize
 
-WORDS = re.compile(r"[^\W\d_]+").findall
-#: Letters of a longer word's opening that are a term too.
+#: Words are runs of ASCII letters and bytes beyond ASCII.
+GAP = np.ones(256, bool)
+GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Bytes of a longer word's opening that are a term too.
 OPENING = 5
 #: Share of the examples from which a term counts as common.
 COMMON = 1 / 12
-
-
-def terms(text: str | None) -> list[str]:
-    """Lower-case words, and the openings of words longer than those."""
-    words = WORDS((text or "").lower())
-    return words + ["^" + w[:OPENING] for w in words if len(w) > OPENING]
+#: Examples in a block of the index.
+BLOCK = 128
+#: Terms that no example holds share so many buckets.
+OTHERS = 1 << 20
+#: Texts that are searched for at once.
+BATCH = 128
+
+
+def text_terms(column: pa.Array):
+    """(rows from, to, text number, hash, count) of the distinct terms of runs of whole texts, by text and hash."""
+    for at, to, data, starts in shingles.text_chunks(column):
+        text, hashes = shingles.words(data, starts, GAP, OPENING)
+        order = np.lexsort((hashes, text))
+        text, hashes = text[order], hashes[order]
+        first = np.ones(len(text), bool)
+        first[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+        places = np.flatnonzero(first)
+        yield at, to, text[places], hashes[places], np.diff(np.append(places, len(text)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, bound: int, seed: int) -> DataFrame:
@@ -42,88 +55,149 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, bound: int,
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``bound`` ids
 
 
-def vocabulary(rows: DataFrame, size: int, least_rows: int = 3, least_z: float = 3.0) -> list[str]:
-    """At most ``size`` terms that toxic rows hold more often than chance allows, by their z score."""
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, toxic, other): in how many rows of either label each hashed term stands."""
 
     def count(batches):
         for batch in batches:
-            held = [Counter(), Counter()]
-            n = [0, 0]
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[label].update(set(terms(text)))
-                n[label] += 1
-            names = list(held[1])
-            columns = [pa.array(["", *names]), pa.array([n[1], *(held[1][t] for t in names)]), pa.array([n[0], *(held[0][t] for t in names)])]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "other"])
-            only = [t for t in held[0] if t not in held[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(only, pa.string()), pa.array([0] * len(only), pa.int64()), pa.array([held[0][t] for t in only], pa.int64())], ["term", "toxic", "other"])
-
-    counted = rows.select("text", "label").mapInArrow(count, "term string, toxic long, other long")
-    counted = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counted = materialize(counted.where(f"term = '' or toxic >= {least_rows}"), "terms")
-    both = counted.where("term = ''").first()
-    if both is None or not both.toxic:
-        return []
-    rate = both.toxic / (both.toxic + both.other)
-    n = F.col("toxic") + F.col("other")
-    z = (F.col("toxic") - rate * n) / F.sqrt(rate * (1 - rate) * n + 1e-9)
-    best = counted.where("term <> ''").withColumn("z", z).where(F.col("z") > least_z)
-    return [r.term for r in best.orderBy(F.desc("z"), "term").limit(size).collect()]
+            labels = batch.column(1).to_numpy()
+            for at, to, text, hashes, _ in text_terms(batch.column(0)):
+                terms, place = np.unique(hashes, return_inverse=True)
+                toxic = np.bincount(place, labels[at:to][text], len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(toxic), pa.array(np.bincount(place, minlength=len(terms)) - toxic)], ["term", "toxic", "other"])
+
+    counted = rows.select("text", "label").mapInArrow(count, "term long, toxic long, other long")
+    return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def telling_terms(toxic: np.ndarray, other: np.ndarray, rows: np.ndarray, size: int, least_rows: int = 3, least_z: float = 3.0) -> np.ndarray:
+    """At most ``size`` terms that toxic rows hold more often than chance allows, by their z score, as a mask; ``rows`` has how many rows of each label there are."""
+    out, rate = np.zeros(len(toxic), bool), rows[1] / max(1, rows.sum())
+    n = toxic + other
+    z = (toxic - rate * n) / np.sqrt(rate * (1 - rate) * n + 1e-9)
+    z[toxic < least_rows] = 0
+    best = np.argsort(-z, kind="stable")[:size]
+    out[best[z[best] > least_z]] = True
+    return out
+
+
+class Terms:
+    """Numbers of terms: those of the examples, frequent ones first, then the buckets of all others."""
+
+    def __init__(self, hashes: np.ndarray, frequency: np.ndarray):
+        order = np.argsort(hashes)
+        rank = np.empty(len(hashes), np.int32)
+        rank[np.lexsort((hashes, -frequency))] = np.arange(len(hashes), dtype=np.int32)
+        self.sorted, self.rank = hashes[order], rank[order]
+        self.size = len(hashes)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.size + (hashes % np.uint64(OTHERS)).astype(np.int64)
+        if self.size:
+            at = np.minimum(np.searchsorted(self.sorted, hashes), self.size - 1)
+            found = self.sorted[at] == hashes
+            out[found] = self.rank[at[found]]
+        return out
+
+    def vectors(self, column: pa.Array):
+        """(rows from, to, sizes, terms, counts) of runs of texts; terms rise within a text, each once."""
+        for at, to, text, hashes, counts in text_terms(column):
+            key = text * (self.size + OTHERS) + self.numbers(hashes)
+            order = np.argsort(key)
+            key, counts = key[order], counts[order]
+            places = np.flatnonzero(np.diff(key, prepend=-1))
+            counts = np.add.reduceat(counts, places) if len(places) else counts
+            text, terms = np.divmod(key[places], self.size + OTHERS)
+            yield at, to, np.bincount(text, minlength=to - at), terms, counts
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples as postings by term; those of the most common terms as a table."""
-
-    def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, terms_in_all: int):
-        self.size = len(starts)
-        order = np.argsort(terms, kind="stable")
-        owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(np.append(starts, len(terms))))
-        self.owner, self.weights = owner[order], weights[order]
-        self.begin = np.searchsorted(terms[order], np.arange(terms_in_all + 1))
-        common = np.flatnonzero(np.diff(self.begin) > self.size * COMMON)
-        self.place = np.full(terms_in_all, -1)
+    """Unit TF-IDF vectors of examples: postings by rare term, and blocks of common terms with each block's largest weights.
+
+    A query adds up the postings of its rare terms. That and the largest weights
+    of its common terms bound what any example of a block can reach; blocks whose
+    bound is below the k-th best so far are skipped.
+    """
+
+    def __init__(self, size: int, frequency: np.ndarray, parts):
+        """``parts`` gives (first row, sizes, terms, weights) of runs of examples, any number of times; ``frequency`` in how many examples each term stands."""
+        self.size, self.blocks = size, -(-size // BLOCK)
+        common = np.flatnonzero(frequency > size * COMMON)
+        self.place = np.full(len(frequency), -1, np.int32)
         self.place[common] = np.arange(len(common))
-        self.table = None
-
-    def nearest(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the ``k`` examples of largest cosine, ties to the earlier one; places with cosine 0 are empty."""
-        n = len(starts)
+        own = np.where(self.place >= 0, 0, frequency)
+        self.begin = np.concatenate([[0], np.cumsum(own)])
+        kind = np.uint16 if size < 1 << 16 else np.uint32
+        self.owner, self.weights = np.zeros(self.begin[-1], kind), np.zeros(self.begin[-1])
+        self.table = np.zeros((self.blocks, len(common), BLOCK))
+        filled = self.begin[:-1].copy()
+        for first, sizes, terms, weights in parts:
+            row = first + np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(terms, kind="stable")
+            row, terms, weights = row[order], terms[order], weights[order]
+            rare = self.place[terms] < 0
+            at = row[~rare]
+            self.table[at // BLOCK, self.place[terms[~rare]], at % BLOCK] = weights[~rare]
+            row, terms, weights = row[rare], terms[rare], weights[rare]
+            group = np.flatnonzero(np.diff(terms, prepend=-1))
+            many = np.diff(np.append(group, len(terms)))
+            where = filled[terms] + np.arange(len(terms)) - np.repeat(group, many)
+            self.owner[where], self.weights[where] = row, weights
+            filled[terms[group]] += many
+        self.most = self.table.max(2).T if self.blocks else np.zeros((len(common), 0))
+
+    def nearest(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+        """For each query the ``k`` examples of largest cosine, ties to the earlier one, and the share of blocks that were scored; places with cosine 0 are empty.
+
+        Terms from the end of the index on, which no example holds, bring nothing.
+        """
+        n, width = len(sizes), self.blocks * BLOCK
         ids, best = np.zeros((n, k), np.int64), np.zeros((n, k))
         if not n or not self.size:
-            return ids, best
-        if self.table is None:  # made where it is used: it is larger than what it is made of
-            self.table = np.zeros((int(self.place.max(initial=-1)) + 1, self.size))
-            for t in np.flatnonzero(self.place >= 0):
-                at = slice(self.begin[t], self.begin[t + 1])
-                self.table[self.place[t], self.owner[at]] = self.weights[at]
-        lengths, place = np.diff(np.append(starts, len(terms))), self.place[terms]
-        common = place >= 0
-        queries = np.zeros((n, len(self.table)))
-        queries[np.repeat(np.arange(n), lengths)[common], place[common]] = weights[common]
-        scores = queries @ self.table
-        for i, (start, length) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
-            rare = np.arange(start, start + length)[~common[start : start + length]]
-            at = self.begin[terms[rare]]
-            size = self.begin[terms[rare] + 1] - at
-            if size.sum():
-                flat = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                scores[i] += np.bincount(self.owner[flat], self.weights[flat] * np.repeat(weights[rare], size), self.size)
-            if without is not None and without[i] >= 0:
-                scores[i, without[i]] = 0
-            kth = -np.partition(-scores[i], k - 1)[k - 1] if self.size > k else 0.0
-            found = np.flatnonzero((scores[i] >= kth - 1e-12) & (scores[i] > 0))
+            return ids, best, 0.0
+        owner = np.repeat(np.arange(n), sizes)
+        known = terms < len(self.place)
+        owner, terms, weights = owner[known], terms[known], weights[known]
+        place = self.place[terms]
+        queries = np.zeros((n, len(self.most)))
+        queries[owner[place >= 0], place[place >= 0]] = weights[place >= 0]
+        rare = place < 0
+        owner, terms, weights = owner[rare], terms[rare], weights[rare]
+        ends = np.searchsorted(owner, np.arange(n + 1))
+        scores = np.zeros((n, width))
+        begin, size = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
+        for i in range(n):
+            at, many = begin[ends[i] : ends[i + 1]], size[ends[i] : ends[i + 1]]
+            if many.sum():
+                flat = np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                scores[i] = np.bincount(self.owner[flat], self.weights[flat] * np.repeat(weights[ends[i] : ends[i + 1]], many), width)
+        if without is not None:
+            scores[np.arange(n), without] = -np.inf
+        blocks = scores.reshape(n, self.blocks, BLOCK)
+        bound = blocks.max(2) + queries @ self.most
+        least = lambda: -np.partition(-scores, k - 1, axis=1)[:, k - 1] if width > k else np.full(n, -np.inf)
+        open_ = np.zeros((n, self.blocks), bool)  # first the blocks that promise most, then what they leave
+        np.put_along_axis(open_, np.argpartition(-bound, min(3, self.blocks - 1), axis=1)[:, :4], True, 1)
+        done = np.zeros((n, self.blocks), bool)
+        for _ in range(2):
+            for b in np.flatnonzero(open_.any(0)):
+                asked = np.flatnonzero(open_[:, b])
+                blocks[asked, b] += queries[asked] @ self.table[b]
+            done |= open_
+            open_ = (bound >= np.maximum(least(), 0)[:, None] - 1e-12) & ~done
+        kth = np.maximum(least(), 0)
+        for i in range(n):
+            found = np.flatnonzero((scores[i] >= kth[i] - 1e-12) & (scores[i] > 0))
             top = found[np.lexsort((found, -np.round(scores[i, found], 12)))[:k]]
             ids[i, : len(top)], best[i, : len(top)] = top, scores[i, top]
-        return ids, np.minimum(best, 1.0)
+        return ids, np.minimum(best, 1.0), float(done.mean())
 
 
-def unit_vectors(starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def unit_vectors(sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Weights (1 + log count) * idf of vectors that stand one after the other, each of length 1."""
     raw = (1 + np.log(np.maximum(counts, 1))) * idf[terms]
-    if not len(raw):
-        return raw
-    length = np.sqrt(np.add.reduceat(raw * raw, starts))
-    return raw / np.repeat(length, np.diff(np.append(starts, len(terms))))
+    length = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), raw * raw, len(sizes)))
+    return raw / np.repeat(length, sizes)
 
 
 def votes(cosines: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -175,63 +249,43 @@ def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, np.concatenate(terms), np.concatenate(counts)
 
 
-def counted(frame: DataFrame, names: pa.Array) -> DataFrame:
-    """The columns of ``frame`` but its last, text; its terms in ``names`` and their counts packed, and other terms and theirs."""
-    *kept, _ = frame.columns
+class Examples:
+    """The labelled vectors, packed as they are sent to the workers; each makes its indexes once."""
 
-    def count(batches):
-        place = {t: i for i, t in enumerate(names.to_pylist())}
-        kinds = [pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for text in part.column(len(kept)).to_pylist():
-                    own, other = {}, {}
-                    for term, n in Counter(terms(text)).items():
-                        if (found := place.get(term)) is None:
-                            other[term] = n
-                        else:
-                            own[found] = n
-                    held = np.array(sorted(own), np.int64)
-                    rows.append((packed(held, np.array([own[t] for t in held.tolist()], np.int64)), list(other), list(other.values())))
-                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], [*kept, "held", "others", "other_counts"])
-
-    kinds = ", ".join(f"{c} {t}" for c, t in frame.dtypes[:-1])
-    return frame.mapInArrow(count, kinds + ", held binary, others array<string>, other_counts array<int>")
+    def __init__(self, held: list[bytes], terms: Terms, idf: np.ndarray, telling: np.ndarray, toxic: np.ndarray):
+        self.held, self.terms, self.idf, self.telling, self.toxic, self.made = held, terms, idf, telling, toxic, None
 
+    def index(self, which: np.ndarray | None) -> BlockMaxIndex:
+        frequency = np.zeros(self.terms.size, np.int64)
 
-class Examples:
-    """The labelled vectors, packed as they are sent to the workers; each makes its indexes once."""
+        def parts():
+            for at in range(0, len(self.held), 512):
+                sizes, terms, counts = unpacked(self.held[at : at + 512])
+                if which is not None:
+                    sizes, terms, counts = only(which, sizes, terms, counts)
+                yield at, sizes, terms, unit_vectors(sizes, terms, counts, self.idf)
 
-    def __init__(self, held: list[bytes], idf: np.ndarray, telling: np.ndarray, toxic: np.ndarray):
-        self.held, self.idf, self.telling, self.toxic, self.made = held, idf, telling, toxic, None
+        for _, _, terms, _ in parts():
+            frequency += np.bincount(terms, minlength=len(frequency))
+        return BlockMaxIndex(len(self.held), frequency, parts())
 
-    def search(self, held: list[bytes], k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """Nearest examples and their cosines; squared length, vote by telling terms, their places and number, of each vector."""
+    def search(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Nearest examples and their cosines; vote by telling terms, their places and number, of each vector."""
         if self.made is None:
-            vectors = unpacked(self.held)
-            self.made = self.index(*vectors), self.index(*only(self.telling, *vectors))
-        sizes, terms, counts = unpacked(held)
-        ids, cosines = np.zeros((len(held), k), np.int64), np.zeros((len(held), k))
-        length, vote, hits = np.zeros(len(held)), np.zeros(len(held)), np.zeros(len(held), np.int64)
-        full = np.flatnonzero(sizes)
-        if len(full):
-            begin = np.cumsum(sizes[full]) - sizes[full]
-            length[full] = np.add.reduceat(((1 + np.log(counts)) * self.idf[terms]) ** 2, begin)
-            ids[full], cosines[full] = self.made[0].nearest(begin, terms, unit_vectors(begin, terms, counts, self.idf), k, None if without is None else without[full])
+            self.made = self.index(None), self.index(self.telling)
+        ids, cosines, _ = self.made[0].nearest(sizes, terms, unit_vectors(sizes, terms, counts, self.idf), k, without)
         distinct, terms, counts = only(self.telling, sizes, terms, counts)
-        full = np.flatnonzero(distinct)
-        if len(full):
-            begin = np.cumsum(distinct[full]) - distinct[full]
-            hits[full] = np.add.reduceat(counts, begin)
-            near, close = self.made[1].nearest(begin, terms, unit_vectors(begin, terms, counts, self.idf), k, None if without is None else without[full])
-            vote[full] = votes(close, self.toxic[near])
-        return ids, cosines, length, vote, hits, distinct
+        hits = np.bincount(np.repeat(np.arange(len(sizes)), distinct), counts, len(sizes)).astype(np.int64)
+        near, close, _ = self.made[1].nearest(distinct, terms, unit_vectors(distinct, terms, counts, self.idf), k, without)
+        return ids, cosines, votes(close, self.toxic[near]), hits, distinct
 
-    def index(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> BlockMaxIndex:
-        starts = np.cumsum(sizes) - sizes
-        return BlockMaxIndex(starts, terms, unit_vectors(starts[sizes > 0], terms, counts, self.idf), len(self.telling))
+    def searched(self, column: pa.Array, k: int):
+        """search() for all texts of a column, BATCH at a time."""
+        for _, _, sizes, terms, counts in self.terms.vectors(column):
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for at in range(0, len(sizes), BATCH):
+                to = min(at + BATCH, len(sizes))
+                yield self.search(sizes[at:to], terms[ends[at] : ends[to]], counts[ends[at] : ends[to]], k)
 
 
 def score_toxicity(
@@ -245,73 +299,68 @@ def score_toxicity(
     the ``terms_kept`` terms that toxic rows hold most above chance), and the
     evidence: doc_ids, cosines and labels of the nearest examples.
 
+    Terms are known by 64-bit hashes. Those that no example holds count in a
+    text's length alone; they share buckets, each with the document frequency of all that fall there.
+
     Null and empty texts and texts that share no term with an example have no
     neighbours and get the rate of toxic rows among labelled rows of that kind.
+    Texts of any length are read whole. Equal cosines go to the smaller doc_id.
     Without usable labels every score is 0. Repeated rows score alike; null doc_ids are
     kept (crc32 of empty text); of repeated labels the larger counts, of texts of one
-    labelled doc_id the least; an empty table gives no rows.
+    labelled doc_id the least; an empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
     rows = labelled(docs, labels, "toxic", crc_bucket(F.col("doc_id"), folds) != 0, fit_rows, seed)
     rows = materialize(rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "label").agg(F.min("text").alias("text")), "labelled")
-
-    def distinct_terms(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(set().union(*map(terms, batch.column(0).to_pylist())), pa.string())], ["term"])
-
-    # what the labelled sample holds is bounded by it; no other term can bring a neighbour
-    # common ones first, so that differences are small
-    names = rows.select("text").mapInArrow(distinct_terms, "term string").groupBy("term").count().toArrow()
-    names = names.sort_by([("count", "descending"), ("term", "ascending")]).column(0).combine_chunks()
-    telling = np.isin(names.to_numpy(zero_copy_only=False), vocabulary(rows, terms_kept))
-
-    # every text is read once
-    reduced = materialize(counted(id_and_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), names), "reduced")
-    n, frequency = reduced.count(), np.zeros(max(1, len(names)))
+    read = id_and_text(docs)
+    held_out = (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out")
+    evidence_kind = "array<struct<doc_id:bigint,cosine:double,toxic:int>>"
+    of_label = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not of_label:
+        return read.select("doc_id", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_terms"), F.expr(f"cast(array() as {evidence_kind})").alias("evidence"))
+
+    counts = term_counts(rows).toArrow()  # one row a term of the sample, as of all that comes to the driver
+    hashes, in_toxic, in_other = counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy(), counts.column(2).to_numpy()
+    terms = Terms(hashes, in_toxic + in_other)
+    telling = np.zeros(terms.size + OTHERS, bool)
+    telling[terms.numbers(hashes)] = telling_terms(in_toxic, in_other, np.array([of_label.get(0, 0), of_label.get(1, 0)]), terms_kept)
+    shared = spark.sparkContext.broadcast(terms)
 
     def documents(batches):
-        total = np.zeros(len(frequency), np.int64)
+        total = np.zeros(shared.value.size + OTHERS + 1, np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                total += np.bincount(unpacked(batch.column(0).slice(at, 256).to_pylist())[1], minlength=len(total))
+            for at, to, _, found, _ in shared.value.vectors(batch.column(0)):
+                np.add.at(total, found, 1)
+                total[-1] += to - at
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["t", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], ["t", "n"])
 
-    of_term = reduced.select("held").mapInArrow(documents, "t long, n long").groupBy("t").agg(F.sum("n")).toArrow()  # one row a term of the sample
+    of_term = read.select("text").mapInArrow(documents, "t long, n long").groupBy("t").agg(F.sum("n")).toArrow()
+    frequency = np.zeros(terms.size + OTHERS + 1)
     frequency[of_term.column(0).to_numpy()] = of_term.column(1).to_numpy()
-    idf = np.log((1 + n) / (1 + frequency)) + 1
+    idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
 
-    # terms that no example holds count in a text's length alone
-    others = reduced.select("row", F.explode(F.arrays_zip("others", "other_counts")).alias("o")).select("row", F.col("o.others").alias("term"), F.col("o.other_counts").alias("n"))
-    weight = (1 + F.log("n")) * (F.log((F.lit(1.0) + n) / (1 + F.col("count"))) + 1)
-    rest = others.join(others.groupBy("term").count(), "term").groupBy("row").agg(F.sum(weight * weight).alias("rest"))
+    def pack(batches):
+        for batch in batches:
+            for at, to, sizes, found, n in shared.value.vectors(batch.column(2)):
+                cuts = np.cumsum(sizes)[:-1]
+                held = [packed(t, c) for t, c in zip(np.split(found, cuts), np.split(n, cuts), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns[:2], pa.array(held, pa.binary())], ["doc_id", "label", "held"])
 
-    sample = counted(rows.select("doc_id", "label", "text"), names).select("doc_id", "label", "held").toArrow().sort_by("doc_id").combine_chunks()
+    sample = rows.select("doc_id", "label", "text").mapInArrow(pack, "doc_id long, label int, held binary").toArrow().sort_by("doc_id").combine_chunks()
     ids, toxic = sample.column(0).to_numpy(), sample.column(1).to_numpy().astype(float)
-    if not len(ids):
-        none = reduced.selectExpr("doc_id", "0D as score", "0L as n_terms", "cast(array() as array<struct<doc_id:bigint,cosine:double,toxic:int>>) as evidence")
-        return none.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "score", F.lit(0).alias("predicted"), "n_terms", "evidence")
-    examples = spark.sparkContext.broadcast(Examples(sample.column(2).to_pylist(), idf, telling, toxic))
-    names_found = ["near", "cosines", "length", "vote", "hits", "distinct"]
-    kinds = "near array<long>, cosines array<double>, length double, vote double, hits long, distinct long"
-
-    def as_columns(near, cosines, *others):
-        return [pa.array(list(near), pa.list_(pa.int64())), pa.array(list(cosines), pa.list_(pa.float64())), *map(pa.array, others)]
-
-    def search(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *as_columns(*examples.value.search(part.column(2).to_pylist(), k))], ["row", "doc_id", *names_found])
+    examples = spark.sparkContext.broadcast(Examples(sample.column(2).to_pylist(), terms, idf, telling, toxic))
 
     def leave_out(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                own = batch.column(0).slice(at, 128)
-                found = examples.value.search([examples.value.held[i] for i in own.to_pylist()], k, own.to_numpy())
-                yield pa.RecordBatch.from_arrays([own, *as_columns(*found)], ["own", *names_found])
-
-    tried = spark.range(0, len(ids), 1, 48).mapInArrow(leave_out, "own long, " + kinds).toArrow().combine_chunks()
+            for at in range(0, batch.num_rows, BATCH):
+                own = batch.column(0).slice(at, BATCH)
+                near, cosines, *others = examples.value.search(*unpacked([examples.value.held[i] for i in own.to_pylist()]), k, own.to_numpy())
+                columns = [pa.array(list(near), pa.list_(pa.int64())), pa.array(list(cosines), pa.list_(pa.float64())), *map(pa.array, others)]
+                yield pa.RecordBatch.from_arrays([own, *columns], ["own", "near", "cosines", "vote", "hits", "distinct"])
+
+    kinds = "own long, near array<long>, cosines array<double>, vote double, hits long, distinct long"
+    tried = spark.range(0, len(ids), 1, 48).mapInArrow(leave_out, kinds).toArrow().combine_chunks()
     y = toxic[tried.column(0).to_numpy()]
     near, cosines = (tried.column(i).combine_chunks().flatten().to_numpy().reshape(len(y), k) for i in (1, 2))
     alone = cosines[:, 0] == 0
@@ -319,24 +368,23 @@ def score_toxicity(
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1)  # where the examples are of one label
     weights = None
     if 0 < y[~alone].sum() < (~alone).sum():
-        x = evidence(votes(cosines, toxic[near]), *(tried.column(i).to_numpy() for i in (4, 5, 6)))
+        x = evidence(votes(cosines, toxic[near]), *(tried.column(i).to_numpy() for i in (3, 4, 5)))
         weights = logistic(x[~alone], y[~alone])
 
     def score(batches):
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            near, cosines = (np.array(batch.column(i).to_pylist()).reshape(batch.num_rows, k) for i in (2, 3))
-            length, vote, hits, distinct, rest = (batch.column(i).to_numpy() for i in (4, 5, 6, 7, 8))
-            cosines = cosines * np.sqrt(length / np.maximum(length + rest, 1e-12))[:, None]
-            x = evidence(votes(cosines, toxic[near]), vote, hits, distinct)
-            scores = np.full(len(x), rate) if weights is None else 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            scores[~(cosines > 0).any(1)] = base
-            found = [[{"doc_id": int(ids[e]), "cosine": float(v), "toxic": int(toxic[e])} for e, v in zip(i, c, strict=True) if v > 0] for i, c in zip(near, cosines, strict=True)]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores), pa.array(hits), pa.array(found, kind)], ["doc_id", "score", "n_terms", "evidence"])
-
-    near = reduced.select("row", "doc_id", "held").mapInArrow(search, "row long, doc_id long, " + kinds).join(rest, "row", "left")
-    scored = near.select("row", "doc_id", *names_found, F.coalesce("rest", F.lit(0.0)).alias("rest")).mapInArrow(score, "doc_id long, score double, n_terms long, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
-    return scored.select(
-        "doc_id", (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_terms", "evidence",
-    )
+            done = 0
+            for near, cosines, vote, hits, distinct in examples.value.searched(batch.column(1), k):
+                x = evidence(votes(cosines, toxic[near]), vote, hits, distinct)
+                scores = np.full(len(x), rate) if weights is None else 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+                found = cosines > 0
+                scores[~found.any(1)] = base
+                near, sizes = near[found], found.sum(1)
+                items = pa.StructArray.from_arrays([pa.array(ids[near]), pa.array(cosines[found]), pa.array(toxic[near].astype(np.int32))], ["doc_id", "cosine", "toxic"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), items).cast(kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(x)), pa.array(scores), pa.array(hits), lists], ["doc_id", "score", "n_terms", "evidence"])
+                done += len(x)
+
+    scored = read.mapInArrow(score, f"doc_id long, score double, n_terms long, evidence {evidence_kind}")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_terms", "evidence")

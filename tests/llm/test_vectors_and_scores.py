@@ -1,7 +1,9 @@
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def plain_terms(text):
+    words = re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())
+    return words + [b"^" + w[:5] for w in words if len(w) > 5]
+
+
+def test_terms_are_those_of_the_text():
+    texts = ["Ab abcdef, abcdeg x1y ÉÉé", None, "", "a" * 9000 + " b"]
+    for (_, _, text, hashes, counts) in toxicity.text_terms(pa.array(texts)):
+        assert [sorted(counts[text == i].tolist()) for i in range(4)] == [sorted(Counter(plain_terms(t)).values()) for t in texts]
+        assert len(set(hashes.tolist())) == len({t for x in texts for t in plain_terms(x)})
+
+
 def test_toxicity_weighs_all_terms(spark):
     """Neighbours by exact cosine over all terms: rare toxic words, rows without a telling term and terms that no example holds count."""
     docs, labels = corpus(spark)
@@ -97,8 +111,8 @@ def test_toxicity_weighs_all_terms(spark):
     docs = docs.union(spark.createDataFrame(rare, docs.schema))
     labels = labels.union(spark.createDataFrame([(2000 + i, 1, 1) for i in range(10)], labels.schema))
     found = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
-    texts = {r.doc_id: toxicity.terms(r.text) for r in docs.collect()}
-    df = Counter(t for r in docs.collect() for t in set(toxicity.terms(r.text)))
+    texts = {r.doc_id: plain_terms(r.text) for r in docs.collect()}
+    df = Counter(t for r in docs.collect() for t in set(plain_terms(r.text)))
     weigh = lambda d: {t: (1 + np.log(c)) * (np.log((1 + len(found)) / (1 + df[t])) + 1) for t, c in Counter(texts[d]).items()}
     size = lambda v: np.sqrt(sum(x * x for x in v.values()))
     used = [i for i in [*range(400), *range(2000, 2010)] if zlib.crc32(str(i).encode()) % 5]
@@ -111,18 +125,27 @@ def test_toxicity_weighs_all_terms(spark):
             assert found[i + 1000].evidence[0].doc_id == i and found[i + 1000].evidence[0].toxic == 1
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
     rng = np.random.default_rng(5)
     dense = rng.random((300, 40)) * (rng.random((300, 40)) < 0.15)
     dense = dense[dense.any(1)]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     at, terms = np.nonzero(dense)
-    starts = np.searchsorted(at, np.arange(len(dense)))
-    ids, cosines = toxicity.BlockMaxIndex(starts, terms, dense[at, terms], 40).nearest(starts, terms, dense[at, terms], 7, np.arange(len(dense)))
+    sizes, weights = np.bincount(at, minlength=len(dense)), dense[at, terms]
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    index = toxicity.BlockMaxIndex(len(dense), np.bincount(terms, minlength=40), [(0, sizes, terms, weights)])
+    ids, cosines, _ = index.nearest(sizes, terms, weights, 7, np.arange(len(dense)))
     want = dense @ dense.T
     np.fill_diagonal(want, 0)
     assert np.allclose(cosines, -np.sort(-want, axis=1)[:, :7])
     assert np.allclose(np.take_along_axis(want, ids, 1)[cosines > 0], cosines[cosines > 0])
+    grouped = np.kron(np.eye(8), np.ones((16, 5))) + 0.01 * rng.random((128, 40))  # blocks that differ: most are skipped
+    grouped /= np.linalg.norm(grouped, axis=1, keepdims=True)
+    at, terms = np.nonzero(grouped)
+    sizes, weights = np.bincount(at), grouped[at, terms]
+    index = toxicity.BlockMaxIndex(128, np.bincount(terms), [(0, sizes[:70], terms[at < 70], weights[at < 70]), (70, sizes[70:], terms[at >= 70], weights[at >= 70])])
+    ids, cosines, scored = index.nearest(sizes, terms, weights, 5)
+    assert np.allclose(cosines, -np.sort(-(grouped @ grouped.T), axis=1)[:, :5]) and scored <= 0.5
 
 
 def test_quality(spark):
