@@ -21,7 +21,8 @@ from sessionloom.llm.queries import table, tokenizer_file
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are more likely good than not."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("quality_score >= 0.5").select(*docs.columns)
+    out = score_quality(docs, table(spark, sf_dir, "labels"))
+    return out.where(F.col(out.columns[len(docs.columns)]) >= 0.5).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
