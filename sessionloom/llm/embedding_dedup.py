@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by cover-tree dual traversal (operator 4).
 
 Unit vectors with a cosine of t or more lie within sqrt(2 - 2t) of each other.
-Pivots from a bounded sample deal the vectors out to cells; a vector also visits
-those cells that its bound to the cell's border allows. In a cell, blocks of
+Pivots from a bounded sample, the top of the tree, deal the vectors out to cells; a
+vector also visits those cells that both the cell's covering radius and the bound
+to its border allow. How many cells there are is set by what they cost on the
+sample: where no cell prunes, as with vectors that lie everywhere alike, there are few. In a cell, blocks of
 vectors are held as cover trees, nested levels with halving radii, and pairs of
 nodes are pruned by their covering radii until only pairs of vectors are left,
 which are compared in double precision. Each task returns counts and a spanning
@@ -12,15 +14,18 @@ forest of the links it found, never the pairs themselves.
 from __future__ import annotations
 
 import pickle
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import connected_components, materialize
+from sessionloom.llm.common import connected_components, drop_tables, materialize
 from sessionloom.llm.vectors import classes, in_blocks, matrix, sample, usable
 
+#: Vectors in a block, and as many comparisons as one more copy of a vector costs.
+TREE_ROWS, COPY_COST = 2048, 4096
 #: Radii of the levels of a tree below its root, which holds the whole sphere.
 LEVELS = (1.0, 0.5, 0.25, 0.125)
 
@@ -47,6 +52,31 @@ def pivots(points: np.ndarray, count: int) -> np.ndarray:
     return points[chosen]
 
 
+def visits(d: np.ndarray, apart: np.ndarray, radii: np.ndarray, eps: float) -> np.ndarray:
+    """Which cells each vector belongs to or visits, by its distances to the pivots; of two cells the later one's vectors visit the earlier."""
+    rows, home = np.arange(len(d)), d.argmin(1)
+    own = d[rows, home]
+    border = (d * d - (own * own)[:, None]) / (2 * apart[home])
+    out = (border <= eps) & (d <= radii + eps) & (np.arange(d.shape[1]) < home[:, None])
+    out[rows, home] = True
+    return out
+
+
+def cells(points: np.ndarray, tops: np.ndarray, n: int, eps: float) -> int:
+    """How many of the pivots, a power of two or all, make the work on ``n`` vectors least, by the sample."""
+    d, apart, costs = spans(points, tops), spans(tops, tops) + np.eye(len(tops)), {}
+    for count in sorted({len(tops), *(1 << k for k in range(len(tops).bit_length()) if 1 << k <= len(tops))}):
+        part = d[:, :count]
+        home = part.argmin(1)
+        radii = np.zeros(count)
+        np.maximum.at(radii, home, part.min(1))
+        seen = visits(part, apart[:count, :count], radii, eps)
+        at_home = np.bincount(home, minlength=count)
+        pairs = (at_home * (seen.sum(0) - at_home / 2)).sum() * (n / len(points)) ** 2
+        costs[count] = pairs + seen.sum() * n / len(points) * COPY_COST
+    return min(costs, key=costs.get)
+
+
 def tree_levels(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """A cover tree of unit vectors: per level of nested nets the nodes' points, covering radii and parents; the last level is all points."""
     near = points.astype(np.float32)
@@ -119,13 +149,13 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def near_vectors(rows: DataFrame, least: float = 0.95, fit_rows: int = 4096, cell_rows: int = 2048, most_cells: int = 256, seed: int = 5) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.95, fit_rows: int = 4096, seed: int = 5) -> DataFrame:
     """Link all pairs of vectors with a cosine of ``least`` or more.
 
     ``rows`` has vec_id and embedding, all of one length. Returns one row per row: vec_id,
     n_links, component_id (the smallest vec_id reachable) and kept. The result
-    is exact; pivots are chosen on at most ``fit_rows`` distinct vectors, for
-    about ``cell_rows`` vectors a cell and ``most_cells`` cells at most.
+    is exact; pivots are chosen on at most ``fit_rows`` distinct vectors, and are no
+    more than the root of the number of vectors.
 
     Vectors that are null, zero or hold null or non-finite components link with
     nothing and are their own component; a null vec_id too, with a null
@@ -136,32 +166,40 @@ def near_vectors(rows: DataFrame, least: float = 0.95, fit_rows: int = 4096, cel
     spark = rows.sparkSession
     ok = materialize(usable(rows), "vectors")
     unique = materialize(classes(ok, 1).select(F.element_at("ids", 1).alias("id"), "copies", "embedding"), "classes")
-    n, points = unique.count(), sample(unique, fit_rows, seed)
+    n = unique.count()
     none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return none
-    tops = pivots(units(points), max(1, min(most_cells, n // cell_rows)))
+    points, eps = units(sample(unique, n, fit_rows, seed)), float(np.sqrt(2 - 2 * least)) + 1e-6
+    tops = pivots(points, max(1, isqrt(n)))
+    tops = tops[: cells(points, tops, n, eps)]
     apart = spans(tops, tops) + np.eye(len(tops))
-    eps = float(np.sqrt(2 - 2 * least)) + 1e-6
+
+    def reach(batches):
+        radii = np.zeros(len(tops))
+        for batch in batches:
+            if batch.num_rows:
+                d = spans(units(matrix(batch.column(0))), tops)
+                np.maximum.at(radii, d.argmin(1), d.min(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(radii))), pa.array(radii)], ["cell", "radius"])
+
+    radii = np.zeros(len(tops))
+    for r in unique.select("embedding").mapInArrow(reach, "cell long, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():  # one row a pivot
+        radii[r.cell] = r.radius + 1e-6
 
     def deal(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             d = spans(units(matrix(batch.column("embedding"))), tops)
-            home = d.argmin(1)
-            own = d[np.arange(len(d)), home]
-            border = (d * d - (own * own)[:, None]) / (2 * apart[home])
-            visits = (border <= eps) & (np.arange(len(tops)) < home[:, None])
-            visits[np.arange(len(d)), home] = True
-            at, cell = np.nonzero(visits)
+            at, cell = np.nonzero(visits(d, apart, radii, eps))
             names = ["id", "copies", "embedding"]
-            columns = [pa.array(cell, pa.int64()), pa.array(home[at] == cell), *(batch.column(c).take(pa.array(at)) for c in names)]
+            columns = [pa.array(cell, pa.int64()), pa.array(d.argmin(1)[at] == cell), *(batch.column(c).take(pa.array(at)) for c in names)]
             yield pa.RecordBatch.from_arrays(columns, ["cell", "home", *names])
 
     kinds = "cell long, home boolean, id long, copies long, embedding array<float>"
     dealt = materialize(unique.select("id", "copies", "embedding").mapInArrow(deal, kinds), "dealt")
-    gathered = in_blocks(dealt, ["cell", "home"], ["id", "copies", "embedding"], "id")
+    gathered = in_blocks(dealt, ["cell", "home"], ["id", "copies", "embedding"], "id", TREE_ROWS)
 
     def build(batches):
         for batch in batches:
@@ -171,10 +209,12 @@ def near_vectors(rows: DataFrame, least: float = 0.95, fit_rows: int = 4096, cel
     item = "array<struct<id:long,copies:long,embedding:array<float>>>"
     built = gathered.select("cell", "home", "part", "items").mapInArrow(build, f"cell long, home boolean, part int, items {item}, tree binary")
     blocks = materialize(built, "blocks")  # each block's tree is made once, however many blocks it meets
-    mine = blocks.where("home").select("cell", F.col("part").alias("part_a"), F.col("items").alias("a"), F.col("tree").alias("tree_a"))
-    other = blocks.select("cell", F.col("home").alias("home_b"), F.col("part").alias("part_b"), F.col("items").alias("b"), F.col("tree").alias("tree_b"))
-    pairs = mine.join(other, "cell").where("not home_b or part_a <= part_b")
-    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "part_a", "home_b", "part_b")
+    # pairs of blocks first, by number; then each pair fetches its two blocks, so that a dense cell is many keys
+    narrow = blocks.select("cell", "home", "part")
+    one, other = (narrow.select("cell", F.col("home").alias(f"home_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
+    pairs = one.where("home_a").join(other, "cell").where("not home_b or part_a <= part_b")
+    held_a, held_b = (blocks.select("cell", F.col("home").alias(f"home_{x}"), F.col("part").alias(f"part_{x}"), F.col("items").alias(x), F.col("tree").alias(f"tree_{x}")) for x in "ab")
+    pairs = pairs.join(held_a, ["cell", "home_a", "part_a"]).join(held_b, ["cell", "home_b", "part_b"])
     pairs = pairs.select((F.col("home_b") & (F.col("part_a") == F.col("part_b"))).alias("same"), "a", "tree_a", "b", "tree_b")
 
     def traverse(batches):
@@ -194,6 +234,7 @@ def near_vectors(rows: DataFrame, least: float = 0.95, fit_rows: int = 4096, cel
                 )
 
     found = materialize(pairs.mapInArrow(traverse, "a long, b long, links long"), "links")
+    drop_tables(spark, dealt, blocks)
     counted = found.groupBy("a").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("a", "b"))
     per_class = (

@@ -31,12 +31,16 @@ def classes(rows: DataFrame, ids: int) -> DataFrame:
     return first.join(plain.groupBy("embedding").agg(F.count("*").alias("copies")), "embedding")
 
 
-def sample(rows: DataFrame, bound: int, seed: int) -> np.ndarray:
-    """At most ``bound`` vectors of the largest group of equal length, by hash order, as doubles."""
-    taken = rows.orderBy(F.xxhash64(F.lit(seed), "embedding")).limit(bound).select("embedding").collect()
-    if not taken:
+def sample(rows: DataFrame, n: int, bound: int, seed: int) -> np.ndarray:
+    """At most ``bound`` of the ``n`` rows' vectors, by hash order, as doubles."""
+    drawn = rows.select(F.pmod(F.xxhash64(F.lit(seed), "embedding"), F.lit(1 << 30)).alias("drawn"), "embedding")
+    below = min(1 << 30, int((bound + 4 * bound**0.5 + 16) / max(1, n) * (1 << 30)))
+    found = drawn.where(F.col("drawn") < below).toArrow()  # about ``bound`` rows
+    if not found.num_rows:
         return np.zeros((0, 0))
-    return np.array([r[0] for r in taken], float)
+    found = found.combine_chunks()
+    points, order = matrix(found.column(1).combine_chunks()), found.column(0).to_numpy()
+    return points[np.lexsort((*points.T[:4], order))][:bound]
 
 
 def matrix(column: pa.Array) -> np.ndarray:

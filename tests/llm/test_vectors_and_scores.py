@@ -21,11 +21,13 @@ def vectors(n, seed=0):
     return np.concatenate([base, near, base[: n - 2 * (n // 3)], base[:1].repeat(20, 0)]).astype(np.float32)
 
 
-def test_near_vectors_are_exact(spark):
+def test_near_vectors_are_exact(spark, monkeypatch):
     v = vectors(150)
     rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
-    for block_rows in (2048, 40):
-        found = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows + ODD, ROW), cell_rows=block_rows).where("vec_id is not null").collect()}
+    for tree_rows, cost in ((2048, 4096), (40, 4096), (20, 0)):  # one block, blocks of one cell, many cells
+        monkeypatch.setattr(embedding_dedup, "TREE_ROWS", tree_rows)
+        monkeypatch.setattr(embedding_dedup, "COPY_COST", cost)
+        found = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows + ODD, ROW)).where("vec_id is not null").collect()}
         unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
         link = unit @ unit.T >= 0.95
         np.fill_diagonal(link, False)
@@ -56,6 +58,40 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(few.limit(0), few).count() == 0
 
 
+def test_cells_follow_what_they_prune():
+    rng = np.random.default_rng(2)
+    alike = embedding_dedup.units(rng.normal(size=(2000, 64)))
+    centers = rng.normal(size=(200, 64))
+    apart = embedding_dedup.units(centers[rng.integers(0, 200, 2000)] + 0.1 * rng.normal(size=(2000, 64)))
+    counts = [embedding_dedup.cells(x, embedding_dedup.pivots(x, 300), 1_000_000, 0.32) for x in (alike, apart)]
+    assert counts[0] <= 8 and counts[1] >= 128
+    tops = embedding_dedup.pivots(apart, 200)
+    d, gaps = embedding_dedup.spans(apart, tops), embedding_dedup.spans(tops, tops) + np.eye(len(tops))
+    radii = np.array([d[d.argmin(1) == c].min(1).max() for c in range(len(tops))])
+    assert embedding_dedup.visits(d, gaps, radii, 0.32).sum(1).mean() < 1.2
+
+
+def test_the_index_grows_with_the_root_of_the_rows_and_prunes_clusters():
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(300, 32))
+    points = centers[rng.integers(0, 300, 12_000)] + 0.3 * rng.normal(size=(12_000, 32))
+    own = ann.balanced_centroids(points[:1700], 100, 1)
+    graph, boundary = ann.CentroidGraph.build(own), ann.tuned_boundary(points[:1700], own, 0.4)
+    ratio = ann.tuned_ratio(points[:1700], graph, ann.lists_of(points[:1700], own, 4, boundary), 12_000, 10, 0.97)
+    held = ann.lists_of(points, own, 4, boundary)
+    assert 1 < np.mean([len(h) for h in held]) < 3
+    lists = [np.array([i for i, h in enumerate(held) if c in h]) for c in range(100)]
+    hit, scanned = 0, 0
+    for q in range(0, 12_000, 400):
+        near, d, many = graph.search(points[q], ratio)
+        assert (np.diff(d) >= 0).all()
+        found = np.unique(np.concatenate([lists[c] for c in near[:many]]))
+        away = ((points - points[q]) ** 2).sum(1)
+        hit += len(set(np.argsort(away)[:11]) & set(found))
+        scanned += len(found)
+    assert hit / 330 >= 0.88 and scanned / 30 / 12_000 < 0.1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (100, 101), (7, 7), (None, 3)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
