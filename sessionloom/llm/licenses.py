@@ -1,10 +1,11 @@
 """License scan (operator 1) by a positional rare-token index, in SQL expressions only.
 
 Document frequencies of the template words over all documents give their idf.
-Each template is indexed under its rarest word. Where a document has such a
-word, the template is laid over the text at that relative position; the idf
-weight of the template words found in their places is its score there, and its
-key phrase has to stand in full.
+Each template is indexed under the two rarest words of its key phrase, with their
+offsets. A file's words of highest idf among those are looked up: a template is
+laid where the places of both of its words agree on its start. There the key
+phrase has to stand in full, and the idf weight of the template's words found
+within a few places of their own is the score.
 """
 
 from __future__ import annotations
@@ -22,19 +23,26 @@ TEMPLATES: list[tuple[str, str, str, bool]] = [
     ("mit", "mit license", "mit license", True),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2", False),
     ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3", False),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 2", False),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 3", False),
     ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license", False),
     ("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license", False),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0", False),
+    ("apache-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "you may not use this file except in compliance with the license", False),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", False),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa", False),
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd", False),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge", False),
+    ("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0 universal", False),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission is hereby granted free of charge", False),
     ("mit-notice", "released under the mit license", "under the mit license", False),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms", False),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute", False),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license", False),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software", False),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistribution and use in source and binary forms", False),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute", False),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license", False),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable", False),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "free and unencumbered software", False),
 ]
+#: Places by which a template word may be off its own.
+SHIFT = 2
 #: What parts words, before and after lower-casing A-Z.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,25 +58,32 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[
 
 
 def index(n: int, frequency: dict[str, int], templates=TEMPLATES) -> list[dict]:
-    """The postings: each template under its rarest word, with its words' shares of idf weight."""
+    """The postings: each template under the two rarest words of its key phrase, with its words' shares of idf weight."""
     idf = lambda w: math.log((2 + n) / (1 + frequency.get(w, 0)))
     out = []
     for label, text, key, base in templates:
         words, phrase = text.split(), key.split()
-        weight = [idf(w) for w in words]
-        at = max(range(len(words)), key=lambda i: (weight[i], -i))
         start = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        out.append({"anchor": words[at], "o": at, "w": words, "g": [x / sum(weight) for x in weight], "k": list(range(start, start + len(phrase))), "label": label, "base": base})
+        weight = [idf(w) for w in words]
+        rare = sorted(range(len(phrase)), key=lambda i: (-idf(phrase[i]), i))
+        first = rare[0]
+        second = next((i for i in rare if phrase[i] != phrase[first]), rare[-1])
+        out.append({"a": phrase[first], "i": first, "b": phrase[second], "j": second, "w": words, "g": [x / sum(weight) for x in weight], "k": start, "n": len(phrase), "label": label, "base": base})
     return out
 
 
 def postings_column(postings: list[dict]) -> Column:
-    row = lambda p: F.struct(
-        F.lit(p["anchor"]).alias("anchor"), F.lit(p["o"]).alias("o"), F.array(*map(F.lit, p["w"])).alias("w"),
-        F.array(*map(F.lit, p["g"])).alias("g"), F.array(*map(F.lit, p["k"])).alias("k"),
-        F.lit(p["label"]).alias("label"), F.lit(p["base"]).alias("base"),
-    )
-    return F.array(*map(row, postings))
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    return F.array(*[F.struct(*[value(v).alias(k) for k, v in p.items()]) for p in postings])
+
+
+#: Starts of a template's key phrase on which the places of both its words agree.
+STARTS = "array_intersect(transform(filter(places, x -> words[x] = p.a), x -> x - p.i), transform(filter(places, x -> words[x] = p.b), x -> x - p.j))"
+#: Whether the phrase stands in full at a start.
+WHOLE = "slice(words, s + 1, p.n) = slice(p.w, p.k + 1, p.n)"
+#: Whether the template's word q stands near its place.
+NEAR = f"array_contains(slice(words, greatest(1, s - p.k + q + 1 - {SHIFT}), least({2 * SHIFT + 1}, s - p.k + q + {SHIFT + 1})), p.w[q])"
+SCORE = f"if(p.base, 1D, aggregate(sequence(0, size(p.w) - 1), 0D, (sum, q) -> sum + if(s - p.k + q >= -{SHIFT}, if({NEAR}, p.g[q], 0D), 0D)))"
 
 
 def scan_licenses(docs: DataFrame, least: float = 0.6, templates=TEMPLATES) -> DataFrame:
@@ -80,33 +95,32 @@ def scan_licenses(docs: DataFrame, least: float = 0.6, templates=TEMPLATES) -> D
     and whose score is ``least`` or more), score (the best of any such place,
     else 0) and places (label, start and score of each, in order).
 
-    Null and empty texts have no words, so no places. Repeated rows are scanned
+    Null and empty texts have no words, so no places. Texts of any length are scanned
+    whole. Equally rare words of a key phrase go by their order in it. Repeated rows are scanned
     each on its own, null doc_ids are kept, an empty table gives no rows, and
     further columns are ignored.
     """
     vocabulary = sorted({w for _, text, _, _ in templates for w in text.split()})
     postings = index(*word_frequencies(docs, vocabulary), templates)
-    anchors = sorted({p["anchor"] for p in postings})
+    rare = sorted({w for p in postings for w in (p["a"], p["b"])})
     lowered = F.lower("text")
-    may = lowered.contains(anchors[0])
-    for word in anchors[1:]:
+    may = lowered.contains(postings[0]["a"])
+    for word in sorted({p["a"] for p in postings[1:]}):
         may = may | lowered.contains(word)
     words = F.when(may, F.filter(F.split(F.translate("text", UPPER, LOWER), GAPS), lambda w: w != ""))
     found = docs.select(
         "doc_id",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
         F.coalesce(words, F.array().cast("array<string>")).alias("words"),
-    ).withColumn("postings", F.when(F.size("words") > 0, postings_column(postings)))
-    anchor_list = ", ".join(f"'{w}'" for w in anchors)
-    hits = f"""
-        flatten(transform(
-            filter(if(size(words) > 0, sequence(0, size(words) - 1), cast(array() as array<int>)), i -> words[i] in ({anchor_list})),
-            i -> transform(
-                filter(postings, p -> p.anchor = words[i] and forall(p.k, k -> coalesce(get(words, i - p.o + k) = p.w[k], false))),
-                p -> named_struct('start', cast(i - p.o + p.k[0] as bigint), 'label', p.label, 'base', p.base, 'score',
-                    aggregate(sequence(0, size(p.w) - 1), 0D, (s, k) -> s + if(coalesce(get(words, i - p.o + k) = p.w[k], false), p.g[k], 0D))))))
-    """
-    found = found.select("doc_id", "n_words", F.coalesce(F.expr(hits), F.expr("cast(array() as array<struct<start:bigint,label:string,base:boolean,score:double>>)")).alias("all"))
+    )
+    # the file's words of the index, and of the postings those that it may hold
+    found = found.withColumn("held", F.array_intersect("words", F.array(*map(F.lit, rare))))
+    found = found.withColumn("live", F.when(F.size("held") > 1, F.filter(postings_column(postings), lambda p: F.array_contains("held", p["a"]) & F.array_contains("held", p["b"]))))
+    none = "cast(array() as array<int>)"
+    found = found.withColumn("places", F.expr(f"if(size(live) > 0, filter(sequence(0, size(words) - 1), x -> array_contains(held, words[x])), {none})"))
+    hits = f"""flatten(transform(live, p -> transform(filter({STARTS}, s -> s >= 0 and {WHOLE}), s ->
+        named_struct('start', cast(s as bigint), 'label', p.label, 'base', p.base, 'score', {SCORE}))))"""
+    found = found.select("doc_id", "n_words", F.coalesce(F.expr(f"if(size(places) > 0, {hits}, null)"), F.expr("cast(array() as array<struct<start:bigint,label:string,base:boolean,score:double>>)")).alias("all"))
     found = found.withColumn("places", F.expr(f"array_sort(filter(all, h -> h.base or h.score >= {least}))"))
     return found.select(
         "doc_id", "n_words",

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -28,6 +29,44 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, texts).limit(0)).count() == 0
 
 
+def brute_places(texts, least=0.6):
+    """(label, start, score) of each text by comparing every template with every place."""
+    cut = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII)) for t in texts]
+    idf = lambda w: math.log((2 + len(texts)) / (1 + sum(w in c for c in cut)))
+    out = []
+    for words in cut:
+        own = []
+        for label, text, key, base in licenses.TEMPLATES:
+            t, k = text.split(), key.split()
+            at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+            for s in range(len(words) - len(k) + 1):
+                if words[s : s + len(k)] == k:
+                    near = lambda q: t[q] in words[max(0, s - at + q - 2) : max(0, s - at + q + 3)]
+                    score = 1.0 if base else sum(idf(w) for q, w in enumerate(t) if near(q)) / sum(map(idf, t))
+                    if base or score >= least:
+                        own.append((s, label, round(score, 9)))
+        out.append(sorted(own))
+    return out
+
+
+def test_licenses_against_brute_force(spark):
+    by_label = {label: text for label, text, _, _ in licenses.TEMPLATES}
+    mit = by_label["mit-text"]
+    texts = [
+        *(f"some words before, {text} and after" for _, text, _, _ in licenses.TEMPLATES), mit.replace("obtaining", "receiving"), mit.replace("granted free", "granted, very free"),
+        mit.replace("charge to any person", "charge to really any nice person"), "permission is hereby granted free of charge", "GNU Lesser General Public License", "terms " * 40, "license " * 300 + "MIT License cc by",
+        "mit " * 50 + "license", None, "", "the Apache License, the apache license; Version 2.0", by_label["mpl-2.0"].upper() * 3,
+    ]
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    for i, want in enumerate(brute_places(texts)):
+        assert sorted((p.start, p.label, round(p.score, 9)) for p in found[i].places) == want, texts[i]
+        assert found[i].labels == ",".join(sorted({x[1] for x in want}))
+    for i, (label, _, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in found[i].labels.split(",")
+    again = {r.doc_id: r.labels for r in licenses.scan_licenses(docs(spark, texts + ["obtaining terms license gnu mit released"] * 60)).collect()}
+    assert all(again[i] == found[i].labels for i in range(len(licenses.TEMPLATES)))
+
+
 def brute_groups(texts, percent=75):
     sets = []
     for t in texts:
