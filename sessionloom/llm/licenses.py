@@ -129,6 +129,6 @@ def scan_licenses(docs: DataFrame, least: float = 0.6, templates=TEMPLATES) -> D
         F.expr("array_max(transform(filter(places, h -> h.base), h -> h.start))").alias("last_word"),
         F.expr("array_join(array_sort(array_distinct(transform(filter(places, h -> h.base), h -> h.label))), ',')").alias("base_labels"),
         F.expr("array_join(array_sort(array_distinct(transform(places, h -> h.label))), ',')").alias("labels"),
-        F.expr("least(1D, coalesce(array_max(transform(places, h -> h.score)), 0D))").alias("score"),
+        F.expr("round(least(1D, coalesce(array_max(transform(places, h -> h.score)), 0D)), 9)").alias("score"),
         "places",
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sessionloom.llm.licenses import LOWER, TEMPLATES, UPPER
+
 #: op2: the same keys, shards, targets and quotas, quotients ranked by plain sorting.
 SOURCE_MIX = r"""
 with sized as (
@@ -55,4 +57,88 @@ from sized s join targets t on s.known = t.known and s.name = t.name
 left join placed p on s.known = p.known and s.name = p.name and p.size = s.size and p.key = substr(s.drawn, 1, 16)
 """
 
-ORACLES = {"op2_source_mix": SOURCE_MIX}
+
+def license_sql(least: float = 0.6) -> str:
+    """op1: every template laid at every place where its key phrase stands."""
+    rows = []
+    for i, (label, text, key, base) in enumerate(TEMPLATES):
+        words, phrase = text.split(), key.split()
+        start = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+        rows.append(f"({i}, '{label}', {str(base).lower()}, {words}, {phrase}, {start})")
+    return rf"""
+with templates(t, label, base, w, key, k) as (values {", ".join(rows)}),
+docs as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+stands as (select r, unnest(words) as word, unnest(range(len(words))) as s from docs),
+frequency as (select word, count(distinct r) as n from stands group by word),
+idf as (
+    select t, q, word, ln((2 + (select count(*) from docs)) / (1 + coalesce(n, 0))) as x
+    from (select t, unnest(w) as word, unnest(range(len(w))) as q from templates) left join frequency using (word)),
+places as (
+    select d.r, t.t, t.label, t.base, s.s, s.s - t.k as origin
+    from stands s join templates t on s.word = t.key[1] join docs d on d.r = s.r where d.words[s.s + 1 : s.s + len(t.key)] = t.key),
+scored as (
+    select p.r, p.label, p.base, p.s, case when p.base then 1.0::double
+        else sum(case when p.origin + i.q >= -2 and list_contains(d.words[greatest(1, p.origin + i.q - 1) : p.origin + i.q + 3], i.word) then i.x else 0 end) / sum(i.x) end as score
+    from places p join docs d on d.r = p.r join idf i on i.t = p.t group by p.r, p.t, p.label, p.base, p.s),
+kept as (select * from scored where base or score >= {least}),
+by_doc as (
+    select r, count(*) filter (base) as n_base, min(s) filter (base) as first_word, max(s) filter (base) as last_word,
+        string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(score) as score
+    from kept group by r)
+select d.doc_id, len(d.words)::bigint as n_words, coalesce(b.n_base, 0)::bigint as n_base, b.first_word::bigint as first_word, b.last_word::bigint as last_word,
+    coalesce(b.base_labels, '') as base_labels, coalesce(b.labels, '') as labels, round(least(1.0, coalesce(b.score, 0)), 9)::double as score
+from docs d left join by_doc b on b.r = d.r
+"""
+
+
+#: Components of ``nodes`` (id) and ``links`` (a, b) in both directions: each node's smallest reachable one.
+COMPONENTS = """
+reach(id, to_id) as (select id, id from nodes union select r.id, l.b from reach r join links l on l.a = r.to_id),
+components as (select id, min(to_id) as component from reach group by id)"""
+
+#: op3: the exact answer. At small sizes one list holds every row, and the query's is the same.
+NEAREST = """
+with rows_ as (
+    select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (select q.vec_id as query_id, r.vec_id, list_distance(q.v, r.v) as score from rows_ q join rows_ r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from pairs)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 10
+"""
+
+#: op4: all pairs by cosine.
+NEAR_VECTORS = f"""
+with recursive rows_ as (
+    select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.id as a, b.id as b from rows_ a join rows_ b on a.id <> b.id and list_cosine_similarity(a.v, b.v) >= 0.95),
+nodes as (select id from rows_),{COMPONENTS},
+counts as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component, e.vec_id) as component_id, coalesce(component, e.vec_id) = e.vec_id as kept
+from embeddings e left join components c on c.id = e.vec_id left join counts on counts.a = e.vec_id
+"""
+
+#: op5: pairs of texts by shared shingles; equal sets are one node until the end.
+NEAR_DUPLICATES = rf"""
+with recursive texts as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) end as items from texts),
+classes as (select items, min(doc_id) as id, len(items) as n from sets where len(items) > 0 group by items),
+shared as (select id, n, unnest(items) as item from classes),
+links as (
+    select a.id as a, b.id as b from shared a join shared b on a.item = b.item and a.id <> b.id and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+    group by a.id, b.id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+nodes as (select id from classes),{COMPONENTS}
+select s.doc_id, len(s.items)::bigint as n_shingles, coalesce(c.component, s.doc_id) as component_id, coalesce(c.component, s.doc_id) = s.doc_id as kept
+from sets s left join classes k on k.items = s.items left join components c on c.id = k.id
+"""
+
+ORACLES = {
+    "op1_licenses": license_sql(),
+    "op2_source_mix": SOURCE_MIX,
+    "op3_nearest": NEAREST,
+    "op4_near_vectors": NEAR_VECTORS,
+    "op5_near_duplicates": NEAR_DUPLICATES,
+}
