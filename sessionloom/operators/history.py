@@ -19,9 +19,9 @@ METRICS = ("pid_concurrency", "session_concurrency", "active_burst_concurrency",
 
 def parse(lines: DataFrame) -> DataFrame:
     """Samples of non-blank lines (line_no, value) with at_us; ``ok`` is false where JSON or time is broken."""
-    parsed = lines.where("trim(value) <> ''").withColumn("s", F.from_json(F.trim("value"), SCHEMA, {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}))
+    parsed = lines.where(T.stripped("value") != "").withColumn("s", F.from_json(T.stripped("value"), SCHEMA, {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}))
     out = parsed.withColumn("at_us", F.unix_micros(T.observed_time("s.at")))
-    whole = F.col("s").isNotNull() & F.col("s.broken").isNull() & F.col("at_us").isNotNull() & F.trim("value").rlike("\\}$")
+    whole = F.col("s").isNotNull() & F.col("s.broken").isNull() & F.col("at_us").isNotNull() & T.stripped("value").rlike("\\}$")
     return out.withColumn("ok", whole)
 
 
@@ -54,7 +54,7 @@ def in_range(samples: DataFrame, from_us: int | None, to_us: int | None) -> Data
 
 def allocation(samples: DataFrame) -> DataFrame:
     """Per project: samples, average and peak share of attention, largest counts; most attention first."""
-    rows = samples.select(F.explode("projects").alias("p")).select(F.trim("p.project").alias("project"), "p.session_count", "p.active_burst_count", "p.process_count", "p.attention_share_pct")
+    rows = samples.select(F.explode("projects").alias("p")).select(T.stripped("p.project").alias("project"), "p.session_count", "p.active_burst_count", "p.process_count", "p.attention_share_pct")
     out = rows.where("project <> ''").groupBy("project").agg(
         F.count("*").alias("samples"), (F.sum("attention_share_pct") / F.count("*")).alias("average_share_pct"), F.max("attention_share_pct").alias("peak_share_pct"),
         F.max("session_count").alias("max_sessions"), F.max("active_burst_count").alias("max_active_bursts"), F.max("process_count").alias("max_processes"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +102,12 @@ def concurrency_at(spans: DataFrame, points: DataFrame) -> DataFrame:
     return at.withColumn("inside", level).join(before, "hour").where("asked").select("at_us", (F.col("inside") + F.col("before")).alias("level"))
 
 
+def day_start(now_us: int, zone: str) -> int:
+    """Midnight before ``now_us`` by the clocks of a time zone."""
+    now = datetime.fromtimestamp(now_us / 1_000_000, ZoneInfo(zone))
+    return int(now.replace(hour=0, minute=0, second=0, microsecond=0).timestamp()) * 1_000_000
+
+
 def us(column) -> Column:
     """Microseconds since 1970 of a timestamp with or without zone."""
     return F.unix_micros(F.col(column).cast("timestamp"))

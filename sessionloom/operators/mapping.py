@@ -28,7 +28,7 @@ def file_evidence(processes: DataFrame, traces: DataFrame) -> DataFrame:
     """
     files = processes.select("pid", F.col("tool").alias("process_tool"), T.sorted_set("hints").alias("hints"), F.explode("files").alias("f"))
     files = files.select("pid", "process_tool", "hints", F.col("f.tool").alias("tool"), F.col("f.path").alias("path"))
-    known = traces.select("path", F.nullif(F.trim("session_id"), F.lit("")).alias("trace_id"), F.lit(True).alias("traced"))
+    known = traces.select("path", F.nullif(T.stripped("session_id"), F.lit("")).alias("trace_id"), F.lit(True).alias("traced"))
     files = files.join(known, "path", "left").withColumn("fallback", F.nullif(T.fallback_id(F.col("tool"), F.col("path")), F.lit("")))
     mine = Window.partitionBy("pid")
     parsed = F.collect_set(F.when(F.col("trace_id").isNotNull(), id_key("tool", "trace_id"))).over(mine)
@@ -77,15 +77,14 @@ def mapping_notes(processes: DataFrame, traces: DataFrame) -> DataFrame:
     files = file_evidence(processes, traces)
     hint = F.element_at("hints", 1)
     passed = files.where((F.col("rule") == "hint") & F.col("fallback").isNotNull() & (F.col("fallback") != hint)).select(
-        "pid", F.format_string('PID %d %s ignored weaker filename-derived fallback session id "%s" from %s in favor of command hint "%s".', "pid", "process_tool", "fallback", "path", hint).alias("note")
+        "pid", F.format_string('%d (%s): the id %s in the name of %s gave way to the hint %s', "pid", "process_tool", "fallback", "path", hint).alias("note")
     )
     won = files.where("rule = 'parsed'").groupBy("pid", "process_tool", "hints").agg(
         F.array_sort(F.collect_set("trace_id")).alias("ids"), F.collect_set(id_key("tool", "trace_id")).alias("keys")
     )
-    quoted = F.array_join(F.transform("ids", lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
-    text = F.when(F.size("ids") == 1, F.concat(F.lit("id "), quoted)).otherwise(F.concat(F.lit("ids "), quoted))
+    text = F.array_join("ids", ", ")
     lost = won.withColumn("hint", F.explode("hints")).where(~F.array_contains("keys", id_key("process_tool", "hint"))).select(
-        "pid", F.format_string('PID %d %s ignored weaker command hint "%s" because parsed transcript session %s won.', "pid", "process_tool", "hint", text).alias("note")
+        "pid", F.format_string('%d (%s): the hint %s gave way to %s in its transcripts', "pid", "process_tool", "hint", text).alias("note")
     )
     return passed.union(lost).distinct()
 
@@ -106,13 +105,16 @@ def live_sessions(sessions: DataFrame, traces: DataFrame, now_us: int, gap_s: in
         F.array_sort(F.collect_set("pid")).alias("pids"), *[F.bool_or(f).alias(f) for f in FLAGS],
     )
     low, high = now_us - config.recent_window(gap_s) * 1_000_000, now_us + gap_s * 1_000_000
-    named = F.nullif(F.trim("session_id"), F.lit(""))
+    named = F.nullif(T.stripped("session_id"), F.lit(""))
     recent = traces.where(F.col("last_us").between(low, high)).select(
         F.when(named.isNotNull(), id_key("tool", named)).otherwise(path_key("tool", "path")).alias("key"), "tool",
         F.coalesce(named, T.fallback_id(F.col("tool"), F.col("path"))).alias("session_id"), "path", F.col("path").alias("trace_path"),
         F.array().cast("array<bigint>").alias("pids"), F.lit(True).alias("transcript_path"), F.lit(True).alias("transcript_activity"),
         named.isNotNull().alias("parsed_transcript_id"), F.lit(False).alias("command_hint"), F.lit(False).alias("fallback_session_id"),
-    ).dropDuplicates(["key"])
+        "last_us",
+    )
+    newest = F.max_by(F.struct(*[c for c in recent.columns if c not in ("key", "last_us")]), F.struct("last_us", "path"))  # of traces with one key
+    recent = recent.groupBy("key").agg(newest.alias("t")).select("key", "t.*")
     every = with_trace.unionByName(recent.join(with_trace, "key", "left_anti"))
     facts = traces.select(F.col("path").alias("trace_path"), "project", "project_source", "thread_source", "parent_thread_id", "role_hint_source", "independently_run", "first_us", "last_us")
     return every.join(facts, "trace_path", "left").withColumn("path", F.coalesce("path", "trace_path"))
@@ -133,9 +135,9 @@ def observe(sessions: DataFrame, now_us: int, gap_s: int) -> DataFrame:
     provenance = F.when(F.size(provenance) == 0, F.array(F.lit("fallback_session_id"))).otherwise(provenance)
     weak = ~F.col("parsed_transcript_id") & ~F.col("command_hint")
     reasons = F.array_compact(F.array(
-        F.when(F.col("fallback_session_id"), F.when(weak, "session id falls back to filename-derived evidence").otherwise("filename-derived fallback evidence also matched this session")),
-        F.when(F.col("command_hint") & ~F.col("parsed_transcript_id"), "mapped from command hint instead of a parsed transcript session id"),
-        F.when(missing, "transcript timing missing"),
+        F.when(F.col("fallback_session_id"), F.when(weak, "id_from_file_name").otherwise("file_name_agrees")),
+        F.when(F.col("command_hint") & ~F.col("parsed_transcript_id"), "id_from_command"),
+        F.when(missing, "no_event_times"),
     ))
     return project_attribution(roles(sessions.withColumns({
         "freshness": freshness, "active_burst": freshness == "active", "stale": freshness == "stale", "recent": recent, "missing_transcript": missing,
@@ -157,10 +159,10 @@ def roles(sessions: DataFrame) -> DataFrame:
     bare = ~stated & ~parent & ~lane & ~alone
     present = bare & (T.text("session_id") != "") & (F.size("pids") > 0)
     reasons = F.array_compact(F.array(
-        F.when(none, "no transcript role metadata"), F.when(~none & stated, F.concat(F.lit("thread_source="), source)),
-        F.when(~none & parent, "parent_thread_id present"), F.when(~none & lane, "codexL lane transcript path"),
-        F.when(~none & alone, "independently resumable session log"), F.when(~none & present, "process and session id present but role metadata absent"),
-        F.when(~none & bare & ~present, "role metadata unavailable"),
+        F.when(none, "no_trace"), F.when(~none & stated, F.concat(F.lit("thread_source="), source)),
+        F.when(~none & parent, "has_parent_thread"), F.when(~none & lane, "lane_file"),
+        F.when(~none & alone, "runs_alone"), F.when(~none & present, "process_without_role"),
+        F.when(~none & bare & ~present, "no_role_evidence"),
     ))
     return sessions.withColumns({"role": role, "role_confidence": confidence, "role_reasons": F.array_sort(F.array_distinct(reasons))})
 
@@ -170,13 +172,13 @@ def project_attribution(sessions: DataFrame) -> DataFrame:
     named = T.trusted_project("project")
     source = F.when(T.text("project_source").isin(*config.SOURCE_RANK), T.text("project_source")).otherwise("transcript_project")
     why = T.lookup(source, {
-        "transcript_project": "parsed transcript provided an explicit project name", "transcript_cwd": "parsed transcript cwd resolved to the project directory",
-        "transcript_path": "project derived from the transcript storage path", "config_root_parent": "fell back to the parent of the local config root",
-    }, "parsed transcript provided project evidence")
+        "transcript_project": "named_in_transcript", "transcript_cwd": "working_directory",
+        "transcript_path": "storage_path", "config_root_parent": "root_parent",
+    }, "in_transcript")
     root = F.when(T.text("path") != "", T.config_root_project("path"))
     sessions = sessions.withColumn("root", root)
     rooted, reason = F.coalesce("root.name", F.lit("")), F.coalesce("root.reason", F.lit(""))
-    none = T.sorted_set(F.array(reason, F.lit("no parsed transcript cwd/project evidence")))
+    none = T.sorted_set(F.array(reason, F.lit("no_project_evidence")))
     return sessions.withColumns({
         "attributed": F.when(named != "", named).when(rooted != "", rooted).otherwise("unassigned"),
         "attribution_source": F.when(named != "", source).when(rooted != "", "config_root_parent").otherwise("unassigned"),
@@ -192,20 +194,21 @@ def ordered_sessions(observed: DataFrame) -> DataFrame:
 def host_ancestors(processes: DataFrame, bundles: DataFrame | None = None, steps: int = 12) -> DataFrame:
     """Each process's nearest ancestor, itself included, that runs from an application bundle: pid, host_pid, bundle.
 
-    Follows ppid over at most ``steps`` processes and ends at a cycle. ``bundles`` (bundle) names those that exist, if given.
+    Looks at ``steps`` processes at most. ``bundles`` (bundle) names those that exist, if given. Every round
+    doubles how far each process sees: it takes over what the ancestor at its end
+    sees. A cycle only leads to processes seen before.
     """
     own = processes.select("pid", "ppid", T.bundle_of_command("command").alias("bundle"))
     if bundles is not None:
         own = own.join(bundles.select("bundle", F.lit(True).alias("there")), "bundle", "left").withColumn("bundle", F.when(F.col("there"), F.col("bundle")).otherwise("")).drop("there")
-    at = own.select(F.col("pid").alias("start"), "pid", "ppid", "bundle", F.array("pid").alias("seen"))
-    found = None
-    for _ in range(steps):
-        hit = at.where("bundle <> ''").select(F.col("start").alias("pid"), F.col("pid").alias("host_pid"), "bundle")
-        found = hit if found is None else found.unionByName(hit)
-        up = own.select(F.col("pid").alias("up"), F.col("ppid").alias("up_ppid"), F.col("bundle").alias("up_bundle"))
-        at = at.where("bundle = '' and ppid > 0").join(up, F.col("ppid") == F.col("up")).where(~F.array_contains("seen", F.col("up")))
-        at = at.select("start", F.col("up").alias("pid"), F.col("up_ppid").alias("ppid"), F.col("up_bundle").alias("bundle"), F.concat("seen", F.array("up")).alias("seen"))
-    return found
+    hit = F.when(F.col("bundle") != "", F.struct(F.lit(0).alias("far"), F.col("pid").alias("host_pid"), "bundle"))
+    at, seen = own.select("pid", F.when(F.col("ppid") > 0, F.col("ppid")).alias("up"), hit.alias("hit")), 1
+    while seen < steps:
+        above = at.select(F.col("pid").alias("up"), F.col("up").alias("next"), F.col("hit").alias("further"))
+        beyond = F.when(F.col("further").isNotNull(), F.struct((F.col("further.far") + seen).alias("far"), "further.host_pid", "further.bundle"))
+        at = at.join(above, "up", "left").select("pid", F.col("next").alias("up"), F.coalesce("hit", beyond).alias("hit"))
+        seen *= 2
+    return at.where(F.col("hit.far") < steps).select("pid", "hit.host_pid", "hit.bundle")
 
 
 def known_roots(known: DataFrame, processes: DataFrame) -> DataFrame:

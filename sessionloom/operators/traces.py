@@ -69,8 +69,9 @@ def by_id(traces: DataFrame) -> DataFrame:
 
 
 def scan_statistics(candidates: DataFrame) -> DataFrame:
-    """Counts of files scanned, parsed, deferred and tail-parsed."""
+    """Counts of files scanned, parsed, deferred and tail-parsed, and of those with an ``error``, where there is such a column."""
+    failed = [F.count_if(F.col("error").isNotNull()).alias("failed_files")] if "error" in candidates.columns else []
     return candidates.agg(
         F.count("*").alias("scanned_files"), F.count_if(~F.col("deferred")).alias("parsed_files"),
-        F.count_if("deferred").alias("deferred_files"), F.count_if("tail").alias("tail_files"),
+        F.count_if("deferred").alias("deferred_files"), F.count_if("tail").alias("tail_files"), *failed,
     )

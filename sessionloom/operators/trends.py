@@ -60,14 +60,14 @@ def merge(history: DataFrame, runtime: DataFrame, columns: list[str]) -> DataFra
 
 
 def smooth(points: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Weights 1-2-3-2-1 over ninths; ends, and series of fewer than four points, stay."""
+    """Weights 1-2-3-2-1 over ninths; ends, and series of fewer than four points, stay. A missing neighbour's place is taken by the one inside it."""
     order = Window.partitionBy(*keys).orderBy("at_us")
-    n = F.count("*").over(Window.partitionBy(*keys))
+    n, place = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(order)
     v, near = F.col(value), lambda f, k: f(value, k).over(order)
     before, after = F.coalesce(near(F.lag, 1), v), F.coalesce(near(F.lead, 1), v)
     two_before, two_after = F.coalesce(near(F.lag, 2), before), F.coalesce(near(F.lead, 2), after)
     soft = (two_before + before * 2 + v * 3 + after * 2 + two_after) / 9
-    end = near(F.lag, 1).isNull() | near(F.lead, 1).isNull()
+    end = (place == 1) | (place == n)
     return points.withColumn("smoothed", F.when((n < 4) | end, v.cast("double")).otherwise(soft))
 
 
@@ -90,9 +90,18 @@ def resample(points: DataFrame, keys: list[str], value: str, count: int) -> Data
     return both.select(*keys, "i", "x", (F.col("lv") + (F.col("rv") - F.col("lv")) * ratio).alias("value"))
 
 
-def latest(points: DataFrame, keys: list[str], sampled: str) -> DataFrame:
-    """The latest sampled point of each series."""
-    return points.where(F.col(sampled).isNotNull()).groupBy(*keys).agg(F.max("at_us").alias("at_us"), F.max_by(sampled, "at_us").alias(sampled))
+def latest(points: DataFrame, keys: list[str], sampled: str, chosen_us: int | None = None) -> DataFrame:
+    """The sampled point of each series at the chosen time, or its latest one where there is none such."""
+    place = F.struct((F.col("at_us") == chosen_us) if chosen_us is not None else F.lit(False), F.col("at_us"))
+    found = points.where(F.col(sampled).isNotNull()).groupBy(*keys).agg(F.max_by(F.struct("at_us", sampled), place).alias("p"))
+    return found.select(*keys, "p.at_us", f"p.{sampled}")
+
+
+def history_points(samples: DataFrame, metrics: list[str]) -> DataFrame:
+    """History samples as trend points, at whole seconds; of the samples of a second the last one."""
+    second = F.floor(F.col("at_us") / 1_000_000) * 1_000_000
+    last = samples.groupBy(second.alias("second")).agg(F.max_by(F.struct(*metrics), "at_us").alias("m"))
+    return last.select(F.col("second").alias("at_us"), "m.*")
 
 
 def to_json_points(points: DataFrame) -> DataFrame:
@@ -100,4 +109,4 @@ def to_json_points(points: DataFrame) -> DataFrame:
     return points.select(F.to_json(F.struct(*points.columns)).alias("value"))
 
 
-__all__ = ["coverage", "evidence_start", "grid", "latest", "merge", "resample", "runtime_trends", "smooth", "to_json_points", "transcript_trends"]
+__all__ = ["coverage", "evidence_start", "grid", "history_points", "latest", "merge", "resample", "runtime_trends", "smooth", "to_json_points", "transcript_trends"]

@@ -32,7 +32,7 @@ def search(observed: DataFrame, processes: DataFrame, query: str) -> DataFrame:
 
 def project_sessions(observed: DataFrame, project: str) -> DataFrame:
     """Sessions of a project, in any case, active ones first."""
-    name = F.lower(F.coalesce(F.nullif(F.trim("attributed"), F.lit("")), F.lit("unassigned")))
+    name = F.lower(F.coalesce(F.nullif(T.stripped("attributed"), F.lit("")), F.lit("unassigned")))
     want = (project.strip() or "unassigned").lower()
     return observed.where(name == want).orderBy(F.desc("active_burst"), F.asc_nulls_last("age_s"), "session_id")
 

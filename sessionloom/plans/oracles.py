@@ -75,9 +75,9 @@ start AS (SELECT min(ts) AS start_us FROM (SELECT min(ts_us) AS ts FROM ev WHERE
 
 
 def reasons(sr: str = "sr", sm: str = "sm", su: str = "su", sh: str = "sh") -> str:
-    return f"""array_to_string(list_sort(list_filter([CASE WHEN {sr} > 0 THEN {sr} || ' sessions rely on config-root parent fallback' END,
-      CASE WHEN {sm} > 0 THEN {sm} || ' sessions derive project from transcript storage paths' END, CASE WHEN {su} > 0 THEN {su} || ' sessions stayed unassigned' END,
-      CASE WHEN ({sh} > 0)::INT + ({sm} > 0)::INT + ({sr} + {su} > 0)::INT > 1 THEN 'project attribution mixes multiple evidence strengths' END], lambda x: x IS NOT NULL)), '|')"""
+    return f"""array_to_string(list_sort(list_filter([CASE WHEN {sr} > 0 THEN 'root_parent:' || {sr} END,
+      CASE WHEN {sm} > 0 THEN 'storage_path:' || {sm} END, CASE WHEN {su} > 0 THEN 'unassigned:' || {su} END,
+      CASE WHEN ({sh} > 0)::INT + ({sm} > 0)::INT + ({sr} + {su} > 0)::INT > 1 THEN 'mixed_sources' END], lambda x: x IS NOT NULL)), '|')"""
 
 
 def peak(spans: str, low: str, high: str, key: str = "") -> str:
@@ -110,7 +110,8 @@ SQL = {
         f"SELECT '{kind}' AS kind, '{rng}' AS range, * FROM ({peak(spans, low, str(NOW))})"
         for kind, spans in (("session", "spans"), ("burst", "bursts")) for rng, low in (("today", f"({NOW} - {NOW} % {DAY})"), ("seven_day", f"({NOW} - 7 * {DAY})"))
     ),
-    "concurrency_at": "SELECT p.at_us, (SELECT count(*) FROM bursts WHERE start_us <= p.at_us) - (SELECT count(*) FROM bursts WHERE end_us <= p.at_us) AS level FROM (SELECT DISTINCT ts_us AS at_us FROM ev WHERE event_id % 10 = 0) p",
+    "concurrency_at": """SELECT at_us, level::BIGINT AS level FROM (SELECT at_us, max(asked) AS asked, sum(sum(change)) OVER (ORDER BY at_us) AS level FROM (
+        SELECT ts_us AS at_us, 0 AS change, true AS asked FROM ev UNION ALL SELECT start_us, 1, false FROM bursts UNION ALL SELECT end_us, -1, false FROM bursts) GROUP BY at_us) WHERE asked""",
     "concurrency_series": f"SELECT at_us, level FROM ({level('bursts', '(SELECT * FROM grid WHERE range = chr(55) || chr(68))')})",
     "trend_grid": "SELECT range, at_us, at_us <= (SELECT max(ts_us) FROM ev) AS within_data FROM grid",
     "json_first_field": """SELECT event_id AS line_no, kind AS type, CASE WHEN event_id % 3 = 0 THEN session_id ELSE '' END AS "sessionId",
@@ -145,26 +146,26 @@ SQL = {
     "session_hints": "SELECT event_id, CASE WHEN event_id % 8 < 3 THEN printf('%08x', event_id) ELSE '' END AS hints FROM ev",
     "fallback_id": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN session_id WHEN 1 THEN 'run' || user_id ELSE 'plain-' || user_id END AS id FROM ev",
     "process_session_map": "SELECT pid, key, tool, session_id, path, transcript_path, transcript_activity, parsed_transcript_id, command_hint, fallback_session_id FROM px",
-    "mapping_conflicts": """SELECT pid, 'PID ' || pid || ' ' || tool || ' ignored weaker filename-derived fallback session id "u' || user_id || '" from ' || other || ' in favor of command hint "' || hint || '".' AS note FROM pr WHERE k = 1 AND hint <> 'u' || user_id
-        UNION ALL SELECT pid, 'PID ' || pid || ' ' || tool || ' ignored weaker command hint "' || hint || '" because parsed transcript session id "u' || user_id || '" won.' FROM pr WHERE k = 3""",
+    "mapping_conflicts": """SELECT pid, pid || ' (' || tool || '): the id u' || user_id || ' in the name of ' || other || ' gave way to the hint ' || hint AS note FROM pr WHERE k = 1 AND hint <> 'u' || user_id
+        UNION ALL SELECT pid, pid || ' (' || tool || '): the hint ' || hint || ' gave way to u' || user_id || ' in its transcripts' FROM pr WHERE k = 3""",
     "process_mapping_counts": "SELECT pid, pr.tool, coalesce(session_id, '') AS session_ids, coalesce(px.path, '') AS session_paths, (session_id IS NOT NULL)::INT AS mapped_sessions FROM pr LEFT JOIN px USING (pid)",
     "live_sessions": "SELECT key, tool, session_id, freshness, process_count::INT AS process_count, age_s, project, array_to_string(provenance, '|') AS provenance, CASE WHEN parsed THEN 'transcript_path' WHEN hinted THEN 'command_hint' ELSE 'fallback_session_id' END AS mapping_method FROM ob",
     "transcript_only_sessions": "SELECT key, tool, session_id FROM alone",
     "session_freshness": """SELECT key, freshness, freshness = 'active' AS active_burst, freshness = 'stale' AS stale, recent, missing AS missing_transcript, confidence,
-        array_to_string(list_filter([CASE WHEN fell AND NOT parsed AND NOT hinted THEN 'session id falls back to filename-derived evidence' WHEN fell THEN 'filename-derived fallback evidence also matched this session' END,
-        CASE WHEN hinted AND NOT parsed THEN 'mapped from command hint instead of a parsed transcript session id' END, CASE WHEN missing THEN 'transcript timing missing' END], lambda x: x IS NOT NULL), '|') AS confidence_reasons FROM ob""",
+        array_to_string(list_filter([CASE WHEN fell AND NOT parsed AND NOT hinted THEN 'id_from_file_name' WHEN fell THEN 'file_name_agrees' END,
+        CASE WHEN hinted AND NOT parsed THEN 'id_from_command' END, CASE WHEN missing THEN 'no_event_times' END], lambda x: x IS NOT NULL), '|') AS confidence_reasons FROM ob""",
     "session_role": """SELECT key, role, CASE WHEN u IS NULL THEN 'low' WHEN u % 4 < 2 OR u % 10 > 6 THEN 'high' WHEN u % 13 = 0 OR u % 4 = 2 THEN 'medium' ELSE 'low' END AS role_confidence,
-        array_to_string(list_sort(list_filter([CASE WHEN u IS NULL THEN 'no transcript role metadata' END, CASE WHEN u % 4 = 0 THEN 'thread_source=user' WHEN u % 4 = 1 THEN 'thread_source=subagent' END,
-        CASE WHEN u % 10 > 6 THEN 'parent_thread_id present' END, CASE WHEN u % 13 = 0 THEN 'codexL lane transcript path' END,
-        CASE WHEN u % 4 = 2 AND u % 10 <= 6 AND u % 13 <> 0 THEN 'independently resumable session log' END,
-        CASE WHEN u % 4 = 3 AND u % 10 <= 6 AND u % 13 <> 0 THEN CASE WHEN process_count > 0 THEN 'process and session id present but role metadata absent' ELSE 'role metadata unavailable' END END], lambda x: x IS NOT NULL)), '|') AS role_reasons FROM ob""",
+        array_to_string(list_sort(list_filter([CASE WHEN u IS NULL THEN 'no_trace' END, CASE WHEN u % 4 = 0 THEN 'thread_source=user' WHEN u % 4 = 1 THEN 'thread_source=subagent' END,
+        CASE WHEN u % 10 > 6 THEN 'has_parent_thread' END, CASE WHEN u % 13 = 0 THEN 'lane_file' END,
+        CASE WHEN u % 4 = 2 AND u % 10 <= 6 AND u % 13 <> 0 THEN 'runs_alone' END,
+        CASE WHEN u % 4 = 3 AND u % 10 <= 6 AND u % 13 <> 0 THEN CASE WHEN process_count > 0 THEN 'process_without_role' ELSE 'no_role_evidence' END END], lambda x: x IS NOT NULL)), '|') AS role_reasons FROM ob""",
     "project_from_path": "SELECT user_id, CASE user_id % 5 WHEN 0 THEN 'x' || user_id WHEN 1 THEN 'unknown' ELSE CASE WHEN tool = 'claude' THEN 'p' || user_id % 7 ELSE 'unknown' END END AS project FROM tr",
-    "path_project_name": """SELECT user_id, ['w' || user_id, '', '', 'b' || user_id, '', '', '', ''][user_id % 8 + 1] AS name, ['', 'path is anchored under a home/global directory', 'path is empty or root', '',
-        'path does not end in a stable project directory', 'path ends in generic directory "Tmp"', 'path is anchored under a home/global directory', 'path is empty or root'][user_id % 8 + 1] AS reason FROM tr""",
-    "project_attribution": """SELECT key, project, source, source_confidence AS confidence, CASE source WHEN 'transcript_project' THEN 'parsed transcript provided an explicit project name'
-        WHEN 'transcript_cwd' THEN 'parsed transcript cwd resolved to the project directory' WHEN 'transcript_path' THEN 'project derived from the transcript storage path'
-        WHEN 'config_root_parent' THEN 'fell back to the parent of the local .codex config root' ELSE CASE WHEN path LIKE '/home/%' THEN 'local .claude config root is anchored under a home/global directory, so project stays unassigned|'
-        WHEN path LIKE '%/.trae/%' THEN 'no parsed transcript cwd/project evidence|parent of the local .trae/cli config root is generic, so project stays unassigned' ELSE '' END || CASE WHEN path LIKE '%/.trae/%' THEN '' ELSE 'no parsed transcript cwd/project evidence' END END AS reasons FROM ob""",
+    "path_project_name": """SELECT user_id, ['w' || user_id, '', '', 'b' || user_id, '', '', '', ''][user_id % 8 + 1] AS name, ['', 'home_directory', 'root_path', '',
+        'no_named_directory', 'generic_directory:Tmp', 'home_directory', 'root_path'][user_id % 8 + 1] AS reason FROM tr""",
+    "project_attribution": """SELECT key, project, source, source_confidence AS confidence, CASE source WHEN 'transcript_project' THEN 'named_in_transcript'
+        WHEN 'transcript_cwd' THEN 'working_directory' WHEN 'transcript_path' THEN 'storage_path'
+        WHEN 'config_root_parent' THEN '.codex:root_parent' ELSE CASE WHEN path LIKE '/home/%' THEN '.claude:root_in_home_directory|'
+        WHEN path LIKE '%/.trae/%' THEN '.trae/cli:root_in_generic_directory|no_project_evidence' ELSE '' END || CASE WHEN path LIKE '%/.trae/%' THEN '' ELSE 'no_project_evidence' END END AS reasons FROM ob""",
     "current_by_tool": f"""SELECT tool, (SELECT count(*) FROM pr WHERE pr.tool = t.tool) AS pid_concurrency, (SELECT count(*) FROM ob WHERE ob.tool = t.tool) AS session_concurrency,
         (SELECT count(*) FROM ob WHERE ob.tool = t.tool AND {NOW} - last_us <= {GAP}) AS active_burst_concurrency FROM (VALUES ('claude'), ('codex'), ('trae')) t(tool)""",
     "current_metrics": f"SELECT (SELECT count(*) FROM pr) AS pid_concurrency, count(*) AS session_concurrency, count(*) FILTER ({NOW} - last_us <= {GAP}) AS active_burst_concurrency FROM ob",
@@ -175,14 +176,14 @@ SQL = {
         FROM (VALUES ('0-30s'), ('31-7200s'), ('7201-300s'), ('5m+'), ('No trace')) l(label)""",
     "project_focus": f"""SELECT project, session_count, active_burst_count, main_agent_sessions, subagent_sessions, unknown_role_sessions, stale_session_count, recent_session_count, process_count, basis, share AS attention_share_pct, age_s,
         CASE session_count WHEN ch THEN 'high' WHEN cl THEN 'low' ELSE 'medium' END AS confidence, CASE session_count WHEN sh THEN 'high' WHEN sr + su THEN 'low' ELSE 'medium' END AS attribution_confidence,
-        array_to_string(list_filter([CASE WHEN cl > 0 THEN cl || ' session mappings are low-confidence' END, CASE WHEN miss > 0 THEN miss || ' sessions are missing transcript timing' END,
-        CASE WHEN ch > 0 AND cm + cl > 0 THEN 'project mixes direct transcript-path evidence with weaker mappings' END], lambda x: x IS NOT NULL), '|') AS confidence_reasons, {reasons()} AS attribution_reasons FROM focus2""",
+        array_to_string(list_filter([CASE WHEN cl > 0 THEN 'low_confidence:' || cl END, CASE WHEN miss > 0 THEN 'no_event_times:' || miss END,
+        CASE WHEN ch > 0 AND cm + cl > 0 THEN 'mixed_confidence' END], lambda x: x IS NOT NULL), '|') AS confidence_reasons, {reasons()} AS attribution_reasons FROM focus2""",
     "project_tools": """SELECT *, row_number() OVER (PARTITION BY project ORDER BY active_burst_count DESC, session_count DESC, tool)::INT AS place FROM (SELECT project, tool, count(*) AS session_count, count(*) FILTER (freshness = 'active') AS active_burst_count,
         (SELECT count(DISTINCT pid) FROM pids p WHERE p.project = ob.project AND p.tool = ob.tool) AS process_count FROM ob GROUP BY project, tool)""",
     "attention_basis": "SELECT * FROM den",
     "candidate_workitems": f"""SELECT 'project=' || project || '|tool=' || tool || '|freshness=' || freshness AS key, project, tool, freshness, session_count, process_count, confidence, session_ids,
-        array_to_string(list_filter(['grouped only by project + tool + freshness bucket', CASE WHEN session_count > 1 THEN session_count || ' sessions share this conservative bucket' END,
-        CASE WHEN low > 0 THEN low || ' sessions are low-confidence' END, CASE WHEN miss > 0 THEN miss || ' sessions are missing transcript timing' END], lambda x: x IS NOT NULL), '|') AS reasons, {reasons()} AS attribution_reasons FROM work""",
+        array_to_string(list_filter(['by_project_tool_freshness', CASE WHEN session_count > 1 THEN 'sessions:' || session_count END,
+        CASE WHEN low > 0 THEN 'low_confidence:' || low END, CASE WHEN miss > 0 THEN 'no_event_times:' || miss END], lambda x: x IS NOT NULL), '|') AS reasons, {reasons()} AS attribution_reasons FROM work""",
     "confidence_breakdown": "SELECT confidence AS level, count(*) AS n FROM ob GROUP BY 1",
     "provenance_summary": "SELECT level, count(*) AS n FROM (SELECT unnest(provenance) AS level FROM ob) GROUP BY 1",
     "attribution_sources": "SELECT source AS level, count(*) AS n FROM ob GROUP BY 1",
@@ -195,20 +196,28 @@ SQL = {
         count(*) FILTER (confidence = 'low') AS low, sum(session_count)::BIGINT AS sessions, coalesce(sum(session_count) FILTER (project <> 'unassigned'), 0) * 1000.0::DOUBLE / sum(session_count) / 10 AS coverage_pct FROM work""",
     "load_peak": f"""SELECT value, source FROM (SELECT count(*) AS value, 'current_snapshot' AS source, 0 AS o FROM ob UNION ALL SELECT peak, 'today_transcript_peak', 1 FROM ({peak('spans', f'({NOW} - {NOW} % {DAY})', str(NOW))})
         UNION ALL SELECT peak, 'seven_day_transcript_peak', 2 FROM ({peak('spans', f'({NOW} - 7 * {DAY})', str(NOW))})) ORDER BY value DESC, o LIMIT 1""",
-    "snapshot_notes": """SELECT unnest(list_filter([CASE WHEN a > 0 THEN a || ' live processes had no session mapping and only contribute to PID concurrency.' END, CASE WHEN b > 0 THEN b || ' live sessions lack transcript timing, so active burst concurrency is conservative.' END,
-        CASE WHEN c > 0 THEN c || ' recent transcript-backed sessions had no currently mapped process and were included as local activity sessions.' END,
-        '3 older transcript files were deferred from the foreground snapshot; live process files and transcripts with recent local activity are still included.'], lambda x: x IS NOT NULL)) AS note
+    "snapshot_notes": """SELECT unnest(list_filter([CASE WHEN a > 0 THEN 'processes_without_session:' || a END, CASE WHEN b > 0 THEN 'sessions_without_times:' || b END,
+        CASE WHEN c > 0 THEN 'sessions_without_process:' || c END,
+        'files_deferred:3'], lambda x: x IS NOT NULL)) AS note
         FROM (SELECT (SELECT count(*) FROM pr WHERE k = 4) AS a, (SELECT count(*) FROM ob WHERE missing) AS b, (SELECT count(*) FROM alone) AS c)""",
     "history_load_stats": f"""SELECT count(*) FILTER (hour % 50 <> 0) AS loaded, count(*) FILTER (hour % 50 <> 0 AND hour * {HOUR} < {NOW} - 30 * {DAY}) AS dropped, count(*) FILTER (hour % 50 = 0) AS corrupt,
         (SELECT count(*) FROM samples) AS retained, (SELECT min(at_us) FROM samples) AS first_us, (SELECT max(at_us) FROM samples) AS last_us FROM hist""",
     "history_dedup": "SELECT at_us, pid_concurrency, session_concurrency, active_burst_concurrency, mapped_processes, unmapped_processes FROM samples",
+    "history_trend_points": "SELECT at_us, pid_concurrency, session_concurrency FROM samples",
+    "confidence_grid": "SELECT c AS confidence, (SELECT count(*) FROM ob WHERE ob.confidence = c) AS n FROM (SELECT unnest(['high', 'medium', 'low']) AS c)",
     "history_range": f"SELECT at_us, pid_concurrency FROM samples WHERE at_us BETWEEN {NOW} - 3 * {DAY} AND {NOW} - {DAY}",
     "history_allocation": f"""SELECT project, count(*) AS samples, round(sum(share) / count(*), 6) AS average_share_pct, max(share) AS peak_share_pct, max(s) AS max_sessions, max(n) AS max_active_bursts, max(n) AS max_processes FROM (
         SELECT ts_us // {HOUR} AS hour, 'p' || user_id % 7 AS project, count(*) AS n, count(DISTINCT session_id) AS s, count(*) * 1000.0::DOUBLE / any_value(total) / 10 AS share FROM ev
         JOIN (SELECT ts_us // {HOUR} AS h, count(*) AS total FROM ev GROUP BY 1) ON h = ts_us // {HOUR} WHERE user_id % 11 <> 0 GROUP BY ALL) JOIN samples USING (hour) WHERE at_us BETWEEN {NOW} - 7 * {DAY} AND {NOW} GROUP BY project""",
     "history_growth": "SELECT count(*) AS samples, min(at_us) AS from_us, max(at_us) AS to_us, " + ", ".join(f"min_by({c}, at_us) AS {c}_start, max_by({c}, at_us) AS {c}_end, max_by({c}, at_us) - min_by({c}, at_us) AS {c}_delta" for c in ("pid_concurrency", "session_concurrency", "active_burst_concurrency")) + f" FROM samples WHERE at_us BETWEEN {NOW} - 7 * {DAY} AND {NOW}",
     "history_peaks": " UNION ALL ".join(f"SELECT '{c}' AS metric, max({c}) AS value, min_by(at_us, (-{c}, at_us)) AS at_us FROM samples" for c in ("pid_concurrency", "session_concurrency", "active_burst_concurrency", "mapped_processes", "unmapped_processes")),
-    "redact_text": "SELECT page_id, 'see file:x.html, cwd:w' || page_id % 7 || ' or (tmp) from ' || CASE WHEN url LIKE '%=%' THEN url ELSE split_part(url, ':', 1) || ':' || regexp_extract(rtrim(url, '/'), '[^/]*$') END AS text FROM pages",
+    "redact_text": r"""SELECT page_id, text FROM (WITH texts AS (SELECT page_id, 'see file:///var/data/p' || page_id || '/x.html, cwd:/srv/w' || page_id % 7 || ' or (/tmp/) from ' || url || ' ' || html AS text FROM pages),
+        tokens AS (SELECT page_id, text, unnest(range(len(f))) AS i, unnest(f) AS token FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS f FROM texts)),
+        parts AS (SELECT *, regexp_extract(token, '^(["''(\[{<]*)((?s:.)*?)(["'')\]}>,;:]*)$', ['lead', 'core', 'tail']) AS p FROM tokens),
+        keyed AS (SELECT *, CASE WHEN contains(p.core, '=') THEN regexp_extract(p.core, '^[^=]*=') WHEN regexp_matches(p.core, '^[^:]+:(?s:.)') THEN regexp_extract(p.core, '^[^:]+:') ELSE '' END AS key FROM parts),
+        plain AS (SELECT *, substr(p.core, length(key) + 1) AS value, regexp_replace(substr(p.core, length(key) + 1), '(?i)^file:(//[^/]*)?/', '/') AS bare FROM keyed),
+        done AS (SELECT *, p.lead || key || CASE WHEN bare NOT LIKE '/%' THEN value ELSE coalesce(nullif(list_filter(string_split(bare, '/'), lambda x: x NOT IN ('', '.'))[-1], ''), 'local-path') END || p.tail AS said FROM plain)
+        SELECT page_id, CASE WHEN bool_and(said = token) THEN any_value(text) ELSE string_agg(said, ' ' ORDER BY i) END AS text FROM done GROUP BY page_id)""",
     "redact_command": "SELECT pid, tool || ' --session-id=<value> --cwd=<value> -v resume ...' AS command FROM pr",
     "session_tree": "SELECT tool, count(*) FILTER (place = 'main') AS mains, count(*) FILTER (place = 'child') AS children, count(*) FILTER (place = 'unlinked') AS unlinked, count(*) FILTER (place = 'unknown') AS unknown FROM tree GROUP BY tool",
     "session_tree_hidden": """SELECT t.tool, (coalesce((SELECT sum(CASE WHEN nth > 3 THEN kids + 1 ELSE greatest(0, kids - 1) END) FROM branches b WHERE b.tool = t.tool), 0) + u - least(u, 2) + greatest(0, n - greatest(1, 2 - least(u, 2))))::BIGINT AS hidden
@@ -251,7 +260,22 @@ CLIMB = BASE.replace("WITH ev", "WITH RECURSIVE ev").rstrip() + """, climb AS (S
     UNION ALL SELECT start, u.user_id + 2, n + 1, list_append(seen, u.user_id + 2) FROM climb c JOIN (SELECT DISTINCT user_id FROM ev) u
     ON u.user_id + 2 = CASE WHEN (c.pid - 2) % 50 = 7 THEN c.pid ELSE (c.pid - 2) // 2 + 1 END WHERE (c.pid - 2) % 9 <> 4 AND n < 12 AND NOT list_contains(seen, u.user_id + 2))
 """
-HEADS = {"top_project": OWN, "coordination_risk": TREE, "session_tree": TREE, "session_tree_hidden": TREE, "host_ancestor": CLIMB}
+HEADS = {"top_project": OWN, "coordination_risk": TREE, "risk_signals": TREE, "session_tree": TREE, "session_tree_hidden": TREE, "host_ancestor": CLIMB}
 SQL["coordination_risk"] = SQL["coordination_risk"].replace("PEAKS", SQL["load_peak"])
+SIGNALS = (
+    ("top_project_share", "top_project <> ''", "top_project", "CASE WHEN active_projects > 1 THEN active_projects - 1 WHEN recent_projects > 1 THEN recent_projects - 1 WHEN projects > 1 THEN projects - 1 ELSE 0 END", "NULL", "top_share_pct"),
+    ("sessions_without_recent_event", "stale_sessions > 0", "'6h'", "stale_sessions", "NULL", "NULL"),
+    ("unmatched_processes", "orphan_processes > 0", "NULL", "orphan_processes", "NULL", "NULL"),
+    ("recent_sessions", "churn_sessions > 0", "recent_window_minutes || 'm'", "churn_sessions", "NULL", "NULL"),
+    ("project_spread", "projects > 1 AND anchored_sessions > 1", "NULL", "anchored_sessions", "projects", "fragmentation_pct"),
+    ("observed_peak_ratio", "peak_value > 0 AND sessions > 0", "peak_source", "sessions", "peak_value", "load_ratio_pct"),
+    ("duplicate_overlap_candidates", "suspicion > 0 OR clusters > 0", "(SELECT details FROM (DETAILS))", "suspicion", "clusters", "NULL"),
+    ("low_confidence_mapping", "low_confidence_sessions > 0", "'low:' || low_sessions || ',no_event_times:' || missing_sessions", "low_confidence_sessions", "NULL", "NULL"),
+    ("candidate_workitem_coverage", "sessions > 0", "concat_ws(',', CASE WHEN high > 0 THEN 'high:' || high END, CASE WHEN medium > 0 THEN 'medium:' || medium END, CASE WHEN low > 0 THEN 'low:' || low END)", "covered", "sessions", "coverage_pct"),
+)
+SQL["risk_signals"] = "SELECT place, kind, subject, n, of_n, pct FROM (" + " UNION ALL ".join(
+    f"SELECT {i}::INT AS place, '{kind}' AS kind, ({subject})::VARCHAR AS subject, ({n})::BIGINT AS n, ({of_n})::BIGINT AS of_n, ({pct})::DOUBLE AS pct FROM ({SQL['coordination_risk']}) WHERE {when}"
+    for i, (kind, when, subject, n, of_n, pct) in enumerate(SIGNALS)
+).replace("DETAILS", SQL["duplicate_overlap"]) + ")"
 SQL["redact_sessions"] = f"SELECT b.tool, b.session_id, a.project, b.freshness, b.confidence, a.reasons, 'project=' || a.project || '|tool=' || b.tool || '|freshness=' || b.freshness AS key FROM ({SQL['project_attribution']}) a JOIN ob b USING (key)"
 ORACLES = {name: HEADS.get(name, BASE) + sql for name, sql in SQL.items()}

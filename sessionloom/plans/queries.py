@@ -70,7 +70,7 @@ def peak_by_tool(s, d):
 
 @query
 def historic_peaks(s, d):
-    midnight = NOW - NOW % DAY
+    midnight = intervals.day_start(NOW, "UTC")
     parts = []
     for kind, spans in (("session", spans_of(s, d)), ("burst", bursts_of(s, d))):
         for window, start in (("today", midnight), ("seven_day", NOW - 7 * DAY)):
@@ -80,7 +80,7 @@ def historic_peaks(s, d):
 
 @query
 def concurrency_at(s, d):
-    points = A.trace_events(s, d).where("event_id % 10 = 0").select(F.col("ts_us").alias("at_us"))
+    points = A.trace_events(s, d).select(F.col("ts_us").alias("at_us"))
     return intervals.concurrency_at(bursts_of(s, d), points)
 
 
@@ -158,7 +158,7 @@ def evidence_start(s, d):
 
 @query
 def transcript_trends(s, d):
-    spans, bursts = spans_of(s, d).persist(), bursts_of(s, d).persist()  # every range reads both
+    spans, bursts = A.land(spans_of(s, d), "spans"), A.land(bursts_of(s, d), "bursts")  # every range reads both
     both = spans.select("start_us", "end_us").union(bursts.select("start_us", "end_us"))
     return trends.transcript_trends(spans, bursts, trends.evidence_start(A.trace_events(s, d), both, NOW - 7 * DAY, NOW), NOW)
 
@@ -189,6 +189,17 @@ def trend_merge(s, d):
     return trends.merge(old, new, ["pid_concurrency", "session_concurrency"]).orderBy(F.desc("at_us")).limit(18)
 
 
+@query
+def history_trend_points(s, d):
+    return trends.history_points(_samples(s, d), ["pid_concurrency", "session_concurrency"])
+
+
+@query
+def confidence_grid(s, d):
+    seen = A.land(observed_of(s, d), "observed")
+    return rollups.confidence_grid(rollups.project_focus(seen, NOW), seen)
+
+
 @query
 def trend_smooth(s, d):
     return trends.smooth(_points(s, d), ["range"], "pid_concurrency").select("range", "at_us", F.round("smoothed", 6).alias("smoothed"))
@@ -365,7 +376,7 @@ def age_buckets(s, d):
 
 
 def _focus(s, d):
-    return rollups.project_focus(observed_of(s, d).persist(), NOW)
+    return rollups.project_focus(A.land(observed_of(s, d), "observed"), NOW)
 
 
 @query
@@ -417,10 +428,10 @@ def _peak(s, d):
 
 
 def _risk(s, d):
-    seen, counts = observed_of(s, d).persist(), _counts(s, d)  # read by every indicator
+    seen, counts = A.land(observed_of(s, d), "observed"), _counts(s, d)  # read by every indicator
     peaks = historic_peaks(s, d).where("kind = 'session'").select(F.concat("range", F.lit("_transcript_peak")).alias("source"), F.col("peak").alias("value"))
     peak = indicators.load_peak(seen.agg(F.count("*").alias("value")), peaks)
-    return indicators.coordination_risk(counts, seen, rollups.project_focus(seen, NOW).persist(), rollups.candidate_workitems(seen), peak, GAP)
+    return indicators.coordination_risk(counts, seen, rollups.project_focus(seen, NOW), rollups.candidate_workitems(seen), peak, GAP)
 
 
 @query
@@ -497,7 +508,7 @@ def history_peaks(s, d):
 
 @query
 def redact_text(s, d):
-    return A.table(s, d, "pages").select("page_id", T.redact_text(F.concat(F.lit("see file:///var/data/p"), F.col("page_id"), F.lit("/x.html, cwd:/srv/w"), F.col("page_id") % 7, F.lit(" or (/tmp/) from "), F.col("url"))).alias("text"))
+    return A.table(s, d, "pages").select("page_id", T.redact_text(F.concat(F.lit("see file:///var/data/p"), F.col("page_id"), F.lit("/x.html, cwd:/srv/w"), F.col("page_id") % 7, F.lit(" or (/tmp/) from "), F.col("url"), F.lit(" "), F.col("html"))).alias("text"))
 
 
 @query
@@ -522,12 +533,12 @@ def project_sessions(s, d):
 
 @query
 def session_tree(s, d):
-    return views.tree_counts(views.session_tree(observed_of(s, d).persist()))
+    return views.tree_counts(views.session_tree(A.land(observed_of(s, d), "observed")))
 
 
 @query
 def session_tree_hidden(s, d):
-    return views.hidden_counts(views.session_tree(observed_of(s, d).persist()).persist(), 3, 1, 2)
+    return views.hidden_counts(A.land(views.session_tree(A.land(observed_of(s, d), "observed")), "tree"), 3, 1, 2)
 
 
 @query

@@ -11,17 +11,21 @@ from sessionloom.functions import text as T
 def read_lines(spark: SparkSession, root: str, glob: str = "*.jsonl", since=None) -> DataFrame:
     """All non-blank lines of files below ``root``: path, line_no, value, mtime, size; optionally of files changed since a time.
 
-    line_no orders the lines of a file; it is taken before any shuffle. Spark lists no hidden folders on its own, so
+    line_no counts a file's lines from 1, blank ones included, however Spark packs
+    files and blocks into tasks, so a line keeps it when the file has grown and is read
+    again; a file is numbered in one task. Spark lists no hidden folders on its own, so
     ``root`` has to lead through them, as in ``/home/x/.codex/sessions``.
     """
+    in_file = Window.partitionBy("path").orderBy("block", "read")
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
     lines = files.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"),
-        (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)).alias("line_no"), F.trim("value").alias("value"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("read"), T.stripped("value").alias("value"),
     )
     if since is not None:
         lines = lines.where(F.col("mtime") >= F.lit(since).cast("timestamp"))
-    return lines.where("value <> ''")
+    numbered = lines.withColumn("line_no", F.row_number().over(in_file).cast("long"))
+    return numbered.select("path", "mtime", "size", "line_no", "value").where("value <> ''")
 
 
 def lane_lines(spark: SparkSession, root: str, since=None) -> DataFrame:

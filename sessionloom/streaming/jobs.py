@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.config import refresh_interval
 from sessionloom.functions import text as T
-from sessionloom.operators.history import append
+from sessionloom.operators.history import to_lines
 from sessionloom.operators.traces import fold_traces
 
 
@@ -32,20 +33,32 @@ def sample_buckets(samples: DataFrame, step: str, lateness: str) -> DataFrame:
     return out.select(F.col("window.start").alias("bucket"), "m.*")
 
 
-def keep_traces(lines: DataFrame, bronze: str, traces: str, checkpoint: str):
+def tick(every_s: int | None) -> dict:
+    """The trigger of a job: all there is and then an end, or a batch every so many seconds (30 at least; 0 means paused, so once)."""
+    seconds = refresh_interval(every_s or 0)
+    return {"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True}
+
+
+def keep_traces(lines: DataFrame, bronze: str, traces: str, checkpoint: str, every_s: int | None = None, buckets: int = 256):
     """Land new lines and fold the traces of the transcripts they touch again; a batch that is repeated gives the same.
 
-    ``lines`` has path, tool, line_no and value. Traces are written by batch; the newest batch of a path holds.
+    ``lines`` has path, tool, line_no and value, and a line keeps its number when
+    its file is read again. Lines are landed by buckets of paths, so a batch
+    reads the history of its own buckets alone. Traces are written by batch; the newest batch of a path holds.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{bronze}/batch={number}")
-        touched = batch.select("path").distinct()
-        every = spark.read.parquet(bronze).where(F.col("batch") <= number).join(touched, "path", "left_semi")
-        fold_traces(every.dropDuplicates(["path", "line_no"])).write.mode("overwrite").parquet(f"{traces}/batch={number}")
+        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
+        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(f"{bronze}/batch={number}")
+        landed = spark.read.parquet(f"{bronze}/batch={number}")
+        some = [r.bucket for r in landed.select("bucket").distinct().collect()]  # ``buckets`` at most
+        # only the folders of the touched buckets are read again
+        every = spark.read.parquet(bronze).where((F.col("batch") <= number) & F.col("bucket").isin(some)).join(landed.select("path").distinct(), "path", "left_semi")
+        newest = every.groupBy("path", "line_no").agg(F.max_by(F.struct("tool", "value"), "batch").alias("l"))
+        fold_traces(newest.select("path", "line_no", "l.*")).write.mode("overwrite").parquet(f"{traces}/batch={number}")
 
-    return lines.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(tick(every_s))).start()
 
 
 def latest_traces(spark, traces: str) -> DataFrame:
@@ -55,6 +68,10 @@ def latest_traces(spark, traces: str) -> DataFrame:
     return rows.join(newest, ["path", "batch"]).drop("batch")
 
 
-def keep_history(snapshots: DataFrame, path: str, checkpoint: str):
-    """Append snapshot samples to the history; its retention holds on reading."""
-    return snapshots.writeStream.foreachBatch(lambda batch, _: append(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_history(snapshots: DataFrame, path: str, checkpoint: str, every_s: int | None = None):
+    """Append snapshot samples to the history, a folder for each batch and day; a batch that is repeated replaces its own. Retention holds on reading."""
+
+    def land(batch: DataFrame, number: int) -> None:
+        to_lines(batch).write.mode("overwrite").partitionBy("day").text(f"{path}/batch={number}")
+
+    return snapshots.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(**tick(every_s)).start()

@@ -10,15 +10,13 @@ from sessionloom.plans.oracles import ORACLES
 from sessionloom.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["burst_spans", "peak_by_tool", "concurrency_series", "process_session_map", "live_sessions", "project_attribution", "candidate_workitems", "history_allocation", "redact_text", "process_files", "refresh_slot"]
-
 
 def plain(row):
     return tuple(None if v is None or v != v else round(v, 9) if isinstance(v, float) else v for v in row)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{DATA}/*.parquet"):
