@@ -1,4 +1,8 @@
-"""Which sessions a process belongs to, by ranked evidence, and the live sessions that follow."""
+"""Which sessions a process belongs to, by ranked evidence, and the live sessions that follow.
+
+Where processes have a column ``host``, each host's process ids, paths and sessions
+are its own, and all results carry the host; traces are then matched by host if they have one.
+"""
 
 from __future__ import annotations
 
@@ -26,11 +30,12 @@ def file_evidence(processes: DataFrame, traces: DataFrame) -> DataFrame:
     A parsed transcript id is strongest; next to one, a file without keeps only if its name gives the
     same id; else a sole command hint; else the id in the file name.
     """
-    files = processes.select("pid", F.col("tool").alias("process_tool"), T.sorted_set("hints").alias("hints"), F.explode("files").alias("f"))
-    files = files.select("pid", "process_tool", "hints", F.col("f.tool").alias("tool"), F.col("f.path").alias("path"))
-    known = traces.select("path", F.nullif(T.stripped("session_id"), F.lit("")).alias("trace_id"), F.lit(True).alias("traced"))
-    files = files.join(known, "path", "left").withColumn("fallback", F.nullif(T.fallback_id(F.col("tool"), F.col("path")), F.lit("")))
-    mine = Window.partitionBy("pid")
+    own, told = T.hosts(processes), T.hosts(processes, traces)
+    files = processes.select(*own, "pid", F.col("tool").alias("process_tool"), T.sorted_set("hints").alias("hints"), F.explode("files").alias("f"))
+    files = files.select(*own, "pid", "process_tool", "hints", F.col("f.tool").alias("tool"), F.col("f.path").alias("path"))
+    known = traces.select(*told, "path", F.nullif(T.stripped("session_id"), F.lit("")).alias("trace_id"), F.lit(True).alias("traced"))
+    files = files.join(known, [*told, "path"], "left").withColumn("fallback", F.nullif(T.fallback_id(F.col("tool"), F.col("path")), F.lit("")))
+    mine = Window.partitionBy(*own, "pid")
     parsed = F.collect_set(F.when(F.col("trace_id").isNotNull(), id_key("tool", "trace_id"))).over(mine)
     files = files.withColumn("parsed_keys", parsed)
     rule = (
@@ -45,27 +50,28 @@ def file_evidence(processes: DataFrame, traces: DataFrame) -> DataFrame:
 
 def process_sessions(processes: DataFrame, traces: DataFrame) -> DataFrame:
     """(pid, key, tool, session_id, path, trace_path, the five flags) of every process's sessions."""
+    own, told = T.hosts(processes), T.hosts(processes, traces)
     files = file_evidence(processes, traces)
     hint = F.element_at("hints", 1)
     session = F.when(F.col("rule") == "parsed", F.col("trace_id")).when(F.col("rule") == "hint", hint).when(F.col("rule").isin("sibling", "fallback"), F.col("fallback"))
     hinted = F.coalesce(F.array_contains("hints", F.col("fallback")), F.lit(False))
     by_path = (F.col("rule") == "none") | ((F.col("rule") == "fallback") & ~hinted)
     found = files.where("rule <> 'dropped'").select(
-        "pid", F.when(by_path, path_key("tool", "path")).otherwise(id_key("tool", session)).alias("key"), "tool", session.alias("session_id"), "path",
+        *own, "pid", F.when(by_path, path_key("tool", "path")).otherwise(id_key("tool", session)).alias("key"), "tool", session.alias("session_id"), "path",
         F.when(F.col("traced"), F.col("path")).alias("trace_path"), F.lit(True).alias("transcript_path"), F.lit(False).alias("transcript_activity"),
         (F.col("rule") == "parsed").alias("parsed_transcript_id"),
         ((F.col("rule") == "hint") | ((F.col("rule") == "fallback") & hinted)).alias("command_hint"),
         (F.col("rule").isin("sibling", "fallback") | ((F.col("rule") == "hint") & F.coalesce(F.col("fallback") == hint, F.lit(False)))).alias("fallback_session_id"),
     )
-    hints = processes.select("pid", "tool", F.size("files").alias("n_files"), F.explode(T.sorted_set("hints")).alias("session_id"))
+    hints = processes.select(*own, "pid", "tool", F.size("files").alias("n_files"), F.explode(T.sorted_set("hints")).alias("session_id"))
     hints = hints.withColumn("key", id_key("tool", "session_id"))
-    ids = by_id(traces).select(id_key("tool", "session_id").alias("key"), F.col("path").alias("trace_path"))
+    ids = by_id(traces).select(*told, id_key("tool", "session_id").alias("key"), F.col("path").alias("trace_path"))
     no = lambda *cs: {c: F.lit(c == "command_hint") for c in cs}
     alone = hints.where("n_files = 0").withColumn("path", F.lit(None).cast("string"))
-    joined = hints.where("n_files > 0").join(found.select("pid", "key").distinct(), ["pid", "key"]).withColumn("path", F.lit(None).cast("string"))
-    extra = alone.unionByName(joined).join(ids, "key", "left").withColumns(no(*FLAGS)).select(found.columns)
+    joined = hints.where("n_files > 0").join(found.select(*own, "pid", "key").distinct(), [*own, "pid", "key"]).withColumn("path", F.lit(None).cast("string"))
+    extra = alone.unionByName(joined).join(ids, [*told, "key"], "left").withColumns(no(*FLAGS)).select(found.columns)
     every = found.unionByName(extra)
-    merged = every.groupBy("pid", "key").agg(
+    merged = every.groupBy(*own, "pid", "key").agg(
         F.min("tool").alias("tool"), F.min("session_id").alias("session_id"), F.min("path").alias("path"), F.min("trace_path").alias("trace_path"),
         *[F.bool_or(f).alias(f) for f in FLAGS],
     )
@@ -74,50 +80,54 @@ def process_sessions(processes: DataFrame, traces: DataFrame) -> DataFrame:
 
 def mapping_notes(processes: DataFrame, traces: DataFrame) -> DataFrame:
     """(pid, note) where weaker evidence was passed over."""
+    own = T.hosts(processes)
     files = file_evidence(processes, traces)
     hint = F.element_at("hints", 1)
     passed = files.where((F.col("rule") == "hint") & F.col("fallback").isNotNull() & (F.col("fallback") != hint)).select(
-        "pid", F.format_string('%d (%s): the id %s in the name of %s gave way to the hint %s', "pid", "process_tool", "fallback", "path", hint).alias("note")
+        *own, "pid", F.format_string('%d (%s): the id %s in the name of %s gave way to the hint %s', "pid", "process_tool", "fallback", "path", hint).alias("note")
     )
-    won = files.where("rule = 'parsed'").groupBy("pid", "process_tool", "hints").agg(
+    won = files.where("rule = 'parsed'").groupBy(*own, "pid", "process_tool", "hints").agg(
         F.array_sort(F.collect_set("trace_id")).alias("ids"), F.collect_set(id_key("tool", "trace_id")).alias("keys")
     )
     text = F.array_join("ids", ", ")
     lost = won.withColumn("hint", F.explode("hints")).where(~F.array_contains("keys", id_key("process_tool", "hint"))).select(
-        "pid", F.format_string('%d (%s): the hint %s gave way to %s in its transcripts', "pid", "process_tool", "hint", text).alias("note")
+        *own, "pid", F.format_string('%d (%s): the hint %s gave way to %s in its transcripts', "pid", "process_tool", "hint", text).alias("note")
     )
     return passed.union(lost).distinct()
 
 
 def process_counts(processes: DataFrame, sessions: DataFrame) -> DataFrame:
     """Every process with its distinct session ids and paths; most sessions first."""
-    per = sessions.groupBy("pid").agg(F.array_sort(F.collect_set("session_id")).alias("session_ids"), F.array_sort(F.collect_set("path")).alias("session_paths"))
-    out = processes.select("pid", "tool").join(per, "pid", "left").withColumn("mapped_sessions", F.coalesce(F.size("session_ids"), F.lit(0)))
+    own = T.hosts(processes)
+    per = sessions.groupBy(*own, "pid").agg(F.array_sort(F.collect_set("session_id")).alias("session_ids"), F.array_sort(F.collect_set("path")).alias("session_paths"))
+    out = processes.select(*own, "pid", "tool").join(per, [*own, "pid"], "left").withColumn("mapped_sessions", F.coalesce(F.size("session_ids"), F.lit(0)))
     empty = F.array().cast("array<string>")
     out = out.withColumns({"session_ids": F.coalesce("session_ids", empty), "session_paths": F.coalesce("session_paths", empty)})
-    return out.withColumn("mapped_sessions", F.greatest("mapped_sessions", F.lit(0))).orderBy(F.desc("mapped_sessions"), "tool", "pid")
+    return out.withColumn("mapped_sessions", F.greatest("mapped_sessions", F.lit(0))).orderBy(F.desc("mapped_sessions"), "tool", *own, "pid")
 
 
 def live_sessions(sessions: DataFrame, traces: DataFrame, now_us: int, gap_s: int) -> DataFrame:
     """Sessions of running processes, and recent transcripts that no process is mapped to, with their traces."""
-    with_trace = sessions.groupBy("key").agg(
+    own, told = T.hosts(sessions), T.hosts(sessions, traces)
+    with_trace = sessions.groupBy(*own, "key").agg(
         F.min("tool").alias("tool"), F.min("session_id").alias("session_id"), F.min("path").alias("path"), F.min("trace_path").alias("trace_path"),
         F.array_sort(F.collect_set("pid")).alias("pids"), *[F.bool_or(f).alias(f) for f in FLAGS],
     )
     low, high = now_us - config.recent_window(gap_s) * 1_000_000, now_us + gap_s * 1_000_000
     named = F.nullif(T.stripped("session_id"), F.lit(""))
     recent = traces.where(F.col("last_us").between(low, high)).select(
+        *told,
         F.when(named.isNotNull(), id_key("tool", named)).otherwise(path_key("tool", "path")).alias("key"), "tool",
         F.coalesce(named, T.fallback_id(F.col("tool"), F.col("path"))).alias("session_id"), "path", F.col("path").alias("trace_path"),
         F.array().cast("array<bigint>").alias("pids"), F.lit(True).alias("transcript_path"), F.lit(True).alias("transcript_activity"),
         named.isNotNull().alias("parsed_transcript_id"), F.lit(False).alias("command_hint"), F.lit(False).alias("fallback_session_id"),
         "last_us",
     )
-    newest = F.max_by(F.struct(*[c for c in recent.columns if c not in ("key", "last_us")]), F.struct("last_us", "path"))  # of traces with one key
-    recent = recent.groupBy("key").agg(newest.alias("t")).select("key", "t.*")
-    every = with_trace.unionByName(recent.join(with_trace, "key", "left_anti"))
-    facts = traces.select(F.col("path").alias("trace_path"), "project", "project_source", "thread_source", "parent_thread_id", "role_hint_source", "independently_run", "first_us", "last_us")
-    return every.join(facts, "trace_path", "left").withColumn("path", F.coalesce("path", "trace_path"))
+    newest = F.max_by(F.struct(*[c for c in recent.columns if c not in (*told, "key", "last_us")]), F.struct("last_us", "path"))  # of traces with one key
+    recent = recent.groupBy(*told, "key").agg(newest.alias("t")).select(*told, "key", "t.*")
+    every = with_trace.unionByName(recent.join(with_trace, [*told, "key"], "left_anti"), allowMissingColumns=True)
+    facts = traces.select(*told, F.col("path").alias("trace_path"), "project", "project_source", "thread_source", "parent_thread_id", "role_hint_source", "independently_run", "first_us", "last_us")
+    return every.join(facts, [*told, "trace_path"], "left").withColumn("path", F.coalesce("path", "trace_path"))
 
 
 def observe(sessions: DataFrame, now_us: int, gap_s: int) -> DataFrame:
@@ -198,17 +208,18 @@ def host_ancestors(processes: DataFrame, bundles: DataFrame | None = None, steps
     doubles how far each process sees: it takes over what the ancestor at its end
     sees. A cycle only leads to processes seen before.
     """
-    own = processes.select("pid", "ppid", T.bundle_of_command("command").alias("bundle"))
+    h = T.hosts(processes)
+    own = processes.select(*h, "pid", "ppid", T.bundle_of_command("command").alias("bundle"))
     if bundles is not None:
         own = own.join(bundles.select("bundle", F.lit(True).alias("there")), "bundle", "left").withColumn("bundle", F.when(F.col("there"), F.col("bundle")).otherwise("")).drop("there")
     hit = F.when(F.col("bundle") != "", F.struct(F.lit(0).alias("far"), F.col("pid").alias("host_pid"), "bundle"))
-    at, seen = own.select("pid", F.when(F.col("ppid") > 0, F.col("ppid")).alias("up"), hit.alias("hit")), 1
+    at, seen = own.select(*h, "pid", F.when(F.col("ppid") > 0, F.col("ppid")).alias("up"), hit.alias("hit")), 1
     while seen < steps:
-        above = at.select(F.col("pid").alias("up"), F.col("up").alias("next"), F.col("hit").alias("further"))
+        above = at.select(*h, F.col("pid").alias("up"), F.col("up").alias("next"), F.col("hit").alias("further"))
         beyond = F.when(F.col("further").isNotNull(), F.struct((F.col("further.far") + seen).alias("far"), "further.host_pid", "further.bundle"))
-        at = at.join(above, "up", "left").select("pid", F.col("next").alias("up"), F.coalesce("hit", beyond).alias("hit"))
+        at = at.join(above, [*h, "up"], "left").select(*h, "pid", F.col("next").alias("up"), F.coalesce("hit", beyond).alias("hit"))
         seen *= 2
-    return at.where(F.col("hit.far") < steps).select("pid", "hit.host_pid", "hit.bundle")
+    return at.where(F.col("hit.far") < steps).select(*h, "pid", "hit.host_pid", "hit.bundle")
 
 
 def known_roots(known: DataFrame, processes: DataFrame) -> DataFrame:

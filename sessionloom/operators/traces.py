@@ -61,11 +61,12 @@ def fold_traces(lines: DataFrame) -> DataFrame:
 
 
 def by_id(traces: DataFrame) -> DataFrame:
-    """One trace per (tool, session_id): the one with the latest event, then the smallest path."""
+    """One trace per (tool, session_id), and host where there is one: the one with the latest event, then the smallest path."""
+    keys = [*T.hosts(traces), "tool", "session_id"]
     rank = F.struct(F.col("last_us"), F.lit(0).alias("x"))
-    best = traces.where("session_id is not null").groupBy("tool", "session_id").agg(F.max(rank).alias("r"))
-    same = traces.join(best, ["tool", "session_id"]).where(F.col("last_us").eqNullSafe(F.col("r.last_us")))
-    return same.groupBy("tool", "session_id").agg(F.min("path").alias("path"))
+    best = traces.where("session_id is not null").groupBy(*keys).agg(F.max(rank).alias("r"))
+    same = traces.join(best, keys).where(F.col("last_us").eqNullSafe(F.col("r.last_us")))
+    return same.groupBy(*keys).agg(F.min("path").alias("path"))
 
 
 def scan_statistics(candidates: DataFrame) -> DataFrame:

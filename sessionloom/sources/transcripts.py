@@ -81,13 +81,17 @@ def lane_traces(lines: DataFrame, requests: DataFrame, runs: DataFrame) -> DataF
 
 
 def parse_processes(lines: DataFrame) -> DataFrame:
-    """(uid, pid, ppid, command) of captured process lines (line_no, value); the last line of a pid wins."""
-    f = lines.select("line_no", T.fields("value").alias("f")).where("size(f) >= 4")
+    """(uid, pid, ppid, command) of captured process lines (line_no, value); the last line of a pid wins.
+
+    Lines may have ``host`` and ``capture`` too: a pid is then one of its host and capture.
+    """
+    keys = [c for c in ("host", "capture") if c in lines.columns]
+    f = lines.select(*keys, "line_no", T.fields("value").alias("f")).where("size(f) >= 4")
     number = lambda i: F.expr(f"if(f[{i}] rlike '^[+-]?[0-9]+$', try_cast(f[{i}] as bigint), null)")
-    rows = f.select("line_no", number(0).alias("uid"), number(1).alias("pid"), number(2).alias("ppid"), F.array_join(F.slice("f", 4, F.size("f")), " ").alias("command"))
+    rows = f.select(*keys, "line_no", number(0).alias("uid"), number(1).alias("pid"), number(2).alias("ppid"), F.array_join(F.slice("f", 4, F.size("f")), " ").alias("command"))
     rows = rows.where("uid >= 0 and pid > 0 and ppid >= 0")
     last = F.max_by(F.struct("uid", "ppid", "command"), "line_no").alias("r")
-    return rows.groupBy("pid").agg(last).select("r.uid", "pid", "r.ppid", "r.command")
+    return rows.groupBy(*keys, "pid").agg(last).select(*keys, "r.uid", "pid", "r.ppid", "r.command")
 
 
 def parse_open_files(lines: DataFrame, capture: str) -> DataFrame:

@@ -81,3 +81,32 @@ def test_history_counts_broken_and_old_lines(spark):
     assert history.growth(kept).first().samples == 1 and history.allocation(kept).first().average_share_pct == 60
     assert history.in_range(kept, NOW, NOW - 1).count() == 0
     assert {x.metric: x.value for x in history.peaks(kept).collect()}["pid_concurrency"] == 4
+
+
+def test_hosts_that_share_pids_and_paths_stay_apart(spark):
+    """Two hosts with one pid, one path and one session id: two processes, two sessions, two ancestors."""
+    kind = "host string, pid long, ppid long, tool string, command string, files array<struct<tool:string,path:string>>, hints array<string>"
+    path = "/home/x/.codex/sessions/rollout-2024-01-01T00-00-00-a1.jsonl"
+    processes = spark.createDataFrame([("h1", 7, 1, "codex", "/Applications/One.app/Contents/MacOS/one", [("codex", path)], []), ("h2", 7, 1, "codex", "codex", [("codex", path)], []), ("h2", 1, 0, "codex", "/Applications/Two.app/Contents/MacOS/two", [], ["b2"])], kind)
+    traced = "host string, path string, tool string, session_id string, project string, project_source string, thread_source string, parent_thread_id string, role_hint_source string, independently_run boolean, first_us long, last_us long"
+    traces = spark.createDataFrame([("h1", path, "codex", "one", "p", "transcript_project", None, None, None, True, 1, 1_000_000), ("h2", path, "codex", "two", "q", "transcript_project", None, None, None, True, 1, 2_000_000)], traced)
+    sessions = mapping.process_sessions(processes, traces)
+    assert {(r.host, r.pid, r.session_id) for r in sessions.collect()} == {("h1", 7, "one"), ("h2", 7, "two"), ("h2", 1, "b2")}
+    assert {(r.host, r.pid): r.mapped_sessions for r in mapping.process_counts(processes, sessions).collect()} == {("h1", 7): 1, ("h2", 7): 1, ("h2", 1): 1}
+    live = mapping.observe(mapping.live_sessions(sessions, traces, 2_000_000, 90), 2_000_000, 90)
+    assert {(r.host, r.session_id, r.attributed) for r in live.collect()} == {("h1", "one", "p"), ("h2", "two", "q"), ("h2", "b2", "unassigned")}
+    found = {(r.host, r.pid): r.host_pid for r in mapping.host_ancestors(processes).collect()}
+    assert found == {("h1", 7): 7, ("h2", 7): 1, ("h2", 1): 1}
+    assert rollups.attention_basis(live).first().denominator == 3
+
+
+def test_roles_and_confidence_without_sessions_come_from_the_projects(spark):
+    kind = "attributed string, role string, active_burst boolean, confidence string"
+    focus = spark.createDataFrame([("p", 2, 1, 0, 1, 2, 1, 0)], "project string, main_agent_sessions long, subagent_sessions long, unknown_role_sessions long, active_burst_count long, c_high long, c_medium long, c_low long")
+    none = spark.createDataFrame([], kind)
+    r = rollups.role_matrix_or_projects(none, focus).first()
+    assert (r.project, r.main, r.subagent, r.total, r.active_total) == ("p", 2, 1, 3, 1)
+    some = spark.createDataFrame([("q", "main", True, "low")], kind)
+    assert [r.project for r in rollups.role_matrix_or_projects(some, focus).collect()] == ["q"]
+    assert {r.confidence: r.n for r in rollups.confidence_grid(focus, some).collect()} == {"high": 2, "medium": 1, "low": 0}
+    assert {r.confidence: r.n for r in rollups.confidence_grid(focus.limit(0), some).collect()} == {"high": 0, "medium": 0, "low": 1}

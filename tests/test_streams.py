@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sessionloom.operators import intervals
+from sessionloom.operators import history, intervals, trends
 from sessionloom.sources import transcripts
 from sessionloom.streaming import jobs
 
@@ -57,3 +57,49 @@ def test_slots_and_history_streams(spark, tmp_path):
     snapshots = spark.readStream.schema(sample.schema).parquet(str(tmp_path / "h"))
     jobs.keep_history(snapshots, str(tmp_path / "hist"), str(tmp_path / "hc")).awaitTermination()
     assert spark.read.text(str(tmp_path / "hist")).count() == 1
+
+
+def test_lines_keep_their_numbers_when_files_grow(spark, tmp_path):
+    a, b = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    a.write_text("\t one\r\n\n two \n")
+    b.write_text("x\n")
+    first = {(r.path[-7:], r.line_no): r.value for r in transcripts.read_lines(spark, str(tmp_path)).collect()}
+    assert first == {("a.jsonl", 1): "one", ("a.jsonl", 3): "two", ("b.jsonl", 1): "x"}
+    b.write_text("x\n" + "y\n" * 50)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        again = {(r.path[-7:], r.line_no): r.value for r in transcripts.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(again) == 53 and all(again[k] == v for k, v in first.items()) and again["b.jsonl", 51] == "y"
+
+
+def test_sample_buckets_keep_the_last_sample(spark, tmp_path):
+    rows = [("2026-01-01 00:00:10", 1), ("2026-01-01 00:04:59", 2), ("2026-01-01 00:05:00", 3), ("2026-01-01 02:00:00", 4)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "ts string, n int").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, n int").json(str(tmp_path / "in"))
+    out = jobs.sample_buckets(stream, "5 minutes", "1 minute")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert {(str(r.bucket)[11:16], r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()} >= {("00:00", 2), ("00:05", 3)}
+
+
+def test_a_repeated_batch_of_history_replaces_its_own(spark, tmp_path):
+    row = spark.range(1).select(F.lit(1_782_561_600_000_000).alias("at_us"), *[F.lit(1).cast("long").alias(c) for c in history.METRICS], F.expr("array(named_struct('project', 'p'))").alias("projects"))
+    row.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a new checkpoint each time, so the same batch 0 comes twice
+        stream = spark.readStream.schema(row.schema).parquet(str(tmp_path / "in"))
+        jobs.keep_history(stream, str(tmp_path / "h"), str(tmp_path / f"c{_}")).awaitTermination()
+    assert spark.read.text(str(tmp_path / "h")).count() == 1
+    assert jobs.tick(None) == jobs.tick(0) == {"availableNow": True} and jobs.tick(5) == {"processingTime": "30 seconds"}
+
+
+def test_smoothing_takes_inner_values_for_missing_neighbours(spark):
+    points = spark.createDataFrame([("r", i, v) for i, v in enumerate([9, None, 9, 18, 9, 0])], "range string, at_us long, n int")
+    found = {r.at_us: r.smoothed for r in trends.smooth(points, ["range"], "n").collect()}
+    assert found[0] == 9 and found[5] == 0 and found[2] == (9 + 18 + 27 + 36 + 9) / 9 and found[3] is not None
+    assert trends.latest(points, ["range"], "n", 2).first().at_us == 2 and trends.latest(points, ["range"], "n", 1).first().at_us == 5
+    seconds = spark.createDataFrame([(1_000_000, 1), (1_500_000, 2), (2_000_001, 3)], "at_us long, n int")
+    assert {(r.at_us, r.n) for r in trends.history_points(seconds, ["n"]).collect()} == {(1_000_000, 2), (2_000_000, 3)}
+    assert intervals.day_start(1_706_652_000_000_000, "UTC") == 1_706_572_800_000_000
+    assert intervals.day_start(1_706_652_000_000_000, "Asia/Tokyo") == 1_706_626_800_000_000
