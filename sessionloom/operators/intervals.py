@@ -32,12 +32,21 @@ def session_spans(events: DataFrame, keys: list[str], min_interval_s: float) ->
 
 
 def burst_spans(events: DataFrame, keys: list[str], idle_gap_s: float, min_interval_s: float) -> DataFrame:
-    """Runs of events with no gap longer than ``idle_gap_s``; a gap of just that length does not part them."""
-    order = Window.partitionBy(*keys).orderBy("ts_us")
-    opens = F.coalesce((F.col("ts_us") - F.lag("ts_us").over(order) > micros(idle_gap_s)).cast("int"), F.lit(1))
-    marked = events.withColumn("opens", opens).withColumn("burst", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = marked.groupBy(*keys, "burst").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("events"))
-    return normalize(spans, min_interval_s)
+    """Runs of events with no gap longer than ``idle_gap_s``; a gap of just that length does not part them.
+
+    Runs are found within each day of a key, then those of a key are joined over
+    the days' borders, so a long key is sorted by days, and only its runs as a whole.
+    """
+    gap = micros(idle_gap_s)
+
+    def runs(spans: DataFrame, within: list[str]) -> DataFrame:
+        order = Window.partitionBy(*within).orderBy("start_us", "end_us")
+        opens = F.coalesce((F.col("start_us") - F.lag("end_us").over(order) > gap).cast("int"), F.lit(1))
+        marked = spans.withColumn("opens", opens).withColumn("burst", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return marked.groupBy(*within, "burst").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("events").alias("events"))
+
+    points = events.select(*keys, F.floor(F.col("ts_us") / 86_400_000_000).alias("day"), F.col("ts_us").alias("start_us"), F.col("ts_us").alias("end_us"), F.lit(1).cast("long").alias("events"))
+    return normalize(runs(runs(points, [*keys, "day"]), keys), min_interval_s)
 
 
 def clipped(spans: DataFrame, from_us: int, to_us: int) -> DataFrame:

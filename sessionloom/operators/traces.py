@@ -10,23 +10,32 @@ from sessionloom.functions import text as T
 PARENTS = ["$.payload.source.subagent.thread_spawn.parent_thread_id", "$.thread_spawn.parent_thread_id", "$.subagent.parent_thread_id", "$.payload.thread_spawn.parent_thread_id", "$.payload.subagent.parent_thread_id", "$.payload.parent_thread_id"]
 
 
+#: What is read below ``payload`` and beside it; each line is parsed once.
+SPAWN, OF_PARENT = "thread_spawn:struct<parent_thread_id:string>", "struct<parent_thread_id:string>"
+LINE = (
+    f"thread_spawn {OF_PARENT}, subagent {OF_PARENT}, payload struct<cwd:string,project:string,id:string,thread_source:string,agent_role:string,agent_nickname:string,"
+    f"parent_thread_id:string,{SPAWN},subagent:{OF_PARENT},source:struct<subagent:struct<{SPAWN}>>>"
+)
+
+
 def line_facts(lines: DataFrame) -> DataFrame:
     """What one line of a transcript says: time, id, project names by source, roles, whether it is an event."""
-    v = F.col("value")
+    lines = lines.withColumn("said", F.from_json("value", LINE))
+    v, at = F.col("value"), lambda path: F.col("said" + path[1:])
     time = T.observed_time(T.json_first_field(v, "timestamp"))
-    cwd = T.path_project(T.first_non_empty(F.get_json_object(v, "$.payload.cwd"), T.json_first_field(v, "cwd")))["name"]
-    named = T.trusted_project(T.first_non_empty(F.get_json_object(v, "$.payload.project"), T.json_first_field(v, "project")))
+    cwd = T.path_project(T.first_non_empty(at("$.payload.cwd"), T.json_first_field(v, "cwd")))["name"]
+    named = T.trusted_project(T.first_non_empty(at("$.payload.project"), T.json_first_field(v, "project")))
     active = F.when(F.col("tool") == "claude", T.active_type(T.json_first_field(v, "type"))).otherwise(F.lit(True))
     stored = F.when(F.col("tool") == "claude", T.trusted_project(T.project_of_storage("path"))).otherwise("")
     blank = lambda c: F.nullif(c, F.lit(""))
     return lines.select(
         "path", "tool", "line_no", F.unix_micros(time).alias("ts_us"), (time.isNotNull() & active).alias("is_event"),
-        blank(T.first_non_empty(F.get_json_object(v, "$.payload.id"), T.json_first_field(v, "sessionId"), T.json_first_field(v, "session_id"))).alias("session_id"),
+        blank(T.first_non_empty(at("$.payload.id"), T.json_first_field(v, "sessionId"), T.json_first_field(v, "session_id"))).alias("session_id"),
         blank(named).alias("named"), blank(cwd).alias("cwd"), blank(stored).alias("stored"),
-        blank(T.role_source(T.first_non_empty(F.get_json_object(v, "$.payload.thread_source"), T.json_first_field(v, "thread_source")))).alias("thread_source"),
-        blank(T.first_non_empty(*[F.get_json_object(v, p) for p in PARENTS], T.json_first_field(v, "parent_thread_id"))).alias("parent_thread_id"),
-        blank(T.first_non_empty(F.get_json_object(v, "$.payload.agent_role"), T.json_first_field(v, "agent_role"))).alias("agent_role"),
-        blank(T.first_non_empty(F.get_json_object(v, "$.payload.agent_nickname"), T.json_first_field(v, "agent_nickname"))).alias("agent_nickname"),
+        blank(T.role_source(T.first_non_empty(at("$.payload.thread_source"), T.json_first_field(v, "thread_source")))).alias("thread_source"),
+        blank(T.first_non_empty(*[at(p) for p in PARENTS], T.json_first_field(v, "parent_thread_id"))).alias("parent_thread_id"),
+        blank(T.first_non_empty(at("$.payload.agent_role"), T.json_first_field(v, "agent_role"))).alias("agent_role"),
+        blank(T.first_non_empty(at("$.payload.agent_nickname"), T.json_first_field(v, "agent_nickname"))).alias("agent_nickname"),
     )
 
 

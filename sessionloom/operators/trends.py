@@ -5,13 +5,12 @@ A metric that wasn't sampled is null; a sampled zero is 0.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.config import TREND_SPECS
-from sessionloom.operators.intervals import concurrency_series, grid, micros
+from sessionloom.operators.intervals import grid, micros
 
 
 def evidence_start(events: DataFrame, spans: DataFrame, from_us: int, now_us: int) -> DataFrame:
@@ -24,13 +23,22 @@ def evidence_start(events: DataFrame, spans: DataFrame, from_us: int, now_us: in
 
 def transcript_trends(sessions: DataFrame, bursts: DataFrame, start: DataFrame, now_us: int, specs=TREND_SPECS) -> DataFrame:
     """(range, at_us, sessions, bursts) at every grid point of every range; null before the evidence starts."""
-    parts = []
-    for label, span, step in specs:
-        args = (now_us - micros(span), now_us, micros(step))
-        one = concurrency_series(sessions, *args).withColumnRenamed("level", "sessions")
-        two = concurrency_series(bursts, *args).withColumnRenamed("level", "bursts")
-        parts.append(one.join(two, "at_us").select(F.lit(label).alias("range"), "at_us", "sessions", "bursts"))
-    points = reduce(DataFrame.unionAll, parts).crossJoin(F.broadcast(start))  # start has one row
+    spark = sessions.sparkSession
+    ranges = spark.createDataFrame([(label, now_us - micros(span), micros(step)) for label, span, step in specs], "range string, from_us long, step_us long")
+    both = sessions.select(F.lit("sessions").alias("kind"), "start_us", "end_us").unionAll(bursts.select(F.lit("bursts"), "start_us", "end_us"))
+    # every span once, with the ranges it touches: changes by (kind, range, grid place) are summed on the map side
+    inside = both.crossJoin(F.broadcast(ranges)).withColumns({"a": F.greatest("start_us", "from_us"), "b": F.least("end_us", F.lit(now_us))}).where("b > a and end_us > from_us")  # five rows
+    place = lambda c: F.ceil((F.col(c) - F.col("from_us")) / F.col("step_us"))
+    change = lambda c, by: F.struct(place(c).alias("i"), F.lit(by).alias("by"))
+    changes = inside.select("kind", "range", F.explode(F.array(change("a", 1), change("b", -1))).alias("c")).groupBy("kind", "range", "c.i").agg(F.sum("c.by").alias("by"))
+    spans = [(label, now_us - micros(span), micros(step)) for label, span, step in specs]
+    points = [(label, -(-(at - first) // step), at) for label, first, step in spans for at in sorted({*range(first, now_us + 1, step), now_us})]
+    points = spark.createDataFrame(points, "range string, i long, at_us long")
+    kinds = points.crossJoin(spark.createDataFrame([("sessions",), ("bursts",)], "kind string"))  # two rows
+    level = F.sum(F.coalesce("by", F.lit(0))).over(Window.partitionBy("kind", "range").orderBy("i"))
+    levels = kinds.join(changes, ["kind", "range", "i"], "left").withColumn("level", level)
+    of_kind = lambda k: F.max(F.when(F.col("kind") == k, F.col("level"))).alias(k)
+    points = levels.groupBy("range", "at_us").agg(of_kind("sessions"), of_kind("bursts")).crossJoin(F.broadcast(start))  # start has one row
     known = F.col("start_us").isNotNull() & (F.col("at_us") >= F.col("start_us"))
     return points.select("range", "at_us", *[F.when(known, F.col(c)).alias(c) for c in ("sessions", "bursts")])
 
