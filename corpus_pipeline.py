@@ -2,7 +2,11 @@
 
 Each stage takes all rows its predecessor kept and, but for the last, returns the
 columns of documents. ``run`` writes every stage's result as Parquet in the
-shared folder and reads it back for the next.
+shared folder, reads it back for the next, and drops it when that is written.
+
+Every stage takes null and empty texts, null ids, sources and languages, texts of
+any length, repeated rows, empty tables and further columns of any name, which
+pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -20,13 +24,17 @@ from sessionloom.llm.queries import table, tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely good than not."""
+    """Documents that are more likely good than not, a score of one half included; null and empty texts are scored as texts without words, repeated rows alike."""
     out = score_quality(docs, table(spark, sf_dir, "labels"))
     return out.where(F.col(out.columns[len(docs.columns)]) >= 0.5).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of repeated rows of one id, one."""
+    """One document of each group of near-duplicates, that of the smallest id; of repeated rows of one id, one.
+
+    Texts without words (null, empty or blank) are no one's duplicates and stay,
+    as do rows with a null id.
+    """
     groups = materialize(near_duplicates(docs).select("doc_id", "kept"), "groups")
     # ids of copies grow with the corpus, so they are never broadcast; texts are shuffled but not sorted
     kept = docs.join(groups.where("not kept").select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
@@ -38,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data, and their new lengths."""
+    """Texts with surrogates for personal data, and their new lengths; null and empty texts and those without any stay as they are."""
     out = replace_personal_data(docs, surrogate_key(spark))
     places = out.columns[len(docs.columns)]
     changed = lambda c, t: F.when(F.col(places) > 0, F.length("text").cast(t)).otherwise(F.col(c)) if c == "n_chars" else F.col(f"`{c}`")
@@ -46,12 +54,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those without words go, as no words are taken of them. Rows alike in id and text are taken alike."""
     return take_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids, placed in sequences of 2048."""
+    """Pieces of token ids, placed in sequences of 2048; a document of any length is cut, repeated rows are packed each."""
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
