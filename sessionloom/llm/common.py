@@ -79,8 +79,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Returns ``(node, component)`` for every node of an edge; the component is
     the smallest node id in it. Alternating large-star and small-star rounds:
-    every round is a grouping by node with a map-side minimum and a join back,
-    so no component or neighbourhood is ever held in one task, and the number of
+    every round is a grouping by node with a map-side minimum and a join back to
+    one row a node, in which adaptive execution splits the links of a hub, so no
+    component is ever held in one task, and the number of
     rounds grows with the logarithm of the longest path. No edges give no rows;
     edges with a null end are ignored.
     """

@@ -107,7 +107,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
     every row doc_id, n_shingles, component_id (the smallest doc_id reachable
     by links) and kept (whether that is the row's own).
 
-    Texts without words and null texts have no shingles and link with nothing.
+    Texts without words and null texts have no shingles and link with nothing;
+    texts of any length are read whole. Of documents alike the smallest id stands for the group.
     Repeated rows are kept together or dropped together, as they carry one id; a
     null doc_id links with nothing, has no component and is kept. An empty
     table gives no rows; further columns are ignored.

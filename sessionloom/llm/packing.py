@@ -161,8 +161,9 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     which the first may be shorter. Returns doc_id, piece, start, length,
     ids_crc32, sequence_id, offset, and with ``keep_ids`` the ids as bytes.
 
-    Null and empty texts are one ``end_id``. Repeated rows are separate
-    documents. An empty table gives no rows; further columns are ignored. A null
+    Null and empty texts are one ``end_id``; texts of any length are tokenized whole.
+    Pieces of one length are ranked by doc_id, piece and content; rows alike in all
+    of these are interchangeable. Repeated rows are separate documents. An empty table gives no rows; further columns are ignored. A null
     doc_id is kept as null.
     """
     return pack(token_pieces(docs, path, capacity, end_id, keep_ids), capacity)

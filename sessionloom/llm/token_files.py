@@ -59,8 +59,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     use and so bounded by the vocabulary; ``shards``, whose part files follow
     each other in ascending doc_id order and have a record for each document
     (shard, doc_id, local_start, n_tokens, control, data); and ``totals``, the
-    number of ids in each shard. Null texts count as empty; repeated rows stay
-    separate documents; null doc_ids come first.
+    number of ids in each shard. Null texts count as empty; texts of any length
+    are encoded whole; repeated rows stay separate documents; rows of one doc_id
+    are in the order of their ids' bytes; ids used alike often rank by id; null
+    doc_ids come first; an empty table gives empty files; further columns are ignored.
     """
     spark = docs.sparkSession
 
