@@ -31,6 +31,8 @@ COMMON = 1 / 12
 BLOCK = 128
 #: Terms that no example holds share so many buckets.
 OTHERS = 1 << 20
+#: What single precision may be off in a cosine.
+ROOM = 1e-4
 #: Texts that are searched for at once.
 BATCH = 128
 
@@ -116,22 +118,29 @@ class BlockMaxIndex:
 
     A query adds up the postings of its rare terms. That and the largest weights
     of its common terms bound what any example of a block can reach; blocks whose
-    bound is below the k-th best so far are skipped.
+    bound is below the k-th best so far are skipped. The search is in single precision
+    with room for its error; the cosines of what it leaves are then computed in double precision from the
+    examples' own vectors.
     """
 
-    def __init__(self, size: int, frequency: np.ndarray, parts):
-        """``parts`` gives (first row, sizes, terms, weights) of runs of examples, any number of times; ``frequency`` in how many examples each term stands."""
+    def __init__(self, size: int, frequency: np.ndarray, parts, order: np.ndarray | None = None):
+        """``parts`` gives (first row, sizes, terms, weights) of runs of examples, any number of times; ``frequency`` in how many examples each term stands; ``order`` their order among equals."""
+        self.order = np.arange(size) if order is None else order
         self.size, self.blocks = size, -(-size // BLOCK)
         common = np.flatnonzero(frequency > size * COMMON)
         self.place = np.full(len(frequency), -1, np.int32)
         self.place[common] = np.arange(len(common))
         own = np.where(self.place >= 0, 0, frequency)
         self.begin = np.concatenate([[0], np.cumsum(own)])
-        kind = np.uint16 if size < 1 << 16 else np.uint32
-        self.owner, self.weights = np.zeros(self.begin[-1], kind), np.zeros(self.begin[-1])
-        self.table = np.zeros((self.blocks, len(common), BLOCK))
+        self.owner, self.weights = np.zeros(self.begin[-1], np.int32), np.zeros(self.begin[-1], np.float32)
+        self.table = np.zeros((self.blocks, len(common), BLOCK), np.float32)
         filled = self.begin[:-1].copy()
+        self.starts = np.zeros(size + 1, np.int64)
+        self.terms, self.exact = np.zeros(int(frequency.sum()), np.int32), np.zeros(int(frequency.sum()))
         for first, sizes, terms, weights in parts:
+            at = self.starts[first]
+            self.starts[first + 1 : first + len(sizes) + 1] = at + np.cumsum(sizes)
+            self.terms[at : at + len(terms)], self.exact[at : at + len(terms)] = terms, weights
             row = first + np.repeat(np.arange(len(sizes)), sizes)
             order = np.argsort(terms, kind="stable")
             row, terms, weights = row[order], terms[order], weights[order]
@@ -158,38 +167,56 @@ class BlockMaxIndex:
         owner = np.repeat(np.arange(n), sizes)
         known = terms < len(self.place)
         owner, terms, weights = owner[known], terms[known], weights[known]
+        whole = (np.searchsorted(owner, np.arange(n + 1)), terms, weights)
         place = self.place[terms]
-        queries = np.zeros((n, len(self.most)))
+        queries = np.zeros((n, len(self.most)), np.float32)
         queries[owner[place >= 0], place[place >= 0]] = weights[place >= 0]
         rare = place < 0
         owner, terms, weights = owner[rare], terms[rare], weights[rare]
         ends = np.searchsorted(owner, np.arange(n + 1))
-        scores = np.zeros((n, width))
-        begin, size = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
+        scores = np.zeros((n, width), np.float32)
+        begin, end = self.begin[terms], self.begin[terms + 1]
+        size, begin, end = end - begin, begin.tolist(), end.tolist()
         for i in range(n):
-            at, many = begin[ends[i] : ends[i + 1]], size[ends[i] : ends[i + 1]]
-            if many.sum():
-                flat = np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                scores[i] = np.bincount(self.owner[flat], self.weights[flat] * np.repeat(weights[ends[i] : ends[i + 1]], many), width)
+            a, b = ends[i], ends[i + 1]
+            if a < b:
+                parts = [slice(x, y) for x, y in zip(begin[a:b], end[a:b], strict=True)]
+                own = np.concatenate([self.weights[p] for p in parts])
+                own *= np.repeat(weights[a:b].astype(np.float32), size[a:b])
+                scores[i] = np.bincount(np.concatenate([self.owner[p] for p in parts]), own, width)
         if without is not None:
             scores[np.arange(n), without] = -np.inf
         blocks = scores.reshape(n, self.blocks, BLOCK)
         bound = blocks.max(2) + queries @ self.most
-        least = lambda: -np.partition(-scores, k - 1, axis=1)[:, k - 1] if width > k else np.full(n, -np.inf)
+        first = np.argpartition(-bound, min(3, self.blocks - 1), axis=1)[:, :4]
         open_ = np.zeros((n, self.blocks), bool)  # first the blocks that promise most, then what they leave
-        np.put_along_axis(open_, np.argpartition(-bound, min(3, self.blocks - 1), axis=1)[:, :4], True, 1)
+        np.put_along_axis(open_, first, True, 1)
+        kth = np.zeros(n)
         done = np.zeros((n, self.blocks), bool)
         for _ in range(2):
             for b in np.flatnonzero(open_.any(0)):
                 asked = np.flatnonzero(open_[:, b])
                 blocks[asked, b] += queries[asked] @ self.table[b]
             done |= open_
-            open_ = (bound >= np.maximum(least(), 0)[:, None] - 1e-12) & ~done
-        kth = np.maximum(least(), 0)
+            if not kth.any() and first.shape[1] * BLOCK >= k:  # the k-th best of those blocks is no more than the k-th best of all
+                kth = np.maximum(np.partition(blocks[np.arange(n)[:, None], first].reshape(n, -1), -k, axis=1)[:, -k], 0)
+            open_ = (bound >= kth[:, None] - ROOM) & ~done
+        query = np.zeros(len(self.place))
         for i in range(n):
-            found = np.flatnonzero((scores[i] >= kth[i] - 1e-12) & (scores[i] > 0))
-            top = found[np.lexsort((found, -np.round(scores[i, found], 12)))[:k]]
-            ids[i, : len(top)], best[i, : len(top)] = top, scores[i, top]
+            found = np.flatnonzero((scores[i] >= kth[i] - ROOM) & (scores[i] > 0))
+            if len(found) > 4 * k:  # as the k-th best of the blocks' best is a low bound
+                own = scores[i, found]
+                found = found[own >= np.partition(own, -k)[-k] - ROOM]
+            if not len(found):
+                continue
+            at = slice(whole[0][i], whole[0][i + 1])
+            query[whole[1][at]] = whole[2][at]
+            sizes = self.starts[found + 1] - self.starts[found]
+            flat = np.repeat(self.starts[found] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            cosine = np.bincount(np.repeat(np.arange(len(found)), sizes), self.exact[flat] * query[self.terms[flat]], len(found))
+            query[whole[1][at]] = 0
+            top = np.lexsort((self.order[found], -np.round(cosine, 12)))[:k]
+            ids[i, : len(top)], best[i, : len(top)] = found[top], cosine[top]
         return ids, np.minimum(best, 1.0), float(done.mean())
 
 
@@ -249,10 +276,33 @@ def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, np.concatenate(terms), np.concatenate(counts)
 
 
+def alike_together(held: list[bytes], idf: np.ndarray, size: int, groups: int = 24, rounds: int = 6) -> np.ndarray:
+    """An order of the examples in which those with the same common terms stand together, so that blocks differ in what they can reach."""
+    frequency = np.zeros(size, np.int64)
+    for at in range(0, len(held), 512):
+        frequency += np.bincount(unpacked(held[at : at + 512])[1], minlength=size)
+    common = np.flatnonzero(frequency > len(held) * COMMON)
+    place = np.full(size, -1)
+    place[common] = np.arange(len(common))
+    rows = np.zeros((len(held), len(common)), np.float32)
+    for at in range(0, len(held), 512):
+        sizes, terms, counts = only(place >= 0, *unpacked(held[at : at + 512]))
+        rows[at + np.repeat(np.arange(len(sizes)), sizes), place[terms]] = unit_vectors(sizes, terms, counts, idf)
+    centers = rows[:: max(1, len(rows) // groups)][:groups].copy()
+    nearest = np.zeros(len(rows), np.int64)
+    for _ in range(rounds):
+        nearest = (rows @ centers.T - (centers * centers).sum(1) / 2).argmax(1)
+        for g in range(len(centers)):
+            if (nearest == g).any():
+                centers[g] = rows[nearest == g].mean(0)
+    return np.argsort(nearest, kind="stable")
+
+
 class Examples:
     """The labelled vectors, packed as they are sent to the workers; each makes its indexes once."""
 
-    def __init__(self, held: list[bytes], terms: Terms, idf: np.ndarray, telling: np.ndarray, toxic: np.ndarray):
+    def __init__(self, held: list[bytes], terms: Terms, idf: np.ndarray, telling: np.ndarray, toxic: np.ndarray, order: np.ndarray):
+        self.order = order
         self.held, self.terms, self.idf, self.telling, self.toxic, self.made = held, terms, idf, telling, toxic, None
 
     def index(self, which: np.ndarray | None) -> BlockMaxIndex:
@@ -267,7 +317,7 @@ class Examples:
 
         for _, _, terms, _ in parts():
             frequency += np.bincount(terms, minlength=len(frequency))
-        return BlockMaxIndex(len(self.held), frequency, parts())
+        return BlockMaxIndex(len(self.held), frequency, parts(), self.order)
 
     def search(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Nearest examples and their cosines; vote by telling terms, their places and number, of each vector."""
@@ -349,7 +399,10 @@ def score_toxicity(
 
     sample = rows.select("doc_id", "label", "text").mapInArrow(pack, "doc_id long, label int, held binary").toArrow().sort_by("doc_id").combine_chunks()
     ids, toxic = sample.column(0).to_numpy(), sample.column(1).to_numpy().astype(float)
-    examples = spark.sparkContext.broadcast(Examples(sample.column(2).to_pylist(), terms, idf, telling, toxic))
+    held = sample.column(2).to_pylist()
+    together = alike_together(held, idf, terms.size)
+    ids, toxic = ids[together], toxic[together]
+    examples = spark.sparkContext.broadcast(Examples([held[i] for i in together], terms, idf, telling, toxic, np.argsort(np.argsort(ids))))
 
     def leave_out(batches):
         for batch in batches:
