@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
+from sessionloom.operators.ranking import with_place
 
 
 def redacted_sessions(observed: DataFrame) -> DataFrame:
@@ -71,8 +72,8 @@ def hidden_counts(tree: DataFrame, linked: int, children: int, unlinked: int) ->
 
 def by_attention(focus: DataFrame) -> DataFrame:
     """Projects with most active bursts first, then attention, then name, with their place."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("active_burst_count"), F.desc("attention_share_pct"), "project")
-    return focus.select("project", "active_burst_count", "attention_share_pct", F.row_number().over(order).alias("place"))
+    shown = focus.select("project", "active_burst_count", "attention_share_pct")
+    return with_place(shown, F.desc("active_burst_count"), F.desc("attention_share_pct"), F.col("project"))
 
 
 def calibration(current: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.landing import land  # noqa: F401
 from sessionloom.operators.intervals import us
 
 #: The clock of all queries over ``events``, and the idle gap and least interval that suit its spacing.
@@ -20,23 +18,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def land(frame: DataFrame, name: str) -> DataFrame:
-    """Write a table that several branches of a query read, and read it back: a lost executor costs no more than its tasks.
-
-    It goes to the folder that all executors share, ``spark.checkpoint.dir``; only
-    where that is unset on a single machine, to a temporary one.
-    """
-    spark = frame.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        shared = "file://" + tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/loom-{name}-{uuid.uuid4().hex[:12]}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 PATH = """case user_id % 3
     when 0 then concat('/home/u', user_id, '/.claude/projects/-home-dev-p', user_id % 7, '/u', user_id, '.jsonl')
     when 1 then concat('/srv/p', user_id % 7, '/.codex/sessions/2024/01/rollout-2024-01-01T00-00-00-u', user_id, '.jsonl')
