@@ -135,10 +135,34 @@ select s.doc_id, len(s.items)::bigint as n_shingles, coalesce(c.component, s.doc
 from sets s left join classes k on k.items = s.items left join components c on c.id = k.id
 """
 
+#: op13: every kept term laid beside every group.
+SOURCE_AUDIT = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as text from documents),
+words as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as n from words group by lang, term having count(distinct r) >= 3),
+groups as (select distinct lang, source from d),
+langs as (select lang, count(*)::hugeint as v, sum(n)::hugeint as total from kept group by lang),
+counts as (select w.lang, w.source, w.term, count(*) as n from words w join kept k on w.lang = k.lang and w.term = k.term group by all),
+totals as (select lang, source, sum(n) as total from counts group by all),
+p as (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (coalesce(t.total, 0) + l.v) as p,
+        1 + 1000000000::hugeint * (k.n + 1) // (l.total + l.v) as q
+    from groups g join langs l on g.lang = l.lang join kept k on k.lang = g.lang left join totals t on t.lang = g.lang and t.source = g.source
+    left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+    union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from every)
+select lang, source, part, item, value::bigint as value, rank::integer as rank from ranked where part = 'pair' or rank <= 200
+"""
+
 ORACLES = {
     "op1_licenses": license_sql(),
     "op2_source_mix": SOURCE_MIX,
     "op3_nearest": NEAREST,
     "op4_near_vectors": NEAR_VECTORS,
     "op5_near_duplicates": NEAR_DUPLICATES,
+    "op13_source_audit": SOURCE_AUDIT,
 }
