@@ -158,11 +158,43 @@ ranked as (select *, row_number() over (partition by lang, source, part order by
 select lang, source, part, item, value::bigint as value, rank::integer as rank from ranked where part = 'pair' or rank <= 200
 """
 
+#: op11: CRC-32 by its rule; near words by the keys that one letter less gives.
+SPELLING = rf"""
+with recursive rounds as (
+    select i, i as c, 0 as k from (select unnest(range(256)) as i)
+    union all select i, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, k + 1 from rounds where k < 8),
+crc as (select list(c order by i) as t from rounds where k = 8),
+found as (
+    select doc_id, run, count(*) as n from (
+        select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents)
+    where length(run) >= 6 group by all),
+hashed as (
+    select run, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i::bigint + 1, 2))::bigint)),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) as h
+    from (select run, n, encode(coalesce(doc_id::varchar, '') || ':' || run) as b, t from found, crc)),
+words as (
+    select word, sum(n)::bigint as n from (
+        select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed)
+    where length(word) >= 6 group by word having sum(n) >= 5),
+cut as (select word, n, left(word, i) || substr(word, i + 2) as rest, left(word, i) || '.' || substr(word, i + 2) as hole from (select *, unnest(range(length(word))) as i from words)),
+near as (
+    select distinct a.word, b.word as other, b.n as other_n from cut a join cut b on a.hole = b.hole and a.word <> b.word
+    union select a.word, b.word, b.n from cut a join words b on a.rest = b.word union select b.word, a.word, a.n from cut a join words b on a.rest = b.word),
+best as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from near group by word),
+formed as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * w.n then other end as form, case when other_n >= 5 * w.n then other_n end as form_n
+    from words w left join best b on b.word = w.word),
+walk as (select word, word as at from formed union select k.word, f.form from walk k join formed f on f.word = k.at where f.form is not null),
+roots as (select k.word, k.at as root from walk k join formed f on f.word = k.at where f.form is null)
+select f.word, form, root, n, n_near::bigint as n_near, form_n::bigint as form_n from formed f join roots r on r.word = f.word
+"""
+
 ORACLES = {
     "op1_licenses": license_sql(),
     "op2_source_mix": SOURCE_MIX,
     "op3_nearest": NEAREST,
     "op4_near_vectors": NEAR_VECTORS,
     "op5_near_duplicates": NEAR_DUPLICATES,
+    "op11_spelling_variants": SPELLING,
     "op13_source_audit": SOURCE_AUDIT,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import ann, divergence, embedding_dedup, licenses, mixing, neardup, packing, pii, quality, token_files, toxicity
+from sessionloom.llm import ann, divergence, embedding_dedup, licenses, mixing, neardup, packing, pii, quality, secrets, spelling, token_files, toxicity
 from sessionloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,16 @@ def op6_quality(spark, folder):
     return scored.select("doc_id", "quality_score", "text_score", "metadata_score", (F.col("quality_score") >= 0.5).alias("kept"))
 
 
+@query
+def op11_spelling_variants(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query
+def op12_secrets(spark, folder):
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
 @query
 def op13_source_audit(spark, folder):
     return divergence.audit_sources(table(spark, folder, "documents"))
