@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 from sessionloom.llm import shingles
 from sessionloom.llm.common import connected_components, drop_tables, id_and_text, materialize
 
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+SKETCH = "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, which tells apart the texts of a repeated doc_id."""
+    return id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, size: int = 5) -> DataFrame:
@@ -34,14 +39,14 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int = 5) -> DataFrame
                 n = np.array([len(s) for s in sets], np.int64)
                 fp = [np.array([shingles.mix(s + c).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for c in shingles.ODD[:2]]
                 held = shingles.lists([k if len(s) else k[:0] for k, s in zip(keys, sets, strict=True)])
-                columns = [batch.column(0)[at:to], pa.array(n), pa.array(fp[0]), pa.array(fp[1]), held]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+                columns = [batch.column(0)[at:to], batch.column(2)[at:to], pa.array(n), pa.array(fp[0]), pa.array(fp[1]), held]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "fp1", "fp2", "bands"])
 
-    return id_and_text(docs).mapInArrow(sketch, SKETCH)
+    return keyed(docs).mapInArrow(sketch, SKETCH)
 
 
-def full_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(id, items) of every whole text, its distinct hashed shingles in order."""
+def full_sets(texts: DataFrame, size: int = 5) -> DataFrame:
+    """(id, items) of every whole text of (id, text), its distinct hashed shingles in order."""
 
     def sets(batches):
         for batch in batches:
@@ -49,7 +54,7 @@ def full_sets(docs: DataFrame, size: int = 5) -> DataFrame:
                 found = shingles.lists(shingles.shingle_sets(data, starts, size))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], found], ["id", "items"])
 
-    return id_and_text(docs).mapInArrow(sets, "id long, items array<long>")
+    return texts.mapInArrow(sets, "id long, items array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -100,40 +105,28 @@ def unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return rows.field("id").to_numpy(), rows.field("part").to_numpy(), sizes.astype(np.int64), items.flatten().to_numpy()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
-    """Group documents whose sets of ``size``-word shingles are similar to ``percent`` percent or more.
-
-    Words are runs of what is not an ASCII blank, A-Z lower-cased. Returns for
-    every row doc_id, n_shingles, component_id (the smallest doc_id reachable
-    by links) and kept (whether that is the row's own).
+def near_groups(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
+    """For every row doc_id, text_key, n_shingles, component_id and first: whether it is the one of its group that has the
+    smallest doc_id and, of several texts with that id, the smallest text_key.
 
-    Texts without words and null texts have no shingles and link with nothing;
-    texts of any length are read whole. Of documents alike the smallest id stands for the group.
-    Repeated rows are kept together or dropped together, as they carry one id; a
-    null doc_id links with nothing, has no component and is kept. An empty
-    table gives no rows; further columns are ignored.
+    A doc_id may stand in several rows: each row goes by its own text, so its texts may fall into
+    several groups. Rows alike in doc_id and text get the same answer.
     """
+    spark = docs.sparkSession
     sketched = materialize(sketches(docs, bands, rows, size), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    mapped = materialize(
-        sketched.join(classes, ["fp1", "fp2", "n_shingles"], "left").select(
-            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"),
-            F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"),
-        ),
-        "mapped",
-    )
-    entries = mapped.where("bands is not null").select(
-        F.explode("bands").alias("key"), F.col("rep").alias("id"), F.col("n_shingles").alias("n")
-    )
+    equal = ["fp1", "fp2", "n_shingles"]
+    classes = usable.groupBy(*equal).agg(F.min(F.struct("doc_id", "text_key", "bands")).alias("r"))
+    classes = materialize(classes.select(*equal, F.monotonically_increasing_id().alias("id"), "r.*"), "classes")
+    entries = classes.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
     shared = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.max("id").alias("last"))
     shared = shared.where("last <> leader.id").select("key", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"))
     members = materialize(entries.join(shared, "key"), "members")
-    ids = members.select("id").distinct()
-    sets = materialize(
-        # both sides are shuffled at any size, as how many texts share a bucket is not bounded; texts aren't sorted
-        full_sets(id_and_text(docs).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi"), size).dropDuplicates(["id"]), "sets"
-    )
+    asked = classes.join(members.select("id").distinct(), "id").select("id", "doc_id", "text_key")
+    # both sides are shuffled at any size, as how many texts share a bucket is not bounded; texts aren't sorted.
+    # rows alike in doc_id and text_key are alike in text, so any of them will do
+    texts = keyed(docs).join(asked.hint("shuffle_hash"), ["doc_id", "text_key"]).select("id", "text")
+    sets = materialize(full_sets(texts, size).dropDuplicates(["id"]), "sets")
     similar = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
     stars = members.where(f"id <> leader and {similar}").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(confirmed(stars, sets, percent), "links")
@@ -151,9 +144,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
     mixed = mixed.where("low < high").groupBy("many", "sum").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
     rest = labelled.join(mixed.select("key", "weight"), "key")
     more = links_across(rest, sets, percent)
-    parts = connected_components(links.union(more))
-    drop_tables(docs.sparkSession, sketched, classes, members, sets, links, labelled)
-    return mapped.join(parts, mapped.rep == parts.node, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "rep"), F.lit(True)).alias("kept"),
+    parts = connected_components(links.union(more)).withColumnRenamed("node", "id")
+    placed = classes.join(parts, "id", "left").select(*equal, "doc_id", "text_key", F.coalesce("component", "id").alias("component"))
+    best = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    of_class = materialize(placed.join(best, "component").select(*equal, "best"), "components")
+    drop_tables(spark, members, sets, links, labelled)
+    # a class's answer goes to its rows by their fingerprint; rows without doc_id or words are no one's
+    mine = sketched.drop("bands").join(of_class, equal, "left")
+    known = F.col("doc_id").isNotNull() & F.col("best").isNotNull()
+    return mine.select(
+        "doc_id", "text_key", "n_shingles", F.when(known, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~known | ((F.col("doc_id") == F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))).alias("first"),
+    )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
+    """Group documents whose sets of ``size``-word shingles are similar to ``percent`` percent or more.
+
+    Words are runs of what is not an ASCII blank, A-Z lower-cased. Returns for
+    every row doc_id, n_shingles, component_id (the smallest doc_id reachable
+    by links) and kept (whether that is the row's own).
+
+    Texts without words and null texts have no shingles and link with nothing;
+    texts of any length are read whole. Of documents alike the smallest id stands for the group.
+    Rows go by their own text, those of a repeated doc_id too, and do not depend on the rows' order; repeated rows are kept together or dropped
+    together. A null doc_id links with nothing, has no component and is kept. An empty
+    table gives no rows; further columns are ignored.
+    """
+    return near_groups(docs, percent, size, bands, rows).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )

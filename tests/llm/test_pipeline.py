@@ -31,6 +31,17 @@ def test_stages(spark):
     assert corpus_pipeline.source_mix(spark, good, DATA).columns == docs.columns
 
 
+def test_near_dedup_goes_by_row(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(80))
+    a, b = words("a"), words("b")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b + " more", "x"), (5, b, "y"), (9, "", "x"), (9, None, "x"), (8, b + " and", "x"), (8, b, "x"), (None, b, "x"), (None, b, "x")]
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(order, "doc_id int, text string, own_key string").coalesce(1), "")
+        assert kept.columns == ["doc_id", "text", "own_key"]
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (5, b), (9, ""), (9, None), (None, b), (None, b)], key=repr)
+    assert corpus_pipeline.near_dedup(spark, kept.limit(0), "").collect() == []
+
+
 def test_run_on_odd_rows(spark, tmp_path):
     """All stages over nulls, empty and long texts, repeats and clashing columns; every word the mix takes is packed."""
     rng = np.random.default_rng(6)

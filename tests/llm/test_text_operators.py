@@ -98,11 +98,28 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_texts_of_a_repeated_id_go_by_themselves(spark):
+    words = lambda c: [f"{c}{i}" for i in range(80)]
+    a, b = " ".join(words("a")), " ".join(words("b"))
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (5, b), (9, ""), (9, None), (None, b)]
+    want = sorted([(1, 76, 1, True), (5, 76, 1, False), (5, 76, 5, True), (7, 77, 5, False), (5, 76, 5, True), (9, 0, 9, True), (9, 0, 9, True), (None, 76, None, True)], key=repr)
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        found = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").coalesce(1))
+        assert sorted((tuple(r) for r in found.collect()), key=repr) == want
+
+
+def test_a_long_text_and_its_near_copy(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(4, long), (3, long + " end"), (2, "short text of some words")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == {(4, 149_996, 3), (3, 149_997, 3), (2, 1, 2)}
+
+
 def test_blocks_link_what_the_bucket_leader_misses(spark):
     base = [f"w{i}" for i in range(200)]
     texts = {i: " ".join([f"e{i}_{k}" if (k * 7 + i) % 40 == 0 else w for k, w in enumerate(base)]) for i in range(6)}
     rows = spark.createDataFrame([(1, i, i, 1200) for i in texts], "key long, id long, part long, weight long")
-    sets = neardup.full_sets(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    sets = neardup.full_sets(spark.createDataFrame(list(texts.items()), "id long, text string"))
     found = {tuple(sorted(r)) for r in neardup.links_across(rows, sets, 50, block=400).collect()}
     _, label = brute_groups(list(texts.values()), 50)
     groups = {i: i for i in texts}
