@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import drop_tables, materialize
+from sessionloom.llm.common import drop_tables, free_names, materialize
 from sessionloom.llm.mixing import take_mix
-from sessionloom.llm.neardup import near_duplicates
+from sessionloom.llm.neardup import near_groups
 from sessionloom.llm.packing import pack_documents
 from sessionloom.llm.pii import replace_personal_data, surrogate_key
 from sessionloom.llm.quality import score_quality
@@ -30,19 +30,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; of repeated rows of one id, one.
+    """One document of each group of near-duplicates: that of the smallest id.
 
-    Texts without words (null, empty or blank) are no one's duplicates and stay,
-    as do rows with a null id.
+    Rows go by their own text: where an id is repeated, each of its texts stays or goes
+    with its own group, and of rows alike in id and text one stays. Texts without words (null, empty or blank) are no one's
+    duplicates, so all but such repeated rows stay, as do rows with a null id.
     """
-    groups = materialize(near_duplicates(docs).select("doc_id", "kept"), "groups")
+    row = ["doc_id", "text_key"]
+    groups = materialize(near_groups(docs).where("doc_id is not null").groupBy(*row, "first").count(), "groups")
+    own, its_id, its_key = free_names(["own_key", "its_id", "its_key"], docs.columns)
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    by_row = lambda rows: rows.select(F.col("doc_id").alias(its_id), F.col("text_key").alias(its_key)).hint("shuffle_hash")
+    here = (F.col("doc_id").cast("long") == F.col(its_id)) & (F.col(own) == F.col(its_key))
     # ids of copies grow with the corpus, so they are never broadcast; texts are shuffled but not sorted
-    kept = docs.join(groups.where("not kept").select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    kept = keyed.join(by_row(groups.where("not first")), here, "left_anti")
+    twice = groups.where("first and count > 1")
     if twice.isEmpty():
-        return kept
-    one = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+        return kept.select(*docs.columns)
+    one = kept.join(by_row(twice), here, "left_semi").dropDuplicates(["doc_id", own])
+    return kept.join(by_row(twice), here, "left_anti").unionByName(one).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
