@@ -18,8 +18,8 @@ LINE = (
 )
 
 
-def line_facts(lines: DataFrame) -> DataFrame:
-    """What one line of a transcript says: time, id, project names by source, roles, whether it is an event."""
+def line_facts(lines: DataFrame, *more) -> DataFrame:
+    """What one line of a transcript says: time, id, project names by source, roles, whether it is an event; and ``more`` columns."""
     lines = lines.withColumn("said", F.from_json("value", LINE))
     v, at = F.col("value"), lambda path: F.col("said" + path[1:])
     time = T.observed_time(T.json_first_field(v, "timestamp"))
@@ -35,7 +35,7 @@ def line_facts(lines: DataFrame) -> DataFrame:
         blank(T.role_source(T.first_non_empty(at("$.payload.thread_source"), T.json_first_field(v, "thread_source")))).alias("thread_source"),
         blank(T.first_non_empty(*[at(p) for p in PARENTS], T.json_first_field(v, "parent_thread_id"))).alias("parent_thread_id"),
         blank(T.first_non_empty(at("$.payload.agent_role"), T.json_first_field(v, "agent_role"))).alias("agent_role"),
-        blank(T.first_non_empty(at("$.payload.agent_nickname"), T.json_first_field(v, "agent_nickname"))).alias("agent_nickname"),
+        blank(T.first_non_empty(at("$.payload.agent_nickname"), T.json_first_field(v, "agent_nickname"))).alias("agent_nickname"), *more,
     )
 
 

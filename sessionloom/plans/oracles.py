@@ -262,6 +262,13 @@ CLIMB = BASE.replace("WITH ev", "WITH RECURSIVE ev").rstrip() + """, climb AS (S
 """
 HEADS = {"top_project": OWN, "coordination_risk": TREE, "risk_signals": TREE, "session_tree": TREE, "session_tree_hidden": TREE, "host_ancestor": CLIMB}
 SQL["coordination_risk"] = SQL["coordination_risk"].replace("PEAKS", SQL["load_peak"])
+#: Every line of every file, with its bytes.
+LINES = """lines AS (SELECT session_id, event_id, ts_us, octet_length(encode('{"type":"' || kind || '","timestamp":"' || CASE WHEN event_id % 9 = 0 THEN '' ELSE strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') END || '"'
+  || CASE WHEN event_id % 3 = 0 THEN ',"sessionId":"' || session_id || '"' ELSE '' END || CASE WHEN event_id % 4 = 1 THEN ',"payload":{"cwd":"/srv/w' || event_id % 5 || '"}' ELSE '' END
+  || CASE WHEN event_id % 7 = 2 THEN ',"project":"q' || event_id % 3 || '"' ELSE '' END || CASE WHEN event_id % 10 = 3 THEN ',"thread_source":"' || CASE WHEN event_id % 20 = 3 THEN 'Human' ELSE 'agent' END || '"' ELSE '' END
+  || CASE WHEN event_id % 25 = 4 THEN ',"parent_thread_id":"u' || event_id % 6 || '"' ELSE '' END || '}')) + 1 AS bytes FROM ev)"""
+SQL["transcript_tails"] = f""", {LINES}, placed AS (SELECT *, sum(bytes) OVER (PARTITION BY session_id ORDER BY event_id DESC) AS from_end, sum(bytes) OVER (PARTITION BY session_id) AS size FROM lines)
+SELECT session_id AS session, any_value(size)::BIGINT AS size, coalesce(arg_max(ts_us, event_id) FILTER (event_id % 9 <> 0 AND (size <= 2048 OR from_end < 2048)) >= {NOW} - 6 * {HOUR}, true) AS may_hold FROM placed GROUP BY session_id"""
 SQL["trace_fold"] = """SELECT path, tool, arg_max(sid, event_id) AS session_id, arg_max(src, event_id) AS thread_source, arg_max(parent, event_id) AS parent_thread_id,
     arg_min(CASE WHEN src IS NOT NULL THEN 'thread_source' WHEN parent IS NOT NULL THEN 'parent_thread_id' END, event_id) AS role_hint_source,
     bool_and(coalesce(src, '') <> 'subagent' AND parent IS NULL) AS independently_run, count(DISTINCT seen_us) AS events, min(seen_us) AS first_us, max(seen_us) AS last_us,
@@ -282,6 +289,7 @@ SIGNALS = (
     ("low_confidence_mapping", "low_confidence_sessions > 0", "'low:' || low_sessions || ',no_event_times:' || missing_sessions", "low_confidence_sessions", "NULL", "NULL"),
     ("candidate_workitem_coverage", "sessions > 0", "concat_ws(',', CASE WHEN high > 0 THEN 'high:' || high END, CASE WHEN medium > 0 THEN 'medium:' || medium END, CASE WHEN low > 0 THEN 'low:' || low END)", "covered", "sessions", "coverage_pct"),
 )
+SQL["trace_state"] = SQL["trace_fold"]
 SQL["risk_signals"] = "SELECT place, kind, subject, n, of_n, pct FROM (" + " UNION ALL ".join(
     f"SELECT {i}::INT AS place, '{kind}' AS kind, ({subject})::VARCHAR AS subject, ({n})::BIGINT AS n, ({of_n})::BIGINT AS of_n, ({pct})::DOUBLE AS pct FROM ({SQL['coordination_risk']}) WHERE {when}"
     for i, (kind, when, subject, n, of_n, pct) in enumerate(SIGNALS)

@@ -11,7 +11,8 @@ from sessionloom import config
 from sessionloom.functions import text as T
 from sessionloom.operators import history, indicators, intervals, mapping, rollups, traces, trends, views
 from sessionloom.sources import adapters as A
-from sessionloom.sources import transcripts
+from sessionloom.sources import appended, transcripts
+from sessionloom.streaming import trace_state as state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW, GAP, MIN = A.NOW_US, A.GAP_S, A.MIN_S
@@ -143,6 +144,27 @@ def scan_stats(s, d):
     return traces.scan_statistics(_candidates(s, d))
 
 
+@query
+def transcript_tails(s, d):
+    files = appended.listing(s, A.transcript_files(s, d), "*.txt")
+    held = appended.may_hold_events_after(files, A.NOW_US - 6 * 3_600_000_000, tail_bytes=2048)
+    return held.select(F.regexp_extract("path", "session=([^/]+)/", 1).alias("session"), "size", "may_hold")
+
+
+@query
+def trace_state(s, d):
+    kept = state.traces_by_state(_streamed_lines(s, d), A.new_root(s, "state"))
+    return kept.where("events > 0").drop("agent_role", "agent_nickname")
+
+
+def _streamed_lines(s, d):
+    """The files' lines as they are found, each with the path and tool that its session has."""
+    lines = appended.appended_lines(s, A.transcript_files(s, d), "*.txt", piece=1 << 20)
+    files = A.trace_events(s, d).select(F.col("session_id").alias("session"), "path", "tool").distinct()
+    found = lines.select(F.regexp_extract("path", "session=([^/]+)/", 1).alias("session"), F.col("at").alias("line_no"), "fresh", "value")
+    return found.join(files, "session").drop("session")
+
+
 # trends
 
 

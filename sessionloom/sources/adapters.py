@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.landing import land  # noqa: F401
+from sessionloom.landing import land, new_root  # noqa: F401
 from sessionloom.operators.intervals import us
 
 #: The clock of all queries over ``events``, and the idle gap and least interval that suit its spacing.
@@ -80,6 +80,14 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("path", "tool", F.col("event_id").alias("line_no"), F.concat(*[F.coalesce(p, F.lit("")) for p in parts]).alias("value"))
 
 
+def transcript_files(spark: SparkSession, folder: str) -> str:
+    """A root below which each session's log lines are a text file, in folders ``session=<id>``."""
+    root = new_root(spark, "transcripts")
+    lines = log_lines(spark, folder).select(F.regexp_extract("path", "(u[0-9]+)\\.jsonl$", 1).alias("session"), "line_no", "value")
+    lines.repartition("session").sortWithinPartitions("session", "line_no").select("session", "value").write.partitionBy("session").text(root)
+    return root
+
+
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly history samples as JSON text lines: counts of events and users, and the projects' shares."""
     e = trace_events(spark, folder).withColumn("hour", F.floor(F.col("ts_us") / 3_600_000_000))
