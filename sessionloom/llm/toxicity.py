@@ -25,8 +25,8 @@ GAP = np.ones(256, bool)
 GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Bytes of a longer word's opening that are a term too.
 OPENING = 5
-#: Share of the examples from which a term counts as common.
-COMMON = 1 / 12
+#: Share of the examples from which a term counts as common: there, adding up dense blocks costs as much as postings do.
+COMMON = 1 / 20
 #: Examples in a block of the index.
 BLOCK = 128
 #: Terms that no example holds share so many buckets.
@@ -91,26 +91,34 @@ class Terms:
         rank = np.empty(len(hashes), np.int32)
         rank[np.lexsort((hashes, -frequency))] = np.arange(len(hashes), dtype=np.int32)
         self.sorted, self.rank = hashes[order], rank[order]
-        self.size = len(hashes)
+        self.size, self.starts = len(hashes), None
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         out = self.size + (hashes % np.uint64(OTHERS)).astype(np.int64)
-        if self.size:
-            at = np.minimum(np.searchsorted(self.sorted, hashes), self.size - 1)
-            found = self.sorted[at] == hashes
-            out[found] = self.rank[at[found]]
+        if not self.size:
+            return out
+        if self.starts is None:  # where the hashes that begin alike stand; made by each worker for itself
+            self.starts = np.searchsorted(self.sorted, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+            self.starts = np.append(self.starts, np.int32(self.size))
+        group = (hashes >> np.uint64(44)).astype(np.int64)
+        at, end, left = self.starts[group], self.starts[group + 1], np.arange(len(hashes))
+        while len(left):
+            open_ = at < end
+            left, at, end = left[open_], at[open_], end[open_]
+            same = self.sorted[at] == hashes[left]
+            out[left[same]] = self.rank[at[same]]
+            left, at, end = left[~same], at[~same] + 1, end[~same]
         return out
 
     def vectors(self, column: pa.Array):
         """(rows from, to, sizes, terms, counts) of runs of texts; terms rise within a text, each once."""
-        for at, to, text, hashes, counts in text_terms(column):
+        for at, to, data, starts in shingles.text_chunks(column):
+            text, hashes = shingles.words(data, starts, GAP, OPENING)
             key = text * (self.size + OTHERS) + self.numbers(hashes)
-            order = np.argsort(key)
-            key, counts = key[order], counts[order]
+            key.sort()
             places = np.flatnonzero(np.diff(key, prepend=-1))
-            counts = np.add.reduceat(counts, places) if len(places) else counts
             text, terms = np.divmod(key[places], self.size + OTHERS)
-            yield at, to, np.bincount(text, minlength=to - at), terms, counts
+            yield at, to, np.bincount(text, minlength=to - at), terms, np.diff(np.append(places, len(key)))
 
 
 class BlockMaxIndex:
@@ -132,7 +140,8 @@ class BlockMaxIndex:
         self.place[common] = np.arange(len(common))
         own = np.where(self.place >= 0, 0, frequency)
         self.begin = np.concatenate([[0], np.cumsum(own)])
-        self.owner, self.weights = np.zeros(self.begin[-1], np.int32), np.zeros(self.begin[-1], np.float32)
+        self.postings = np.zeros((self.begin[-1], 2), np.int32)  # example, and its weight's bits: both come with one read
+        weight_of = self.postings[:, 1].view(np.float32)
         self.table = np.zeros((self.blocks, len(common), BLOCK), np.float32)
         filled = self.begin[:-1].copy()
         self.starts = np.zeros(size + 1, np.int64)
@@ -151,7 +160,7 @@ class BlockMaxIndex:
             group = np.flatnonzero(np.diff(terms, prepend=-1))
             many = np.diff(np.append(group, len(terms)))
             where = filled[terms] + np.arange(len(terms)) - np.repeat(group, many)
-            self.owner[where], self.weights[where] = row, weights
+            self.postings[where, 0], weight_of[where] = row, weights
             filled[terms[group]] += many
         self.most = self.table.max(2).T if self.blocks else np.zeros((len(common), 0))
 
@@ -177,13 +186,13 @@ class BlockMaxIndex:
         scores = np.zeros((n, width), np.float32)
         begin, end = self.begin[terms], self.begin[terms + 1]
         size, begin, end = end - begin, begin.tolist(), end.tolist()
+        both = self.postings.view(np.int64)[:, 0]
         for i in range(n):
             a, b = ends[i], ends[i + 1]
             if a < b:
-                parts = [slice(x, y) for x, y in zip(begin[a:b], end[a:b], strict=True)]
-                own = np.concatenate([self.weights[p] for p in parts])
-                own *= np.repeat(weights[a:b].astype(np.float32), size[a:b])
-                scores[i] = np.bincount(np.concatenate([self.owner[p] for p in parts]), own, width)
+                flat = np.concatenate([both[x:y] for x, y in zip(begin[a:b], end[a:b], strict=True)])
+                own = flat.view(np.float32)[1::2] * np.repeat(weights[a:b].astype(np.float32), size[a:b])
+                scores[i] = np.bincount(flat.view(np.int32)[::2], own, width)
         if without is not None:
             scores[np.arange(n), without] = -np.inf
         blocks = scores.reshape(n, self.blocks, BLOCK)
@@ -204,16 +213,15 @@ class BlockMaxIndex:
         query = np.zeros(len(self.place))
         for i in range(n):
             found = np.flatnonzero((scores[i] >= kth[i] - ROOM) & (scores[i] > 0))
-            if len(found) > 4 * k:  # as the k-th best of the blocks' best is a low bound
+            if len(found) > k:  # as the k-th best of the first blocks is a low bound
                 own = scores[i, found]
                 found = found[own >= np.partition(own, -k)[-k] - ROOM]
             if not len(found):
                 continue
             at = slice(whole[0][i], whole[0][i + 1])
             query[whole[1][at]] = whole[2][at]
-            sizes = self.starts[found + 1] - self.starts[found]
-            flat = np.repeat(self.starts[found] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            cosine = np.bincount(np.repeat(np.arange(len(found)), sizes), self.exact[flat] * query[self.terms[flat]], len(found))
+            rows = zip(self.starts[found].tolist(), self.starts[found + 1].tolist(), strict=True)
+            cosine = np.array([self.exact[x:y] @ query[self.terms[x:y]] for x, y in rows])
             query[whole[1][at]] = 0
             top = np.lexsort((self.order[found], -np.round(cosine, 12)))[:k]
             ids[i, : len(top)], best[i, : len(top)] = found[top], cosine[top]
@@ -329,13 +337,10 @@ class Examples:
         near, close, _ = self.made[1].nearest(distinct, terms, unit_vectors(distinct, terms, counts, self.idf), k, without)
         return ids, cosines, votes(close, self.toxic[near]), hits, distinct
 
-    def searched(self, column: pa.Array, k: int):
-        """search() for all texts of a column, BATCH at a time."""
-        for _, _, sizes, terms, counts in self.terms.vectors(column):
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            for at in range(0, len(sizes), BATCH):
-                to = min(at + BATCH, len(sizes))
-                yield self.search(sizes[at:to], terms[ends[at] : ends[to]], counts[ends[at] : ends[to]], k)
+    def searched(self, held: pa.Array, k: int):
+        """search() for all packed vectors of a column, BATCH at a time."""
+        for at in range(0, len(held), BATCH):
+            yield self.search(*unpacked(held.slice(at, BATCH).to_pylist()), k)
 
 
 def score_toxicity(
@@ -376,30 +381,33 @@ def score_toxicity(
     telling[terms.numbers(hashes)] = telling_terms(in_toxic, in_other, np.array([of_label.get(0, 0), of_label.get(1, 0)]), terms_kept)
     shared = spark.sparkContext.broadcast(terms)
 
+    def pack(batches):
+        for batch in batches:
+            for at, to, sizes, found, n in shared.value.vectors(batch.column(1)):
+                cuts = np.cumsum(sizes)[:-1]
+                held = [packed(t, c) for t, c in zip(np.split(found, cuts), np.split(n, cuts), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(held, pa.binary())], ["doc_id", "held"])
+
+    # a text's vector is a fraction of it: texts are cut into terms once, for the frequencies and for the search
+    vectors = materialize(read.mapInArrow(pack, "doc_id long, held binary"), "vectors")
+
     def documents(batches):
-        total = np.zeros(shared.value.size + OTHERS + 1, np.int32)
+        total = np.zeros(shared.value.size + OTHERS + 1, np.int64)
         for batch in batches:
-            for at, to, _, found, _ in shared.value.vectors(batch.column(0)):
-                np.add.at(total, found, 1)
-                total[-1] += to - at
+            for at in range(0, batch.num_rows, 512):
+                np.add.at(total, unpacked(batch.column(0).slice(at, 512).to_pylist())[1], 1)
+            total[-1] += batch.num_rows
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], ["t", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["t", "n"])
 
-    of_term = read.select("text").mapInArrow(documents, "t long, n long").groupBy("t").agg(F.sum("n")).toArrow()
+    of_term = vectors.select("held").mapInArrow(documents, "t long, n long").groupBy("t").agg(F.sum("n")).toArrow()
     frequency = np.zeros(terms.size + OTHERS + 1)
     frequency[of_term.column(0).to_numpy()] = of_term.column(1).to_numpy()
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
 
-    def pack(batches):
-        for batch in batches:
-            for at, to, sizes, found, n in shared.value.vectors(batch.column(2)):
-                cuts = np.cumsum(sizes)[:-1]
-                held = [packed(t, c) for t, c in zip(np.split(found, cuts), np.split(n, cuts), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns[:2], pa.array(held, pa.binary())], ["doc_id", "label", "held"])
-
-    sample = rows.select("doc_id", "label", "text").mapInArrow(pack, "doc_id long, label int, held binary").toArrow().sort_by("doc_id").combine_chunks()
-    ids, toxic = sample.column(0).to_numpy(), sample.column(1).to_numpy().astype(float)
-    held = sample.column(2).to_pylist()
+    sample = rows.select("doc_id", "text").mapInArrow(pack, "doc_id long, held binary").join(F.broadcast(rows.select("doc_id", "label")), "doc_id").toArrow().sort_by("doc_id").combine_chunks()
+    ids, toxic = sample.column("doc_id").to_numpy(), sample.column("label").to_numpy().astype(float)
+    held = sample.column("held").to_pylist()
     together = alike_together(held, idf, terms.size)
     ids, toxic = ids[together], toxic[together]
     examples = spark.sparkContext.broadcast(Examples([held[i] for i in together], terms, idf, telling, toxic, np.argsort(np.argsort(ids))))
@@ -439,5 +447,5 @@ def score_toxicity(
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(x)), pa.array(scores), pa.array(hits), lists], ["doc_id", "score", "n_terms", "evidence"])
                 done += len(x)
 
-    scored = read.mapInArrow(score, f"doc_id long, score double, n_terms long, evidence {evidence_kind}")
+    scored = vectors.mapInArrow(score, f"doc_id long, score double, n_terms long, evidence {evidence_kind}")
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_terms", "evidence")
