@@ -120,11 +120,15 @@ def slots(runs: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
+def dealt(pieces: DataFrame, chunks: int) -> DataFrame:
+    """Add nth_row, a number of each row, and its chunk; rows alike in all else differ by their number, so that no chunk holds all copies of a document."""
+    numbered = pieces.withColumn("nth_row", F.monotonically_increasing_id())
+    return numbered.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth_row"), F.lit(chunks)).cast("int"))
+
+
 def pack(pieces: DataFrame, capacity: int, chunks: int = 1024) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces ``(doc_id, piece, start, length, ids_crc32, ...)``."""
-    kept = materialize(
-        pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)).cast("int")), "pieces"
-    )
+    kept = materialize(dealt(pieces, chunks), "pieces")
     by_chunk = kept.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_chunk.groupBy("length").agg(F.sum("n")).collect():  # at most one row a length
@@ -133,7 +137,7 @@ def pack(pieces: DataFrame, capacity: int, chunks: int = 1024) -> DataFrame:
     before = by_chunk.select(
         "length", "chunk", (F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).alias("before")
     )
-    order = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32", "nth_row")
     ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).join(before, ["length", "chunk"])
     ranked = ranked.select(*pieces.columns, (F.col("rank") - 1 + F.col("before")).alias("rank"))
     step, names = 1 << 40, pieces.columns
@@ -162,8 +166,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     ids_crc32, sequence_id, offset, and with ``keep_ids`` the ids as bytes.
 
     Null and empty texts are one ``end_id``; texts of any length are tokenized whole.
-    Pieces of one length are ranked by doc_id, piece and content; rows alike in all
-    of these are interchangeable. Repeated rows are separate documents. An empty table gives no rows; further columns are ignored. A null
+    Pieces of one length are dealt by a hash into chunks and ranked there by doc_id, piece and content; rows alike in all
+    of these are interchangeable and go to chunks of their own. Repeated rows are separate documents. An empty table gives no rows; further columns are ignored. A null
     doc_id is kept as null.
     """
     return pack(token_pieces(docs, path, capacity, end_id, keep_ids), capacity)

@@ -61,7 +61,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     (shard, doc_id, local_start, n_tokens, control, data); and ``totals``, the
     number of ids in each shard. Null texts count as empty; texts of any length
     are encoded whole; repeated rows stay separate documents; rows of one doc_id
-    are in the order of their ids' bytes; ids used alike often rank by id; null
+    are in the order of a hash of their ids, and however many, are written by many tasks; ids used alike often rank by id; null
     doc_ids come first; an empty table gives empty files; further columns are ignored.
     """
     spark = docs.sparkSession
@@ -77,7 +77,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
                     ["doc_id", "ids", "width"],
                 )
 
-    held = materialize(id_and_text(docs).mapInArrow(tokens, "doc_id long, ids binary, width int"), "ids")
+    encoded = id_and_text(docs).mapInArrow(tokens, "doc_id long, ids binary, width int")
+    # rows alike in doc_id and ids differ by their number, so that a range can end between them
+    held = materialize(encoded.withColumns({"ids_key": F.xxhash64("ids"), "nth_row": F.monotonically_increasing_id()}), "ids")
 
     def counts(batches):
         total = np.zeros(0, np.int64)
@@ -112,7 +114,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
             yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "local_start", "n_tokens", "control", "data"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = held.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    order = ["doc_id", "ids_key", "nth_row"]
+    ordered = held.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "ids", "width")
     kinds = "shard int, doc_id long, local_start long, n_tokens long, control binary, data binary"
     ordered.mapInArrow(records, kinds).write.parquet(f"{path}/shards")

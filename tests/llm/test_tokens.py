@@ -74,6 +74,23 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0), str(P.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_copies_of_one_document_are_dealt_to_many_tasks(spark, tmp_path):
+    hot = [(None, "")] * 400 + [(7, "same words")] * 400 + [(i, f"word {i}") for i in range(400)]
+    docs = spark.createDataFrame(hot, "doc_id long, text string").repartition(6)
+    pieces = packing.token_pieces(docs, str(P.path("byte_bpe_50k.json")), 256, 0, False)
+    most = packing.dealt(pieces, 64).groupBy("length", "chunk").count().agg({"count": "max"}).first()[0]
+    assert most < 60
+    found = packing.pack_documents(docs, str(P.path("byte_bpe_50k.json")), 256, 0).toPandas().sort_values(["sequence_id", "offset"])
+    assert len(found) == 1200 and (found.offset == found.groupby("sequence_id").length.cumsum() - found.length).all()
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_token_files(docs, path, str(P.path("word_bpe_49k.json")), 2)
+    rows = spark.read.parquet(f"{path}/shards")
+    assert rows.groupBy("shard").count().agg({"count": "max"}).first()[0] < 600
+    read = token_files.read_token_files(spark, path).toPandas().sort_values("start")
+    assert (read.start == read.n_tokens.cumsum() - read.n_tokens).all() and read.doc_id.isna().sum() == 400
+    assert read.doc_id.fillna(-1).is_monotonic_increasing
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_plans_hold_every_piece_once(lengths):
