@@ -290,6 +290,13 @@ SIGNALS = (
     ("candidate_workitem_coverage", "sessions > 0", "concat_ws(',', CASE WHEN high > 0 THEN 'high:' || high END, CASE WHEN medium > 0 THEN 'medium:' || medium END, CASE WHEN low > 0 THEN 'low:' || low END)", "covered", "sessions", "coverage_pct"),
 )
 SQL["trace_state"] = SQL["trace_fold"]
+SQL["late_bursts"] = SQL["burst_spans"]
+SQL["history_whole"] = f"""SELECT hour * {HOUR} AS at_us, n AS pid_concurrency, u AS session_concurrency, 0::BIGINT AS active_burst_concurrency, u AS active_sessions, n / 4.0::DOUBLE AS mapping_coverage_pct,
+    p AS top_project, n % 7 AS stale_session_count, CASE WHEN n % 2 = 0 THEN 'transcript_burst' ELSE '' END AS load_peak_source, 0.0::DOUBLE AS fragmentation_pct, u % 3 AS main_agent_sessions
+    FROM (SELECT ts_us // {HOUR} AS hour, count(*) AS n, count(DISTINCT session_id) AS u, coalesce(min('p' || user_id % 7) FILTER (user_id % 11 <> 0), '') AS p, max(max(ts_us // {HOUR})) OVER () AS newest FROM ev GROUP BY 1)
+    WHERE hour >= newest - 720"""
+SQL["redact_tables"] = f"""SELECT c.pid, c.command, 0 AS paths, tool AS name, '' AS bundle_path, 'project=p' || c.pid % 7 || '|tool=' || tool AS key,
+    'p' || c.pid % 7 AS project, 'seen in (s.jsonl), twice; by id' AS reasons FROM pr JOIN ({SQL["redact_command"]}) c ON c.pid = pr.pid"""
 SQL["risk_signals"] = "SELECT place, kind, subject, n, of_n, pct FROM (" + " UNION ALL ".join(
     f"SELECT {i}::INT AS place, '{kind}' AS kind, ({subject})::VARCHAR AS subject, ({n})::BIGINT AS n, ({of_n})::BIGINT AS of_n, ({pct})::DOUBLE AS pct FROM ({SQL['coordination_risk']}) WHERE {when}"
     for i, (kind, when, subject, n, of_n, pct) in enumerate(SIGNALS)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from sessionloom import config
 from sessionloom.functions import text as T
-from sessionloom.operators import history, indicators, intervals, mapping, rollups, traces, trends, views
+from sessionloom.operators import history, indicators, intervals, mapping, redaction, rollups, samples, traces, trends, views
 from sessionloom.sources import adapters as A
 from sessionloom.sources import appended, transcripts
+from sessionloom.streaming import bursts
 from sessionloom.streaming import trace_state as state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +48,14 @@ def burst_spans(s, d):
     return bursts_of(s, d).select(*KEYS, "start_us", "end_us", "events")
 
 
+@query
+def late_bursts(s, d):
+    e = A.trace_events(s, d)
+    late = F.col("event_id") % 5 == 0
+    kept = A.land(intervals.burst_spans(e.where(~late), KEYS, GAP, 0).select(*KEYS, "start_us", "end_us", "events"), "bursts")
+    return intervals.normalize(bursts.repaired(kept, e.where(late), KEYS, GAP), MIN).select(*KEYS, "start_us", "end_us", "events")
+
+
 @query
 def session_spans(s, d):
     return spans_of(s, d)
@@ -515,6 +524,26 @@ def history_allocation(s, d):
     return out.withColumn("average_share_pct", F.round("average_share_pct", 6))
 
 
+@query
+def history_whole(s, d):
+    h = A.trace_events(s, d).groupBy((F.floor(F.col("ts_us") / 3_600_000_000) * 3_600_000_000).alias("at_us")).agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("u"), F.min("project").alias("p"))
+    snapshots = h.select(
+        "at_us", F.struct(F.col("n").alias("pid_concurrency"), F.col("u").alias("session_concurrency")).alias("current"), F.struct(F.col("u").alias("active_sessions"), (F.col("n") / 4).alias("mapping_coverage_pct")).alias("summary"),
+        F.struct(F.coalesce("p", F.lit("")).alias("top_project"), (F.col("n") % 7).alias("stale_session_count"), F.when(F.col("n") % 2 == 0, "transcript_burst").alias("load_peak_source")).alias("coordination_risk"),
+        F.array(F.struct(F.coalesce("p", F.lit("")).alias("project"), (F.col("u") % 3).alias("main_agent_sessions"))).alias("projects"),
+    )
+    root, batch = A.new_root(s, "samples"), F.floor(F.col("at_us") / 3_600_000_000) % 3
+    for number in range(3):
+        samples.land_batch(snapshots.where(batch == number), root, number)
+        if number == 1:
+            samples.compact(s, root)
+    r = F.col("coordination_risk")
+    return samples.stored(s, root).select(
+        "at_us", "current.pid_concurrency", "current.session_concurrency", "current.active_burst_concurrency", "summary.active_sessions", "summary.mapping_coverage_pct", r["top_project"].alias("top_project"), r["stale_session_count"].alias("stale_session_count"),
+        r["load_peak_source"].alias("load_peak_source"), r["fragmentation_pct"].alias("fragmentation_pct"), F.col("projects")[0]["main_agent_sessions"].alias("main_agent_sessions"),
+    )
+
+
 @query
 def history_growth(s, d):
     return history.growth(history.in_range(_samples(s, d), NOW - 7 * DAY, NOW))
@@ -543,6 +572,18 @@ def redact_sessions(s, d):
     return views.redacted_sessions(observed_of(s, d)).withColumn("reasons", F.array_join("reasons", "|"))
 
 
+@query
+def redact_tables(s, d):
+    p, n = A.processes(s, d), (F.col("pid") % 7).cast("string")
+    project = F.concat(F.lit("/srv/p"), n, F.lit("/"))
+    rows = p.select(
+        "pid", "command", F.col("files.path").alias("session_paths"), F.struct(F.col("tool").alias("name"), F.concat(F.lit("/Applications/"), "tool", F.lit(".app")).alias("bundle_path")).alias("host_app"),
+        F.array(F.struct(F.concat(F.lit("project="), project, F.lit("|tool="), "tool").alias("key"), project.alias("project"), F.array(F.concat(F.lit("seen in (/tmp/u"), n, F.lit("/s.jsonl), twice")), F.lit("by id")).alias("confidence_reasons"))).alias("workitems"),
+    )
+    w = F.col("workitems")[0]
+    return redaction.redacted(rows).select("pid", "command", F.size("session_paths").alias("paths"), "host_app.name", "host_app.bundle_path", w["key"].alias("key"), w["project"].alias("project"), F.array_join(w["confidence_reasons"], "; ").alias("reasons"))
+
+
 @query
 def entity_search(s, d):
     return views.search(observed_of(s, d), A.processes(s, d), "P3")

@@ -9,16 +9,19 @@ from sessionloom.config import refresh_interval
 from sessionloom.functions import text as T
 from sessionloom.operators.history import to_lines
 from sessionloom.operators.traces import fold_traces
+from sessionloom.operators.trends import runtime_trends
 
 
-def streaming_bursts(events: DataFrame, keys: list[str], gap: str, lateness: str) -> DataFrame:
+def streaming_bursts(events: DataFrame, keys: list[str], gap: str, lateness: str, least: float = 0) -> DataFrame:
     """Bursts of events (keys, ts) that the watermark has closed: first and last event, number of events.
 
-    Lines later than ``lateness`` are dropped here and need the batch operator.
+    Lines later than ``lateness`` are dropped here; ``bursts.keep_bursts`` takes those of any lateness.
+    With ``least`` bursts are stretched to that many seconds.
     """
-    sessions = events.withWatermark("ts", lateness).groupBy(*keys, F.session_window("ts", gap))
+    sessions = events.withWatermark("ts", lateness).groupBy(*keys, F.session_window("ts", f"{gap} 1 microsecond"))  # a gap of just that length does not part them
     out = sessions.agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("events"))
-    return out.drop("session_window")
+    end = F.greatest("end_ts", F.timestamp_micros(F.unix_micros("start_ts") + F.lit(int(least * 1_000_000))))
+    return out.drop("session_window").withColumn("end_ts", end)
 
 
 def slot_requests(requests: DataFrame, seconds: int, lateness: str) -> DataFrame:
@@ -33,6 +36,14 @@ def sample_buckets(samples: DataFrame, step: str, lateness: str) -> DataFrame:
     return out.select(F.col("window.start").alias("bucket"), "m.*")
 
 
+def range_buckets(samples: DataFrame, now_us: int) -> DataFrame:
+    """The last sample (at_us, metrics) of each bucket of each trend range, buckets counted from the range's own start, the one at ``now_us`` included.
+
+    The state is a row a bucket, so it is bounded by the ranges whatever comes; output mode is update or complete.
+    """
+    return runtime_trends(samples, now_us)
+
+
 def tick(every_s: int | None) -> dict:
     """The trigger of a job: all there is and then an end, or a batch every so many seconds (30 at least; 0 means paused, so once)."""
     seconds = refresh_interval(every_s or 0)

@@ -103,3 +103,42 @@ def test_smoothing_takes_inner_values_for_missing_neighbours(spark):
     assert {(r.at_us, r.n) for r in trends.history_points(seconds, ["n"]).collect()} == {(1_000_000, 2), (2_000_000, 3)}
     assert intervals.day_start(1_706_652_000_000_000, "UTC") == 1_706_572_800_000_000
     assert intervals.day_start(1_706_652_000_000_000, "Asia/Tokyo") == 1_706_626_800_000_000
+
+
+def test_late_lines_repair_bursts(spark, tmp_path):
+    import os
+    import random
+
+    from sessionloom.streaming.bursts import current_bursts, keep_bursts, repaired
+
+    rng = random.Random(3)
+    day = 86_400_000_000
+    rows = [(rng.choice("abc"), rng.choice((1, 2)), rng.randrange(4 * day // 60_000_000) * 60_000_000 - day) for _ in range(900)]
+    rows += [("hot", 1, i * 90_000_000) for i in range(400)] + rows[:50]
+    kind = "k string, n int, ts_us long"
+    want = lambda r: sorted(tuple(x) for x in intervals.burst_spans(spark.createDataFrame(r, kind), ["k", "n"], 90, 0).select("k", "n", "start_us", "end_us", "events").collect())
+    old = [r for r in rows if r[2] % 7]
+    first = intervals.burst_spans(spark.createDataFrame(old, kind), ["k", "n"], 90, 0)
+    late = spark.createDataFrame([r for r in rows if not r[2] % 7], kind)
+    found = repaired(first, late, ["k", "n"], 90)
+    assert sorted(tuple(x) for x in found.select("k", "n", "start_us", "end_us", "events").collect()) == want(rows)
+    rng.shuffle(rows)  # every batch brings lines up to days late
+    for at in range(0, len(rows), 500):
+        spark.createDataFrame(rows[at : at + 500], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    root = str(tmp_path / "kept")
+    keep_bursts(stream, ["k", "n"], 90, 3600, root, str(tmp_path / "c"), buckets=4).awaitTermination()
+    assert len(os.listdir(f"{root}/late")) >= 2 and spark.read.parquet(f"{root}/late").where("ts_us is null").count() == 0
+    kept = current_bursts(spark, root, ["k", "n"], stream.schema).drop("bucket")
+    assert sorted(tuple(x) for x in kept.collect()) == want(rows)
+
+
+def test_streamed_buckets_of_all_ranges(spark, tmp_path):
+    now = 1_782_561_600_000_000
+    samples = [(now - i * 1_234_567_890, i) for i in range(2200)] + [(now, -1), (now - 86_400_000_000, 7), (now + 1, 9)]
+    frame = spark.createDataFrame(samples, "at_us long, v long")
+    frame.repartition(3).write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    jobs.range_buckets(stream, now).writeStream.format("memory").queryName("ranges").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("ranges").collect())) == sorted(map(tuple, trends.runtime_trends(frame, now).collect()))
+    assert spark.table("ranges").where(f"range = '1D' and at_us = {now}").first()["bucket"] == 48  # the one at the end
