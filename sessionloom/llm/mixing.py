@@ -77,6 +77,32 @@ def joined(rows: DataFrame, table: DataFrame, keys: list[str], many: int, spread
     return rows.withColumn("salt", F.pmod(spread, F.lit(salts)).cast("int")).join(salted.hint("merge"), [*keys, "salt"], "left").drop("salt")
 
 
+def shard_seats(cells: DataFrame, quotas: DataFrame, many: int, block: int, most: int) -> DataFrame:
+    """``cells`` (known, name, shard, cell_size) with seats, the blocks of its source's quota (known, name, quota) that a shard gets by Sainte-Lague.
+
+    No shard gets more blocks than ``most`` times its size needs; ties go to the smaller shard. ``many`` is the number of sources.
+    A divisor gives a source's n shards within n / 2 of the seats in proportion to it, so two divisors enclose the quota:
+    shards hold what the larger one gives, and of the quotients between both, some 2 * n, the highest fill the rest.
+    """
+    source = ["known", "name"]
+    cap = F.floor((F.col("cell_size") * most + (block - 1)) / block).cast("long")
+    own = cells.where("cell_size > 0").withColumn("cap", cap)
+    totals = own.groupBy(*source).agg(F.sum("cell_size").alias("all_words"), F.count("*").alias("n"), F.sum("cap").alias("all_caps"))
+    totals = joined(totals, quotas, source, many, F.lit(0)).withColumn("quota", F.least("quota", "all_caps"))
+    reach = lambda seats: F.floor((F.col("cell_size") * seats * 2 / F.col("all_words") + 1) / 2).cast("long")
+    # one more and one less than computed: what rounding may be off
+    base = F.greatest(F.lit(0), F.least("cap", reach(F.col("quota") - F.col("n") / 2) - 1))
+    top = F.greatest(F.least("cap", reach(F.col("quota") + F.col("n") / 2) + 1), F.lit(0))
+    held = joined(own, totals, source, many, F.col("shard")).withColumns({"base": base, "top": top})
+    held = materialize(held.select(*source, "shard", "cell_size", "cap", "quota", "base", "top"), "seats")
+    sums = held.groupBy(*source).agg(F.sum("base").alias("bases"), F.sum("top").alias("tops"))
+    between = joined(held, sums, source, many, F.col("shard")).withColumn("top", F.when(F.col("tops") < F.col("quota"), F.col("cap")).otherwise(F.col("top")))
+    between = between.where("top > base").withColumn("h", F.explode(F.sequence("base", F.col("top") - 1)))
+    best = Window.partitionBy(*source).orderBy(F.desc(F.col("cell_size") / (2 * F.col("h") + 1)), "shard")
+    won = between.withColumn("place", F.row_number().over(best)).where(F.col("place") <= F.col("quota") - F.col("bases")).groupBy(*source, "shard").agg(F.count("*").alias("won"))
+    return held.join(won, [*source, "shard"], "left").select(*source, "shard", "cell_size", (F.col("base") + F.coalesce("won", F.lit(0))).alias("seats"))
+
+
 def keyed(docs: DataFrame, seed: int) -> DataFrame:
     """``row`` (all columns of a row), its size in words, its source and its key in the seeded order.
 
@@ -94,7 +120,7 @@ def keyed(docs: DataFrame, seed: int) -> DataFrame:
 def decided(rows: DataFrame, narrow: DataFrame, cycle: tuple[float, ...], most: int, cell_words: int, blocks: int) -> DataFrame:
     """Add source_size, target and taken to ``rows``; the decisions come from ``narrow``, the same rows without their text.
 
-    The driver gets one row for each source and for each shard, sums only.
+    The driver gets one row for each source, sums only; shards get their seats in Spark.
     """
     spark = rows.sparkSession
     found = narrow.groupBy("known", "name").agg(F.sum("size").alias("size")).collect()
@@ -109,31 +135,24 @@ def decided(rows: DataFrame, narrow: DataFrame, cycle: tuple[float, ...], most:
     # equal rows are one unit of the seeded order, counted on the map side
     units = in_source(narrow.where("size > 0")).groupBy("known", "name", shard, "key", "size").agg(F.count("*").alias("rows"))
     units = materialize(units, "units")
-    cells = units.groupBy("known", "name", "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("cell_size")).collect()
-    cells.sort(key=lambda r: (not r.known, r.name, r.shard))
+    cells = materialize(units.groupBy("known", "name", "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("cell_size")), "cells")
     block = min(1024, max(1, total // blocks))
-    most_blocks = lambda n: [-(-most * x // block) for x in n]
-    quotas = sainte_lague(targets, round(total / block), most_blocks(sizes))
-    by_source: dict[tuple, list] = {}
-    for r in cells:
-        by_source.setdefault((r.known, r.name), []).append(r)
-    taken = []
-    for source, quota in zip(found, quotas, strict=True):
-        own = by_source.get((source.known, source.name), [])
-        each = [r.cell_size for r in own]
-        for r, q in zip(own, sainte_lague(each, quota, most_blocks(each)), strict=True):
-            taken.append((r.known, r.name, r.shard, *divmod(min(int(q) * block, most * r.cell_size), r.cell_size)))
-    plan = spark.createDataFrame(taken, "known boolean, name string, shard long, passes long, rest long")
+    seats = sainte_lague(targets, round(total / block), [-(-most * x // block) for x in sizes])
+    quotas = spark.createDataFrame([(r.known, r.name, int(q)) for r, q in zip(found, seats, strict=True)], "known boolean, name string, quota long")
+    words = F.least(F.col("seats") * block, F.col("cell_size") * most)
+    plan = shard_seats(cells, quotas, len(found), block, most)
+    plan = plan.select("known", "name", "shard", F.floor(words / F.col("cell_size")).cast("long").alias("passes"), (words % F.col("cell_size")).alias("rest"))
+    plan, shards = materialize(plan, "plan"), cells.count()
     order = Window.partitionBy("known", "name", "shard").orderBy("key", "size")
     words = F.col("size") * F.col("rows")
     before = F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - words
-    placed = joined(units.withColumn("before", before), plan, ["known", "name", "shard"], len(taken), F.xxhash64("key"))
+    placed = joined(units.withColumn("before", before), plan, ["known", "name", "shard"], shards, F.xxhash64("key"))
     edges = placed.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + words)).select(
         "known", "name", "shard", "passes", F.col("key").alias("edge_key"), F.col("size").alias("edge_size"),
         F.floor((F.col("rest") - F.col("before")) / F.col("rows")).cast("long").alias("edge_part"),
     )
     edges = materialize(edges, "edges")
-    out = joined(in_source(rows).withColumn("shard", shard), edges, ["known", "name", "shard"], len(taken), F.xxhash64("key"))
+    out = joined(in_source(rows).withColumn("shard", shard), edges, ["known", "name", "shard"], shards, F.xxhash64("key"))
     once_more = F.expr("case when key < edge_key or key = edge_key and size < edge_size then size when key = edge_key and size = edge_size then edge_part else 0 end")
     return out.withColumn("taken", F.when(F.col("size") > 0, F.col("passes") * F.col("size") + once_more).otherwise(F.lit(0).cast("long")))
 

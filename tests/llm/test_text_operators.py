@@ -151,6 +151,26 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.surrogate for r in found}) == 60 and not {r.surrogate for r in found} & {r.canonical for r in found}
 
 
+def test_seats_of_shards(spark):
+    import random
+
+    rng = random.Random(4)
+    for most, block in ((3, 1), (3, 7), (2, 100)):
+        cells, quotas = [], []
+        for i in range(40):
+            sizes = [rng.choice((1, 5, 5, 5, rng.randrange(1, 2000), 40_000 if i % 7 == 0 else 60)) for _ in range(rng.choice((1, 2, 9, 60)))]
+            cells += [(i % 9 > 0, f"s{i}", k, x) for k, x in enumerate(sizes)]
+            caps = sum(-(-most * x // block) for x in sizes)
+            quotas.append((i % 9 > 0, f"s{i}", rng.choice((0, 1, len(sizes) // 2, sum(sizes) // block, caps - 1, caps, 2 * caps, rng.randrange(caps + 1)))))
+        frame = spark.createDataFrame(cells, "known boolean, name string, shard long, cell_size long")
+        found = mixing.shard_seats(frame, spark.createDataFrame(quotas, "known boolean, name string, quota long"), len(quotas), block, most)
+        found = {(r.name, r.shard): r.seats for r in found.collect()}
+        for _, name, quota in quotas:
+            own = [x for _, n, _, x in cells if n == name]
+            want = mixing.sainte_lague(own, quota, [-(-most * x // block) for x in own]).tolist()
+            assert [found[name, k] for k in range(len(own))] == want, (name, quota, own)
+
+
 def test_targets_and_seats():
     assert mixing.target_words([100, 100, 100]) == [187.5, 75.0, 37.5]
     capped = mixing.target_words([10, 1000, 1000, 0])
