@@ -232,3 +232,15 @@ def known_roots(known: DataFrame, processes: DataFrame) -> DataFrame:
         root = F.when(F.col("tool") == tool, T.root_of_path("path", name)).otherwise(root)
     of_files = files.select("tool", root.alias("root")).where("root <> ''")
     return known.select("tool", "root").union(of_command).union(of_files).distinct()
+
+
+def found_roots(roots: DataFrame, listing: DataFrame) -> DataFrame:
+    """Those of the roots (tool, root) that a listing of files (path) shows to be there: some file lies below them.
+
+    The listing stands for asking a file system about each root: every file gives the directories above it, once each after a map-side
+    distinct, and roots are matched to those by equality. Roots without any file below them don't show and are left out.
+    """
+    parts = F.split(T.clean_path("path"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    directories = listing.where("path like '%/%'").select(F.explode(above).alias("dir")).where("dir <> ''").distinct()
+    return roots.join(directories, T.clean_path("root") == F.col("dir"), "left_semi")

@@ -84,8 +84,9 @@ def calibration(current: DataFrame) -> DataFrame:
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def time_of_day(events: DataFrame) -> DataFrame:
-    """Events by time of day: night, morning, day, evening."""
-    hour = F.pmod(F.floor(F.col("ts_us") / 3_600_000_000), F.lit(24))
+def time_of_day(events: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Events by time of day in a time zone: night, morning, day, evening."""
+    local = F.convert_timezone(F.current_timezone(), F.lit(zone), F.timestamp_micros("ts_us").cast("timestamp_ntz")) if zone != "UTC" else None
+    hour = F.pmod(F.floor(F.col("ts_us") / 3_600_000_000), F.lit(24)) if local is None else F.hour(local)
     tone = F.when(hour < 6, "night").when(hour < 12, "morning").when(hour < 18, "day").otherwise("evening")
     return events.groupBy(tone.alias("tone")).agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"))

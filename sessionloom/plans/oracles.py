@@ -128,8 +128,11 @@ SQL = {
     "transcript_trends": f"""SELECT range, at_us, CASE WHEN at_us >= start_us THEN a.level END AS sessions, CASE WHEN at_us >= start_us THEN b.level END AS bursts
         FROM ({level('spans', 'grid')}) a JOIN ({level('bursts', 'grid')}) b USING (range, at_us), start""",
     "runtime_trends": "SELECT * FROM buckets",
-    "trend_merge": f"""SELECT at_us, CASE WHEN at_us % 10800000000 = 0 THEN pid_concurrency ELSE 0 END AS pid_concurrency, CASE WHEN at_us % 7200000000 = 0 THEN session_concurrency END AS session_concurrency
-        FROM samples WHERE at_us % 7200000000 = 0 OR at_us % 10800000000 = 0 ORDER BY at_us DESC LIMIT 18""",
+    "trend_merge": """SELECT at_us, coalesce(n.pid_concurrency, 0) AS pid_concurrency, o.session_concurrency FROM samples o
+        FULL JOIN (SELECT at_us + at_us // 3600000000 % 2 * 1800000000 AS at_us, pid_concurrency FROM samples) n USING (at_us)""",
+    "trend_chosen": f"SELECT range, coalesce(max(at_us) FILTER (at_us = {NOW} - 30 * {HOUR}), max(at_us)) AS at_us, coalesce(max(pid_concurrency) FILTER (at_us = {NOW} - 30 * {HOUR}), max_by(pid_concurrency, at_us)) AS pid_concurrency FROM buckets GROUP BY 1",
+    "time_of_day_zones": """SELECT zone, CASE WHEN h < 6 THEN 'night' WHEN h < 12 THEN 'morning' WHEN h < 18 THEN 'day' ELSE 'evening' END AS tone, count(*) AS events, count(DISTINCT session_id) AS sessions
+        FROM (SELECT zone, hour(make_timestamp(ts_us + shift * 3600000000)) AS h, session_id FROM ev, (VALUES ('UTC', 0), ('Asia/Tokyo', 9), ('America/Sao_Paulo', -3)) z(zone, shift)) GROUP BY ALL""",
     "trend_smooth": """SELECT range, at_us, round(CASE WHEN n < 4 OR p1 IS NULL OR n1 IS NULL THEN v ELSE (coalesce(p2, p1) + 2 * p1 + 3 * v + 2 * n1 + coalesce(n2, n1)) / 9 END, 6) AS smoothed FROM (
         SELECT range, at_us, pid_concurrency::DOUBLE AS v, count(*) OVER (PARTITION BY range) AS n, lag(v) OVER w AS p1, lag(v, 2) OVER w AS p2, lead(v) OVER w AS n1, lead(v, 2) OVER w AS n2 FROM buckets WINDOW w AS (PARTITION BY range ORDER BY at_us))""",
     "trend_resample": """SELECT range, i::INT AS i, round(CASE WHEN r.at_us > l.at_us THEN l.v + (r.v - l.v) * ((x - l.at_us) / (r.at_us - l.at_us)) ELSE l.v END, 4) AS value FROM (
@@ -246,7 +249,8 @@ SQL = {
     "calibration": f"""SELECT key, value, value * 100.0::DOUBLE / greatest(1, max(value) OVER ()) AS pct FROM (SELECT 'burst' AS key, count(*) FILTER ({NOW} - last_us <= {GAP}) AS value FROM ob UNION ALL SELECT 'session', count(*) FROM ob UNION ALL SELECT 'pid', count(*) FROM pr)""",
     "refresh_slot": "SELECT event_id, '300s:' || strftime(make_timestamp(ts_us - ts_us % 300000000), '%Y-%m-%dT%H:%M:%SZ') AS slot, '700s:' || strftime(make_timestamp(ts_us - (ts_us + 62135596800000000) % 700000000), '%Y-%m-%dT%H:%M:%SZ') AS odd_slot FROM ev",
     "refresh_slot_dedup": "SELECT '3600s:' || strftime(make_timestamp(ts_us - ts_us % 3600000000), '%Y-%m-%dT%H:%M:%SZ') AS slot, min(ts_us) AS first_us FROM ev GROUP BY 1",
-    "duration_label": "SELECT o_orderkey, CASE WHEN s = 0 THEN '0s' WHEN s % 3600 = 0 THEN s // 3600 || 'h' WHEN s % 60 = 0 THEN s // 60 || 'm' ELSE s || 's' END AS label FROM (SELECT o_orderkey, o_orderkey % 200 * 30 AS s FROM orders)",
+    "duration_label": """SELECT tool, session_id, CASE WHEN s = 0 THEN '0s' WHEN s % 3600 = 0 THEN s // 3600 || 'h' WHEN s % 60 = 0 THEN s // 60 || 'm' ELSE s || 's' END AS label
+        FROM (SELECT tool, session_id, (end_us - start_us) // 1000000 AS s FROM spans)""",
 }
 OWN = BASE.rstrip() + ", own AS (SELECT *, (CASE WHEN basis = 'process_count' AND process_count > 0 THEN process_count WHEN basis = 'session_count' AND session_count > 0 THEN session_count WHEN share > 0 THEN share ELSE session_count END)::DOUBLE AS w FROM focus2 WHERE project <> 'unassigned')\n"
 TREE = f"""{OWN.rstrip()}, dup AS (SELECT project, tool, freshness, count(*) AS n FROM ob WHERE project <> 'unassigned' AND freshness IN ('active', 'idle') GROUP BY ALL HAVING count(*) > 1),
@@ -297,6 +301,7 @@ SQL["history_whole"] = f"""SELECT hour * {HOUR} AS at_us, n AS pid_concurrency,
     WHERE hour >= newest - 720"""
 SQL["redact_tables"] = f"""SELECT c.pid, c.command, 0 AS paths, tool AS name, '' AS bundle_path, 'project=p' || c.pid % 7 || '|tool=' || tool AS key,
     'p' || c.pid % 7 AS project, 'seen in (s.jsonl), twice; by id' AS reasons FROM pr JOIN ({SQL["redact_command"]}) c ON c.pid = pr.pid"""
+SQL["config_roots_found"] = f"SELECT tool, root FROM ({SQL['config_roots']}) r WHERE EXISTS (SELECT 1 FROM ev WHERE starts_with(ev.path, r.root || '/'))"
 SQL["risk_signals"] = "SELECT place, kind, subject, n, of_n, pct FROM (" + " UNION ALL ".join(
     f"SELECT {i}::INT AS place, '{kind}' AS kind, ({subject})::VARCHAR AS subject, ({n})::BIGINT AS n, ({of_n})::BIGINT AS of_n, ({pct})::DOUBLE AS pct FROM ({SQL['coordination_risk']}) WHERE {when}"
     for i, (kind, when, subject, n, of_n, pct) in enumerate(SIGNALS)

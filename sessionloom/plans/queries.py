@@ -215,9 +215,10 @@ def _points(s, d):
 @query
 def trend_merge(s, d):
     h = _samples(s, d)
-    old = h.where("at_us % 7200000000 = 0").select("at_us", (F.col("pid_concurrency") * 0).alias("pid_concurrency"), "session_concurrency")
-    new = h.where("at_us % 10800000000 = 0").select("at_us", "pid_concurrency", F.lit(None).cast("long").alias("session_concurrency"))
-    return trends.merge(old, new, ["pid_concurrency", "session_concurrency"]).orderBy(F.desc("at_us")).limit(18)
+    old = h.select("at_us", (F.col("pid_concurrency") * 0).alias("pid_concurrency"), "session_concurrency")
+    later = F.col("at_us") + F.floor(F.col("at_us") / 3_600_000_000) % 2 * 1_800_000_000  # those of odd hours lie between two of the history
+    new = h.select(later.alias("at_us"), "pid_concurrency", F.lit(None).cast("long").alias("session_concurrency"))
+    return trends.merge(old, new, ["pid_concurrency", "session_concurrency"])
 
 
 @query
@@ -251,6 +252,18 @@ def time_of_day_load(s, d):
     return views.time_of_day(A.trace_events(s, d))
 
 
+@query
+def trend_chosen(s, d):
+    return trends.latest(_points(s, d), ["range"], "pid_concurrency", NOW - 30 * 3_600_000_000)
+
+
+@query
+def time_of_day_zones(s, d):
+    e = A.trace_events(s, d)
+    zones = [views.time_of_day(e, zone).select(F.lit(zone).alias("zone"), "tone", "events", "sessions") for zone in ("UTC", "Asia/Tokyo", "America/Sao_Paulo")]
+    return zones[0].union(zones[1]).union(zones[2])
+
+
 # processes
 
 
@@ -295,6 +308,15 @@ def session_hints(s, d):
 
 @query
 def config_roots(s, d):
+    return _roots(s, d)
+
+
+@query
+def config_roots_found(s, d):
+    return mapping.found_roots(_roots(s, d), A.trace_events(s, d).select("path"))
+
+
+def _roots(s, d):
     c = _commands(s, d).withColumn("tool", T.tool_of_command("command"))
     known = s.createDataFrame([("codex", "/srv/known/.codex")], "tool string, root string")
     procs = c.select("tool", "command", F.expr("cast(array() as array<struct<tool:string,path:string>>)").alias("files"))
@@ -638,4 +660,4 @@ def refresh_slot_dedup(s, d):
 
 @query
 def duration_label(s, d):
-    return A.table(s, d, "orders").select("o_orderkey", T.duration_label(F.col("o_orderkey") % 200 * 30).alias("label"))
+    return spans_of(s, d).select(*KEYS, T.duration_label(F.floor((F.col("end_us") - F.col("start_us")) / 1_000_000)).alias("label"))
