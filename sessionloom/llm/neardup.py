@@ -145,10 +145,11 @@ def near_groups(docs: DataFrame, percent: int = 75, size: int = 5, bands: int =
     rest = labelled.join(mixed.select("key", "weight"), "key")
     more = links_across(rest, sets, percent)
     parts = connected_components(links.union(more)).withColumnRenamed("node", "id")
-    placed = classes.join(parts, "id", "left").select(*equal, "doc_id", "text_key", F.coalesce("component", "id").alias("component"))
-    best = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    placed = materialize(classes.join(parts, "id", "left").select(*equal, "doc_id", "text_key", F.coalesce("component", "id").alias("component")), "placed")
+    # written, so that both sides of the join are plain shuffles and adaptive execution splits the classes of a large group
+    best = materialize(placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("best")), "best")
     of_class = materialize(placed.join(best, "component").select(*equal, "best"), "components")
-    drop_tables(spark, members, sets, links, labelled)
+    drop_tables(spark, members, sets, links, labelled, placed, best)
     # a class's answer goes to its rows by their fingerprint; rows without doc_id or words are no one's
     mine = sketched.drop("bands").join(of_class, equal, "left")
     known = F.col("doc_id").isNotNull() & F.col("best").isNotNull()
