@@ -7,42 +7,44 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
 
-PARENTS = ["$.payload.source.subagent.thread_spawn.parent_thread_id", "$.thread_spawn.parent_thread_id", "$.subagent.parent_thread_id", "$.payload.thread_spawn.parent_thread_id", "$.payload.subagent.parent_thread_id", "$.payload.parent_thread_id"]
-
-
-#: What is read below ``payload`` and beside it; each line is parsed once.
-SPAWN, OF_PARENT = "thread_spawn:struct<parent_thread_id:string>", "struct<parent_thread_id:string>"
-LINE = (
-    f"thread_spawn {OF_PARENT}, subagent {OF_PARENT}, payload struct<cwd:string,project:string,id:string,thread_source:string,agent_role:string,agent_nickname:string,"
-    f"parent_thread_id:string,{SPAWN},subagent:{OF_PARENT},source:struct<subagent:struct<{SPAWN}>>>"
-)
-
-
 def line_facts(lines: DataFrame, *more) -> DataFrame:
-    """What one line of a transcript says: time, id, project names by source, roles, whether it is an event; and ``more`` columns."""
-    lines = lines.withColumn("said", F.from_json("value", LINE))
-    v, at = F.col("value"), lambda path: F.col("said" + path[1:])
-    time = T.observed_time(T.json_first_field(v, "timestamp"))
-    cwd = T.path_project(T.first_non_empty(at("$.payload.cwd"), T.json_first_field(v, "cwd")))["name"]
-    named = T.trusted_project(T.first_non_empty(at("$.payload.project"), T.json_first_field(v, "project")))
-    active = F.when(F.col("tool") == "claude", T.active_type(T.json_first_field(v, "type"))).otherwise(F.lit(True))
-    stored = F.when(F.col("tool") == "claude", T.trusted_project(T.project_of_storage("path"))).otherwise("")
+    """What one line of a transcript says: time, id, project names by source, roles, whether it is an event; and ``more`` columns.
+
+    A line without a valid time says nothing. Nested fields are those of the first object of their parent's name, at any depth; lines of
+    claude have theirs below ``message``, the fields beside it going first, and say nothing of roles; the others below ``payload``, which goes first.
+    """
+    claude = F.col("tool") == "claude"
+    objects = {f"in_{p}": F.when(claude if p == "message" else ~claude, T.json_object("value", p)) for p in ("message", "payload", "thread_spawn", "subagent")}
+    lines = lines.withColumns(objects)
+    own, of = lambda key: T.json_first_field("value", key), lambda parent, key: T.json_first_field(F.col(f"in_{parent}"), key)
+    time = T.observed_time(own("timestamp"))
+    by_tool = lambda one, other: F.when(time.isNotNull(), F.nullif(F.when(claude, one).otherwise(other), F.lit("")))
+    beside = lambda key: by_tool(T.first_non_empty(own(key), of("message", key)), T.first_non_empty(of("payload", key), own(key)))
+    role = lambda key: by_tool(F.lit(""), T.first_non_empty(of("payload", key), own(key)))
+    active = F.when(claude, T.active_type(own("type"))).otherwise(F.lit(True))
+    parents = T.first_non_empty(of("thread_spawn", "parent_thread_id"), of("subagent", "parent_thread_id"), of("payload", "parent_thread_id"), own("parent_thread_id"))
+    spawned = F.when(F.col("value").contains("thread_spawn"), T.first_non_empty(own("parent_thread_id"), parents)).otherwise(parents)
+    ids = T.first_non_empty(of("payload", "id"), of("payload", "session_id"), of("payload", "sessionId"), own("session_id"), own("sessionId"))
     blank = lambda c: F.nullif(c, F.lit(""))
     return lines.select(
         "path", "tool", "line_no", F.unix_micros(time).alias("ts_us"), (time.isNotNull() & active).alias("is_event"),
-        blank(T.first_non_empty(at("$.payload.id"), T.json_first_field(v, "sessionId"), T.json_first_field(v, "session_id"))).alias("session_id"),
-        blank(named).alias("named"), blank(cwd).alias("cwd"), blank(stored).alias("stored"),
-        blank(T.role_source(T.first_non_empty(at("$.payload.thread_source"), T.json_first_field(v, "thread_source")))).alias("thread_source"),
-        blank(T.first_non_empty(*[at(p) for p in PARENTS], T.json_first_field(v, "parent_thread_id"))).alias("parent_thread_id"),
-        blank(T.first_non_empty(at("$.payload.agent_role"), T.json_first_field(v, "agent_role"))).alias("agent_role"),
-        blank(T.first_non_empty(at("$.payload.agent_nickname"), T.json_first_field(v, "agent_nickname"))).alias("agent_nickname"), *more,
+        by_tool(T.first_non_empty(own("sessionId"), own("session_id")), ids).alias("session_id"),
+        blank(T.trusted_project(beside("project"))).alias("named"), blank(T.path_project(beside("cwd"))["name"]).alias("cwd"),
+        by_tool(T.trusted_project(T.project_of_storage("path")), F.lit("")).alias("stored"),
+        blank(T.role_source(role("thread_source"))).alias("thread_source"), by_tool(F.lit(""), spawned).alias("parent_thread_id"),
+        role("agent_role").alias("agent_role"), role("agent_nickname").alias("agent_nickname"), *more,
     )
 
 
+def named_by_file(session_id: str = "session_id"):
+    """The session id that lines gave, else the one that the file's name gives."""
+    return F.coalesce(session_id, T.fallback_id(F.col("tool"), F.col("path")))
+
+
 def fold_traces(lines: DataFrame) -> DataFrame:
     """One trace per path.
 
-    Ids, roles and names are those of the last line that has one; the project is
+    Ids, roles and names are those of the last line that has one, an id else that of the file's name; the project is
     the last one of the strongest source seen; the first role evidence names its
     source; independently_run is false once any line speaks for a parent. Paths without events are left out.
     """
@@ -65,7 +67,7 @@ def fold_traces(lines: DataFrame) -> DataFrame:
             F.min(F.when(F.col("is_event"), F.col("ts_us"))).alias("first_us"), F.max(F.when(F.col("is_event"), F.col("ts_us"))).alias("last_us"),
         )
         .where("events > 0")
-        .withColumn("project", F.col("best.name")).withColumn("project_source", F.col("best.source")).drop("best")
+        .withColumn("session_id", named_by_file()).withColumn("project", F.col("best.name")).withColumn("project_source", F.col("best.source")).drop("best")
     )
 
 

@@ -273,14 +273,15 @@ LINES = """lines AS (SELECT session_id, event_id, ts_us, octet_length(encode('{"
   || CASE WHEN event_id % 25 = 4 THEN ',"parent_thread_id":"u' || event_id % 6 || '"' ELSE '' END || '}')) + 1 AS bytes FROM ev)"""
 SQL["transcript_tails"] = f""", {LINES}, placed AS (SELECT *, sum(bytes) OVER (PARTITION BY session_id ORDER BY event_id DESC) AS from_end, sum(bytes) OVER (PARTITION BY session_id) AS size FROM lines)
 SELECT session_id AS session, any_value(size)::BIGINT AS size, coalesce(arg_max(ts_us, event_id) FILTER (event_id % 9 <> 0 AND (size <= 2048 OR from_end < 2048)) >= {NOW} - 6 * {HOUR}, true) AS may_hold FROM placed GROUP BY session_id"""
-SQL["trace_fold"] = """SELECT path, tool, arg_max(sid, event_id) AS session_id, arg_max(src, event_id) AS thread_source, arg_max(parent, event_id) AS parent_thread_id,
+SQL["trace_fold"] = """SELECT path, tool, coalesce(arg_max(sid, event_id), any_value(session_id)) AS session_id, arg_max(src, event_id) AS thread_source, arg_max(parent, event_id) AS parent_thread_id,
     arg_min(CASE WHEN src IS NOT NULL THEN 'thread_source' WHEN parent IS NOT NULL THEN 'parent_thread_id' END, event_id) AS role_hint_source,
     bool_and(coalesce(src, '') <> 'subagent' AND parent IS NULL) AS independently_run, count(DISTINCT seen_us) AS events, min(seen_us) AS first_us, max(seen_us) AS last_us,
     coalesce(arg_max(named, event_id), arg_max(cwd, event_id), arg_max(stored, event_id)) AS project,
     CASE WHEN count(named) > 0 THEN 'transcript_project' WHEN count(cwd) > 0 THEN 'transcript_cwd' WHEN count(stored) > 0 THEN 'transcript_path' END AS project_source
-    FROM (SELECT path, tool, event_id, CASE WHEN event_id % 9 > 0 THEN ts_us END AS seen_us, CASE WHEN event_id % 3 = 0 THEN session_id END AS sid,
-        CASE WHEN event_id % 20 = 3 THEN 'user' WHEN event_id % 10 = 3 THEN 'subagent' END AS src, CASE WHEN event_id % 25 = 4 THEN 'u' || event_id % 6 END AS parent,
-        CASE WHEN event_id % 7 = 2 THEN 'q' || event_id % 3 END AS named, CASE WHEN event_id % 4 = 1 THEN 'w' || event_id % 5 END AS cwd, CASE WHEN tool = 'claude' THEN 'p' || user_id % 7 END AS stored FROM ev)
+    FROM (SELECT path, tool, event_id, session_id, ts_us AS seen_us, CASE WHEN event_id % 3 = 0 THEN session_id END AS sid,
+        CASE WHEN tool = 'claude' THEN NULL WHEN event_id % 20 = 3 THEN 'user' WHEN event_id % 10 = 3 THEN 'subagent' END AS src, CASE WHEN tool <> 'claude' AND event_id % 25 = 4 THEN 'u' || event_id % 6 END AS parent,
+        CASE WHEN event_id % 7 = 2 THEN 'q' || event_id % 3 END AS named, CASE WHEN event_id % 4 = 1 THEN 'w' || event_id % 5 END AS cwd,
+        CASE WHEN tool = 'claude' THEN 'p' || user_id % 7 END AS stored FROM ev WHERE event_id % 9 > 0)
     GROUP BY path, tool HAVING count(seen_us) > 0"""
 SIGNALS = (
     ("top_project_share", "top_project <> ''", "top_project", "CASE WHEN active_projects > 1 THEN active_projects - 1 WHEN recent_projects > 1 THEN recent_projects - 1 WHEN projects > 1 THEN projects - 1 ELSE 0 END", "NULL", "top_share_pct"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sessionloom.operators.traces import line_facts
+from sessionloom.operators.traces import line_facts, named_by_file
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -83,7 +83,8 @@ def trace_updates(lines: DataFrame) -> DataFrame:
     hint = F.when(F.col("thread_source").isNotNull(), "thread_source").when(F.col("parent_thread_id").isNotNull(), "parent_thread_id")
     alone = F.coalesce((F.coalesce("thread_source", F.lit("")) != "subagent") & F.col("parent_thread_id").isNull(), F.lit(True))
     facts = facts.withColumns({"hint": hint, "independent": alone, "is_event": F.coalesce("is_event", F.lit(False))})
-    return facts.groupBy("path", "tool").transformWithStateInPandas(TraceState(), TRACE, "Update", "None")
+    found = facts.groupBy("path", "tool").transformWithStateInPandas(TraceState(), TRACE, "Update", "None")
+    return found.withColumn("session_id", F.when(F.col("events") > 0, named_by_file()))
 
 
 def traces_by_state(lines: DataFrame, root: str) -> DataFrame:

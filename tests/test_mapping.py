@@ -65,12 +65,22 @@ def test_host_ancestors_end_at_cycles(spark):
 
 
 def test_last_project_of_strongest_source(spark):
-    lines = ['{"timestamp":"2026-06-28T12:00:00Z","project":"first","sessionId":"a"}', '{"timestamp":"2026-06-28T12:01:00Z","cwd":"/w/dir"}', '{"timestamp":"2026-06-28T12:01:00Z","project":"second"}', '{"parent_thread_id":"p","x":1}', "not json"]
+    lines = ['{"timestamp":"2026-06-28T12:00:00Z","project":"first","sessionId":"a"}', '{"timestamp":"2026-06-28T12:01:00Z","cwd":"/w/dir"}', '{"timestamp":"2026-06-28T12:01:00Z","project":"second"}', '{"timestamp":"2026-06-28T12:01:00Z","payload":{"source":{"thread_spawn":{"parent_thread_id":"p"}}},"x":1}', '{"parent_thread_id":"of no time","project":"third","thread_source":"user"}', "not json"]
     rows = spark.createDataFrame([("/w/.codex/sessions/a.jsonl", "codex", i, v) for i, v in enumerate(lines)], "path string, tool string, line_no long, value string")
     r = traces.fold_traces(rows).first()
     assert (r.project, r.project_source, r.events, r.session_id, r.parent_thread_id, r.independently_run) == ("second", "transcript_project", 2, "a", "p", False)
 
 
+def test_what_lines_of_each_tool_say(spark):
+    stamp = '"timestamp":"2026-06-28T12:00:00Z"'
+    lines = ["{%s,\"type\":\"user\",\"message\":{\"cwd\":\"/srv/inner\",\"project\":\"m\"},\"thread_source\":\"subagent\",\"parent_thread_id\":\"p\"}" % stamp, "{%s,\"x\":{\"payload\":{\"s\":\"}\",\"deep\":{\"sessionId\":\"inner\"}}},\"session_id\":\"outer\"}" % stamp]
+    rows = [("/srv/x/.claude/projects/-a-b/own.jsonl", "claude", 0, lines[0]), ("/srv/x/.codex/sessions/a.jsonl", "codex", 0, lines[1]), ("/srv/x/.codex/sessions/named.jsonl", "codex", 0, "{%s}" % stamp), ("/srv/x/.codex/sessions/b.jsonl", "codex", 0, "{}")]
+    found = {r.path.rpartition("/")[2]: r for r in traces.fold_traces(spark.createDataFrame(rows, "path string, tool string, line_no long, value string")).collect()}
+    own = found["own.jsonl"]  # claude's lines say nothing of roles
+    assert (own.session_id, own.project, own.project_source, own.thread_source, own.parent_thread_id, own.independently_run) == ("own", "m", "transcript_project", None, None, True)
+    assert found["a.jsonl"].session_id == "inner" and found["named.jsonl"].session_id == "named" and set(found) == {"own.jsonl", "a.jsonl", "named.jsonl"}
+
+
 def test_history_counts_broken_and_old_lines(spark):
     at = lambda d: f'{{"at":"2026-{d}T12:00:00Z","current":{{"pid_concurrency":4}},"projects":[{{"project":"a","attention_share_pct":60.0}}]}}'
     lines = [at("06-27"), at("06-27"), at("05-01"), "{", '{"at":"yesterday"}', "", at("06-26") + " x"]
