@@ -26,7 +26,7 @@ GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Bytes of a longer word's opening that are a term too.
 OPENING = 5
 #: Share of the examples from which a term counts as common: there, adding up dense blocks costs as much as postings do.
-COMMON = 1 / 20
+COMMON = 1 / 16
 #: Examples in a block of the index.
 BLOCK = 128
 #: Terms that no example holds share so many buckets.
@@ -34,7 +34,7 @@ OTHERS = 1 << 20
 #: What single precision may be off in a cosine.
 ROOM = 1e-4
 #: Texts that are searched for at once.
-BATCH = 128
+BATCH = 256
 
 
 def text_terms(column: pa.Array):
@@ -211,8 +211,9 @@ class BlockMaxIndex:
                 kth = np.maximum(np.partition(blocks[np.arange(n)[:, None], first].reshape(n, -1), -k, axis=1)[:, -k], 0)
             open_ = (bound >= kth[:, None] - ROOM) & ~done
         query = np.zeros(len(self.place))
+        least = np.maximum(kth - ROOM, np.finfo(np.float32).tiny).astype(np.float32)
         for i in range(n):
-            found = np.flatnonzero((scores[i] >= kth[i] - ROOM) & (scores[i] > 0))
+            found = np.flatnonzero(scores[i] >= least[i])
             if len(found) > k:  # as the k-th best of the first blocks is a low bound
                 own = scores[i, found]
                 found = found[own >= np.partition(own, -k)[-k] - ROOM]
