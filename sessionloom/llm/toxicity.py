@@ -310,12 +310,13 @@ def alike_together(held: list[bytes], idf: np.ndarray, size: int, groups: int =
 class Examples:
     """The labelled vectors, packed as they are sent to the workers; each makes its indexes once."""
 
-    def __init__(self, held: list[bytes], terms: Terms, idf: np.ndarray, telling: np.ndarray, toxic: np.ndarray, order: np.ndarray):
-        self.order = order
-        self.held, self.terms, self.idf, self.telling, self.toxic, self.made = held, terms, idf, telling, toxic, None
+    def __init__(self, held: list[bytes], frequency: np.ndarray, idf: np.ndarray, telling: np.ndarray, toxic: np.ndarray, order: np.ndarray):
+        """``frequency`` has in how many of the examples each of their terms stands."""
+        self.order, self.frequency = order, frequency
+        self.held, self.idf, self.telling, self.toxic, self.made = held, idf, telling, toxic, None
 
     def index(self, which: np.ndarray | None) -> BlockMaxIndex:
-        frequency = np.zeros(self.terms.size, np.int64)
+        frequency = self.frequency if which is None else np.where(which[: len(self.frequency)], self.frequency, 0)
 
         def parts():
             for at in range(0, len(self.held), 512):
@@ -324,8 +325,6 @@ class Examples:
                     sizes, terms, counts = only(which, sizes, terms, counts)
                 yield at, sizes, terms, unit_vectors(sizes, terms, counts, self.idf)
 
-        for _, _, terms, _ in parts():
-            frequency += np.bincount(terms, minlength=len(frequency))
         return BlockMaxIndex(len(self.held), frequency, parts(), self.order)
 
     def search(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -411,7 +410,9 @@ def score_toxicity(
     held = sample.column("held").to_pylist()
     together = alike_together(held, idf, terms.size)
     ids, toxic = ids[together], toxic[together]
-    examples = spark.sparkContext.broadcast(Examples([held[i] for i in together], terms, idf, telling, toxic, np.argsort(np.argsort(ids))))
+    in_examples = np.zeros(terms.size, np.int64)
+    in_examples[terms.numbers(hashes)] = in_toxic + in_other
+    examples = spark.sparkContext.broadcast(Examples([held[i] for i in together], in_examples, idf, telling, toxic, np.argsort(np.argsort(ids))))
 
     def leave_out(batches):
         for batch in batches:
