@@ -157,7 +157,7 @@ def scan_stats(s, d):
 def transcript_tails(s, d):
     files = appended.listing(s, A.transcript_files(s, d), "*.txt")
     held = appended.may_hold_events_after(files, A.NOW_US - 6 * 3_600_000_000, tail_bytes=2048)
-    return held.select(F.regexp_extract("path", "session=([^/]+)/", 1).alias("session"), "size", "may_hold")
+    return held.select(F.regexp_extract("path", "session=([^/]+)[.]txt$", 1).alias("session"), "size", "may_hold")
 
 
 @query
@@ -170,7 +170,7 @@ def _streamed_lines(s, d):
     """The files' lines as they are found, each with the path and tool that its session has."""
     lines = appended.appended_lines(s, A.transcript_files(s, d), "*.txt", piece=1 << 20)
     files = A.trace_events(s, d).select(F.col("session_id").alias("session"), "path", "tool").distinct()
-    found = lines.select(F.regexp_extract("path", "session=([^/]+)/", 1).alias("session"), F.col("at").alias("line_no"), "fresh", "value")
+    found = lines.select(F.regexp_extract("path", "session=([^/]+)[.]txt$", 1).alias("session"), F.col("at").alias("line_no"), "fresh", "value")
     return found.join(files, "session").drop("session")
 
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from sessionloom.landing import land, new_root  # noqa: F401
 from sessionloom.operators.intervals import us
+from sessionloom.sources.appended import write_files
 
 #: The clock of all queries over ``events``, and the idle gap and least interval that suit its spacing.
 NOW = "2024-01-30 22:00:00"
 NOW_US = 1_706_652_000_000_000
 GAP_S, MIN_S = 7200, 900
+#: Folders over which transcript files are dealt.
+FOLDERS = 512
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,10 +84,11 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transcript_files(spark: SparkSession, folder: str) -> str:
-    """A root below which each session's log lines are a text file, in folders ``session=<id>``."""
+    """A root below which each session's log lines are a text file ``session=<id>.txt``, in a fixed number of folders, as files of a tool are by project or day."""
     root = new_root(spark, "transcripts")
-    lines = log_lines(spark, folder).select(F.regexp_extract("path", "(u[0-9]+)\\.jsonl$", 1).alias("session"), "line_no", "value")
-    lines.repartition("session").sortWithinPartitions("session", "line_no").select("session", "value").write.partitionBy("session").text(root)
+    lines = log_lines(spark, folder).withColumn("session", F.regexp_extract("path", "(u[0-9]+)\\.jsonl$", 1))
+    file = F.format_string("%03d/session=%s.txt", F.pmod(F.xxhash64("session"), F.lit(FOLDERS)), "session")
+    write_files(lines.repartition("session").sortWithinPartitions("session", "line_no").select(file.alias("file"), "value"), root)
     return root
 
 

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import fnmatch
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -23,6 +26,8 @@ PROOF = 64
 #: Directory of lane files, which are never read on from a position (fixed value).
 LANES = "/.codexl/"
 TAIL_BYTES = 256 * 1024
+#: Files whose ends are looked at at once.
+LOOKERS = 8
 
 
 def opened(uri: str):
@@ -68,6 +73,52 @@ def packed(rows, names: list[str], kinds: list[pa.DataType], size: int = 10_000)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
 
+def write_files(lines: DataFrame, root: str) -> None:
+    """Text files below ``root`` from lines (file, value), those of a file one after the other in one partition; ``file`` is a path below the root.
+
+    A file appears under its name when it is whole, so a task may run again.
+    Spark's writers give each value of a column a folder of its own, and one after the other of them is moved by the driver.
+    """
+
+    def write(batches):
+        system, base = opened(root)
+        own, folders, name, out = f"{TaskContext.get().taskAttemptId()}", set(), None, None
+
+        def part(name: str) -> str:
+            folder, _, last = f"{base}/{name}".rpartition("/")
+            if folder not in folders:
+                system.create_dir(folder, recursive=True)
+                folders.add(folder)
+            return f"{folder}/.{last}.{own}"
+
+        def close() -> None:
+            out.close()
+            try:
+                system.move(part(name), f"{base}/{name}")
+            except OSError:  # where a move replaces nothing, an attempt before this one has written the same
+                if not system.get_file_info(f"{base}/{name}").is_file:
+                    raise
+                system.delete_file(part(name))
+
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column(0))
+            at = 0
+            for file, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if file != name:
+                    if out:
+                        close()
+                    name, out = file, system.open_output_stream(part(file))
+                out.write("".join(f"{line or ''}\n" for line in batch.column(1).slice(at, end - at).to_pylist()).encode())
+                at = end
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([len(folders)])], ["folders"])
+
+    system, base = opened(root)
+    system.create_dir(base, recursive=True)
+    lines.select("file", "value").mapInArrow(write, "folders long").write.format("noop").mode("overwrite").save()
+
+
 @dataclass
 class Ranges(InputPartition):
     """(uri, from, to, end of the file's range, whether the first line is cut off, whether the file is read anew) of some files."""
@@ -90,18 +141,25 @@ class AppendedReader(DataSourceStreamReader):
 
         system, base = opened(self.root)
         scheme = self.root[: self.root.index(base)] if base in self.root else ""
-        seen = {}
+        seen, changed = {}, []
         for info in system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)):
-            if info.type == fs.FileType.File and fnmatch.fnmatchcase(info.base_name, self.glob):
-                uri, size, changed = scheme + info.path, info.size, info.mtime_ns
+            path = info.path
+            if info.type == fs.FileType.File and fnmatch.fnmatchcase(path.rpartition("/")[2], self.glob):
+                uri, now = scheme + path, [info.size, info.mtime_ns]
                 old = self.known.get(uri)
-                seen[uri] = old if old and old[:2] == [size, changed] else [size, changed, self.proof(uri, size)[0]]
+                if old and old[:2] == now:
+                    seen[uri] = old
+                else:
+                    changed.append((uri, path, now))
+        slices = [changed[i : i + 1000] for i in range(0, len(changed), 1000)]
+        with ThreadPoolExecutor(LOOKERS) as pool:  # most of it is waiting, where files are not local
+            for some, crcs in zip(slices, pool.map(lambda some: [self.proof(system, path, now[0])[0] for _, path, now in some], slices), strict=True):
+                seen |= {uri: [*now, crc] for (uri, _, now), crc in zip(some, crcs, strict=True)}
         self.known = seen
         return seen
 
-    def proof(self, uri: str, size: int) -> tuple[int, bool]:
+    def proof(self, system, path: str, size: int) -> tuple[int, bool]:
         """Checksum of the bytes before a position, and whether the last of them ends a line."""
-        system, path = opened(uri)
         with system.open_input_file(path) as file:
             low = max(0, size - PROOF)
             file.seek(low)
@@ -112,7 +170,7 @@ class AppendedReader(DataSourceStreamReader):
         """Whether what follows the old end can be read alone: the file grew, its old end is unchanged and ended a line, and it is no lane file."""
         if not old or not old[0] or new[0] <= old[0] or LANES in uri:
             return False
-        return self.proof(uri, old[0]) == (old[2], True)
+        return self.proof(*opened(uri), old[0]) == (old[2], True)
 
     def partitions(self, start: dict, end: dict) -> list[Ranges]:
         out, held, size = [], [], 0
@@ -171,9 +229,15 @@ def appended_lines(spark: SparkSession, root: str, glob: str = "*.jsonl", piece:
     return spark.readStream.format("appended_lines").option("glob", glob).option("piece", piece).load(root)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for rows that are short and cost much, which adaptive execution would give to one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def listing(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
     """Files below ``root`` (path, size, mtime) by their metadata alone: no content is read. Spark lists no empty files; they hold no events."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    files = files.coalesce(tasks(spark))  # Spark plans a task for every 32 files, as if each were 4 MB long
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
@@ -193,7 +257,7 @@ def tail_lines(files: DataFrame, tail_bytes: int = TAIL_BYTES) -> DataFrame:
         for batch in batches:
             yield from packed(rows(batch), ["path", "at", "value"], [pa.string(), pa.int64(), pa.string()])
 
-    return files.where("size > 0").select("path", "size").repartition("path").mapInArrow(tails, "path string, at long, value string")
+    return files.where("size > 0").select("path", "size").repartition(tasks(files.sparkSession), "path").mapInArrow(tails, "path string, at long, value string")
 
 
 def may_hold_events_after(files: DataFrame, cutoff_us: int | None, tail_bytes: int = TAIL_BYTES) -> DataFrame:
