@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
 
+#: Fields that a line has anywhere, and those of its objects.
+OWN = ("type", "timestamp", "sessionId", "session_id", "project", "cwd", "thread_source", "parent_thread_id", "agent_role", "agent_nickname")
+NESTED = {
+    "message": ("project", "cwd"),
+    "payload": ("id", "session_id", "sessionId", "project", "cwd", "thread_source", "parent_thread_id", "agent_role", "agent_nickname"),
+    "thread_spawn": ("parent_thread_id",),
+    "subagent": ("parent_thread_id",),
+}
+
+
 def line_facts(lines: DataFrame, *more) -> DataFrame:
     """What one line of a transcript says: time, id, project names by source, roles, whether it is an event; and ``more`` columns.
 
@@ -15,9 +25,11 @@ def line_facts(lines: DataFrame, *more) -> DataFrame:
     """
     claude = F.col("tool") == "claude"
     objects = {f"in_{p}": F.when(claude if p == "message" else ~claude, T.json_object("value", p)) for p in ("message", "payload", "thread_spawn", "subagent")}
-    lines = lines.withColumns(objects)
-    own, of = lambda key: T.json_first_field("value", key), lambda parent, key: T.json_first_field(F.col(f"in_{parent}"), key)
-    time = T.observed_time(own("timestamp"))
+    own, of = lambda key: F.col(f"own_{key}"), lambda parent, key: F.col(f"{parent}_{key}")
+    # a field is a column before it is used: inside of conditions each use would search the line again
+    lines = lines.withColumns(objects | {f"own_{key}": T.json_first_field("value", key) for key in OWN})
+    lines = lines.withColumns({"time": T.observed_time(own("timestamp"))} | {f"{parent}_{key}": T.json_first_field(f"in_{parent}", key) for parent, keys in NESTED.items() for key in keys})
+    time = F.col("time")
     by_tool = lambda one, other: F.when(time.isNotNull(), F.nullif(F.when(claude, one).otherwise(other), F.lit("")))
     beside = lambda key: by_tool(T.first_non_empty(own(key), of("message", key)), T.first_non_empty(of("payload", key), own(key)))
     role = lambda key: by_tool(F.lit(""), T.first_non_empty(of("payload", key), own(key)))
@@ -26,12 +38,15 @@ def line_facts(lines: DataFrame, *more) -> DataFrame:
     spawned = F.when(F.col("value").contains("thread_spawn"), T.first_non_empty(own("parent_thread_id"), parents)).otherwise(parents)
     ids = T.first_non_empty(of("payload", "id"), of("payload", "session_id"), of("payload", "sessionId"), own("session_id"), own("sessionId"))
     blank = lambda c: F.nullif(c, F.lit(""))
+    storage = F.when(claude & time.isNotNull(), T.project_of_storage("path"))
+    lines = lines.withColumns({"said_project": beside("project"), "said_cwd": beside("cwd"), "said_thread_source": role("thread_source"), "storage": storage})
+    lines = lines.withColumn("cwd_name", F.when(F.col("said_cwd").isNotNull(), T.path_project("said_cwd")["name"]))
     return lines.select(
         "path", "tool", "line_no", F.unix_micros(time).alias("ts_us"), (time.isNotNull() & active).alias("is_event"),
         by_tool(T.first_non_empty(own("sessionId"), own("session_id")), ids).alias("session_id"),
-        blank(T.trusted_project(beside("project"))).alias("named"), blank(T.path_project(beside("cwd"))["name"]).alias("cwd"),
-        by_tool(T.trusted_project(T.project_of_storage("path")), F.lit("")).alias("stored"),
-        blank(T.role_source(role("thread_source"))).alias("thread_source"), by_tool(F.lit(""), spawned).alias("parent_thread_id"),
+        blank(T.trusted_project("said_project")).alias("named"), blank("cwd_name").alias("cwd"),
+        blank(T.trusted_project("storage")).alias("stored"),
+        blank(T.role_source("said_thread_source")).alias("thread_source"), by_tool(F.lit(""), spawned).alias("parent_thread_id"),
         role("agent_role").alias("agent_role"), role("agent_nickname").alias("agent_nickname"), *more,
     )
 

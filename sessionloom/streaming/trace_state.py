@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,12 +22,44 @@ STATE = ", ".join(f"{c}_line long, {c} string" for c in LAST) + ", rank int, nam
 EMPTY = (*[None] * (2 * len(LAST)), 0, -1, None, None, None, None, True, 0, None, None)
 
 
-def last_of(rows: pd.DataFrame, column: str) -> tuple[int, str] | None:
-    held = rows[rows[column].notna()]
-    if held.empty:
-        return None
-    line = held["line_no"].idxmax()
-    return int(held.at[line, "line_no"]), held.at[line, column]
+NAME, HINT, ALONE = 2 * len(LAST), 2 * len(LAST) + 4, 2 * len(LAST) + 6
+TOLD = STATE[: STATE.index(", events long")]  # what lines say besides their times
+TraceRow = Row(*[c.split()[0] for c in TRACE.split(", ")])
+
+
+def merge(state: list, told) -> None:
+    """What some lines say, into the state: the later line's facts, the strongest and then latest name, the earliest hint."""
+    for i in range(0, NAME, 2):
+        if told[i] is not None and (state[i] is None or told[i] >= state[i]):
+            state[i : i + 2] = told[i : i + 2]
+    if told[NAME] and (told[NAME], told[NAME + 1]) >= (state[NAME], state[NAME + 1]):
+        state[NAME:HINT] = told[NAME:HINT]
+    if told[HINT] is not None and (state[HINT] is None or told[HINT] < state[HINT]):
+        state[HINT:ALONE] = told[HINT:ALONE]
+    state[ALONE] = state[ALONE] and told[ALONE]
+
+
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each batch folded to a row a path, so that state is read and written with few rows."""
+    for batch in batches:
+        held: dict[tuple, tuple[list, set]] = {}
+        for path, tool, fresh, line, said, event_us, *last, named, cwd, stored, hint, alone in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            state, times = held.setdefault((path, tool, fresh), (list(EMPTY[: ALONE + 1]), set()))
+            if not said:
+                continue
+            if event_us is not None:
+                times.add(event_us)
+            told = [x for value in last for x in (None if value is None else line, value)]
+            name = next(((rank, line, name, source) for name, (_, rank, source) in zip((named, cwd, stored), NAMES, strict=True) if name is not None), EMPTY[NAME:HINT])
+            merge(state, [*told, *name, None if hint is None else line, hint, alone])
+        rows = [(*key, *state, sorted(times)) for key, (state, times) in held.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), FOLDED_KINDS, strict=True)], FOLDED_NAMES)
+
+
+FOLDED = f"path string, tool string, fresh boolean, {TOLD}, times array<long>"
+KINDS = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+FOLDED_NAMES, FOLDED_KINDS = [c.split()[0] for c in FOLDED.split(", ")], [KINDS[c.split()[1]] for c in FOLDED.split(", ")]
 
 
 class TraceState(StatefulProcessor):
@@ -37,38 +69,26 @@ class TraceState(StatefulProcessor):
         self.trace = handle.getValueState("trace", STATE)
         self.times = handle.getListState("times", "ts_us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        facts = pd.concat(list(rows), ignore_index=True)
-        if facts["fresh"].any():  # the file is read anew: what was known of it goes
-            facts = facts[facts["fresh"]].reset_index(drop=True)
-            self.trace.clear()
-            self.times.clear()
-        said = facts[facts["said"]].reset_index(drop=True)
-        state = list(self.trace.get() or EMPTY)
-        for i, column in enumerate(LAST):
-            found = last_of(said, column)
-            if found and (state[2 * i] is None or found[0] >= state[2 * i]):
-                state[2 * i : 2 * i + 2] = found
-        at = 2 * len(LAST)
-        for column, rank, source in NAMES:
-            found = last_of(said, column)
-            if found and (rank, found[0]) >= (state[at], state[at + 1]):
-                state[at : at + 4] = [rank, *found, source]
-        hinted = said[said["hint"].notna()]
-        if not hinted.empty:
-            line = hinted["line_no"].idxmin()
-            if state[at + 4] is None or hinted.at[line, "line_no"] < state[at + 4]:
-                state[at + 4 : at + 6] = [int(hinted.at[line, "line_no"]), hinted.at[line, "hint"]]
-        state[at + 6] = bool(state[at + 6] and said["independent"].all())
-        times = {int(t) for t in said.loc[said["is_event"], "ts_us"]}
-        if times and state[at + 9] is not None and min(times) <= state[at + 9]:  # only then may a time be known already
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.trace.get()
+        state, times, anew = list(known or EMPTY), set(), False
+        for _, _, fresh, *told, new in rows:
+            if fresh and not anew:  # the file is read anew: what was known of it goes
+                state, times, anew = list(EMPTY), set(), True
+            if fresh == anew:
+                merge(state, told)
+                times.update(new)
+        if anew:
+            if known:  # each call of the state costs as much as folding many lines
+                self.times.clear()
+        elif times and state[-1] is not None and min(times) <= state[-1]:  # only then may a time be known already
             times -= {t for (t,) in self.times.get()}
         if times:
             self.times.appendList([(t,) for t in sorted(times)])
-            state[at + 7 :] = [state[at + 7] + len(times), min(times | {state[at + 8]} - {None}), max(times | {state[at + 9]} - {None})]
+            state[-3:] = [state[-3] + len(times), min(times | {state[-2]} - {None}), max(times | {state[-1]} - {None})]
         self.trace.update(tuple(state))
         own = [state[2 * i + 1] for i in range(len(LAST))]
-        yield pd.DataFrame([[key[0], key[1], *own, state[at + 5], *state[at + 6 :], state[at + 2], state[at + 3]]], columns=[c.split()[0] for c in TRACE.split(", ")])
+        yield TraceRow(key[0], key[1], *own, state[HINT + 1], *state[ALONE:], state[NAME + 2], state[NAME + 3])
 
 
 def trace_updates(lines: DataFrame) -> DataFrame:
@@ -82,8 +102,10 @@ def trace_updates(lines: DataFrame) -> DataFrame:
     facts = line_facts(lines.withColumn("fresh", fresh), "fresh", F.col("value").isNotNull().alias("said"))
     hint = F.when(F.col("thread_source").isNotNull(), "thread_source").when(F.col("parent_thread_id").isNotNull(), "parent_thread_id")
     alone = F.coalesce((F.coalesce("thread_source", F.lit("")) != "subagent") & F.col("parent_thread_id").isNull(), F.lit(True))
-    facts = facts.withColumns({"hint": hint, "independent": alone, "is_event": F.coalesce("is_event", F.lit(False))})
-    found = facts.groupBy("path", "tool").transformWithStateInPandas(TraceState(), TRACE, "Update", "None")
+    facts = facts.withColumns({"hint": hint, "independent": alone})
+    facts = facts.select("path", "tool", "fresh", "line_no", "said", F.when(F.col("is_event"), F.col("ts_us")).alias("event_us"), *LAST, "named", "cwd", "stored", "hint", "independent")
+    facts = facts.mapInArrow(folded, FOLDED)
+    found = facts.groupBy("path", "tool").transformWithState(TraceState(), TRACE, "Update", "None")
     return found.withColumn("session_id", F.when(F.col("events") > 0, named_by_file()))
 
 

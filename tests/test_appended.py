@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,33 @@ def random_lines(rng, paths=4, n=150):
 KIND = "path string, tool string, line_no long, value string"
 
 
+def test_files_share_folders_and_appear_whole(spark, tmp_path):
+    rows = [(f"{i % 3}/f{i}.txt", n, f"{i} {n} \u00e9") for i in range(40) for n in range(i * i)] + [("0/long.txt", n, "x" * 9) for n in range(25_000)]
+    lines = spark.createDataFrame(rows, "file string, n int, value string").repartition("file").sortWithinPartitions("file", "n")
+    for _ in range(2):  # as a task that runs again does
+        appended.write_files(lines, f"file://{tmp_path}/w")
+    assert sorted(os.listdir(tmp_path / "w")) == ["0", "1", "2"]
+    want = {}
+    for file, _, value in rows:
+        want[file] = want.get(file, "") + value + "\n"
+    found = {os.path.relpath(f"{d}/{n}", tmp_path / "w"): open(f"{d}/{n}").read() for d, _, names in os.walk(tmp_path / "w") for n in names if not n.endswith(".crc")}
+    assert found == want
+    listed = appended.listing(spark, f"file://{tmp_path}/w", "*.txt")
+    assert listed.count() == len(want) and listed.rdd.getNumPartitions() <= appended.tasks(spark)
+    assert appended.tail_lines(listed).rdd.getNumPartitions() == appended.tasks(spark)  # not all in one task
+    appended.write_files(lines.where("false"), f"file://{tmp_path}/none")
+    assert appended.listing(spark, f"file://{tmp_path}/none", "*.txt").count() == 0
+
+
+def test_state_is_given_a_row_a_path():
+    names = ["path", "tool", "fresh", "line_no", "said", "event_us", *trace_state.LAST, "named", "cwd", "stored", "hint", "independent"]
+    rows = [("/a", "codex", False, n, True, n // 2, f"s{n}", None, None, None, None, None, f"c{n}" if n % 2 else None, None, None, True) for n in range(1000)]
+    (batch,) = trace_state.folded(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)]))
+    (row,) = batch.to_pylist()
+    assert (row["session_id_line"], row["session_id"], row["name_line"], row["name"], row["source"]) == (999, "s999", 999, "c999", "transcript_cwd")
+    assert row["times"] == list(range(500)) and row["independently_run"] and row["hint"] is None
+
+
 def test_state_gives_what_folding_gives(spark, tmp_path):
     spark.conf.set(trace_state.STORE, trace_state.ROCKS)
     rng = random.Random(11)
