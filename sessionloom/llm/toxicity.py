@@ -33,6 +33,8 @@ BLOCK = 128
 OTHERS = 1 << 20
 #: What single precision may be off in a cosine.
 ROOM = 1e-4
+#: Examples whose cosines are computed at once.
+ROWS = 128
 #: Texts that are searched for at once.
 BATCH = 256
 
@@ -142,7 +144,7 @@ class BlockMaxIndex:
         self.begin = np.concatenate([[0], np.cumsum(own)])
         self.postings = np.zeros((self.begin[-1], 2), np.int32)  # example, and its weight's bits: both come with one read
         weight_of = self.postings[:, 1].view(np.float32)
-        self.table = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.table = np.zeros((self.blocks, BLOCK, len(common)), np.float32)
         filled = self.begin[:-1].copy()
         self.starts = np.zeros(size + 1, np.int64)
         self.terms, self.exact = np.zeros(int(frequency.sum()), np.int32), np.zeros(int(frequency.sum()))
@@ -155,14 +157,25 @@ class BlockMaxIndex:
             row, terms, weights = row[order], terms[order], weights[order]
             rare = self.place[terms] < 0
             at = row[~rare]
-            self.table[at // BLOCK, self.place[terms[~rare]], at % BLOCK] = weights[~rare]
+            self.table[at // BLOCK, at % BLOCK, self.place[terms[~rare]]] = weights[~rare]
             row, terms, weights = row[rare], terms[rare], weights[rare]
             group = np.flatnonzero(np.diff(terms, prepend=-1))
             many = np.diff(np.append(group, len(terms)))
             where = filled[terms] + np.arange(len(terms)) - np.repeat(group, many)
             self.postings[where, 0], weight_of[where] = row, weights
             filled[terms[group]] += many
-        self.most = self.table.max(2).T if self.blocks else np.zeros((len(common), 0))
+        self.most = self.table.max(1).T if self.blocks else np.zeros((len(common), 0))
+
+    def cosines(self, found: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """In double precision, of examples that hold some term with a query whose weights stand at its terms' numbers."""
+        out = np.zeros(len(found))
+        for at in range(0, len(found), ROWS):
+            begin, end = self.starts[found[at : at + ROWS]], self.starts[found[at : at + ROWS] + 1]
+            rows = list(zip(begin.tolist(), end.tolist(), strict=True))
+            own = query.take(np.concatenate([self.terms[x:y] for x, y in rows]))
+            own *= np.concatenate([self.exact[x:y] for x, y in rows])
+            out[at : at + ROWS] = np.add.reduceat(own, np.cumsum(end - begin) - (end - begin))
+        return out
 
     def nearest(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
         """For each query the ``k`` examples of largest cosine, ties to the earlier one, and the share of blocks that were scored; places with cosine 0 are empty.
@@ -181,7 +194,7 @@ class BlockMaxIndex:
         queries = np.zeros((n, len(self.most)), np.float32)
         queries[owner[place >= 0], place[place >= 0]] = weights[place >= 0]
         rare = place < 0
-        owner, terms, weights = owner[rare], terms[rare], weights[rare]
+        owner, terms, weights = owner[rare], terms[rare], weights[rare].astype(np.float32)
         ends = np.searchsorted(owner, np.arange(n + 1))
         scores = np.zeros((n, width), np.float32)
         begin, end = self.begin[terms], self.begin[terms + 1]
@@ -191,13 +204,14 @@ class BlockMaxIndex:
             a, b = ends[i], ends[i + 1]
             if a < b:
                 flat = np.concatenate([both[x:y] for x, y in zip(begin[a:b], end[a:b], strict=True)])
-                own = flat.view(np.float32)[1::2] * np.repeat(weights[a:b].astype(np.float32), size[a:b])
-                scores[i] = np.bincount(flat.view(np.int32)[::2], own, width)
+                own = flat.view(np.float32)[1::2] * np.repeat(weights[a:b], size[a:b])
+                np.add.at(scores[i], flat.view(np.int32)[::2].astype(np.intp), own)
         if without is not None:
             scores[np.arange(n), without] = -np.inf
         blocks = scores.reshape(n, self.blocks, BLOCK)
         bound = blocks.max(2) + queries @ self.most
-        first = np.argpartition(-bound, min(3, self.blocks - 1), axis=1)[:, :4]
+        some = min(4 + self.blocks // 16, self.blocks)
+        first = np.argpartition(-bound, some - 1, axis=1)[:, :some]
         open_ = np.zeros((n, self.blocks), bool)  # first the blocks that promise most, then what they leave
         np.put_along_axis(open_, first, True, 1)
         kth = np.zeros(n)
@@ -205,7 +219,7 @@ class BlockMaxIndex:
         for _ in range(2):
             for b in np.flatnonzero(open_.any(0)):
                 asked = np.flatnonzero(open_[:, b])
-                blocks[asked, b] += queries[asked] @ self.table[b]
+                blocks[asked, b] += queries[asked] @ self.table[b].T
             done |= open_
             if not kth.any() and first.shape[1] * BLOCK >= k:  # the k-th best of those blocks is no more than the k-th best of all
                 kth = np.maximum(np.partition(blocks[np.arange(n)[:, None], first].reshape(n, -1), -k, axis=1)[:, -k], 0)
@@ -221,8 +235,7 @@ class BlockMaxIndex:
                 continue
             at = slice(whole[0][i], whole[0][i + 1])
             query[whole[1][at]] = whole[2][at]
-            rows = zip(self.starts[found].tolist(), self.starts[found + 1].tolist(), strict=True)
-            cosine = np.array([self.exact[x:y] @ query[self.terms[x:y]] for x, y in rows])
+            cosine = self.cosines(found, query)
             query[whole[1][at]] = 0
             top = np.lexsort((self.order[found], -np.round(cosine, 12)))[:k]
             ids[i, : len(top)], best[i, : len(top)] = found[top], cosine[top]

@@ -233,6 +233,33 @@ def test_block_max_search_is_exact(monkeypatch):
     assert np.allclose(cosines, -np.sort(-(grouped @ grouped.T), axis=1)[:, :5]) and scored <= 0.5
 
 
+def test_block_max_search_finds_its_bar_behind_empty_promises(monkeypatch):
+    """Blocks that promise most hold one common term an example; those after them hold the near ones, which spare all others."""
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "ROWS", 5)
+    rng = np.random.default_rng(6)
+    dense = np.zeros((64 * 16, 16))
+    dense[:64] = np.tile(np.eye(16), (4, 1))
+    dense[64:128] = 1 + 0.1 * rng.random((64, 16))
+    dense[128:, :8] = 1 + 0.1 * rng.random((56 * 16, 8))
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    at, terms = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(len(dense), np.bincount(terms), [(0, np.bincount(at), terms, dense[at, terms])])
+    query = np.full(16, 0.25)
+    ids, cosines, scored = index.nearest(np.array([16]), np.arange(16), query, 15)
+    assert np.allclose(cosines[0], -np.sort(-(dense @ query))[:15]) and set(ids[0]) <= set(range(64, 128)) and scored <= 8 / 64
+
+
+def test_equal_examples_are_compared_together(monkeypatch):
+    """Thousands of ties go to the earlier ones, and their cosines aren't taken one by one."""
+    n, gathered = 3000, []
+    index = toxicity.BlockMaxIndex(n, np.array([n, n]), [(0, np.full(n, 2), np.tile([0, 1], n), np.tile([0.6, 0.8], n))], np.arange(n)[::-1])
+    reduceat = np.add.reduceat
+    monkeypatch.setattr(toxicity.np, "add", type("Add", (), {"at": np.add.at, "reduceat": staticmethod(lambda *a: gathered.append(1) or reduceat(*a))}))
+    ids, cosines, _ = index.nearest(np.array([2]), np.array([0, 1]), np.array([0.6, 0.8]), 4)
+    assert ids.tolist() == [[n - 1, n - 2, n - 3, n - 4]] and np.allclose(cosines, 1) and len(gathered) == -(-n // toxicity.ROWS)
+
+
 def test_quality(spark):
     docs, labels = corpus(spark)
     scored = quality.score_quality(docs, labels, fit_rows=300)
