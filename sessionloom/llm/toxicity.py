@@ -10,8 +10,6 @@ more often than chance allows, and the count of these.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +31,8 @@ BLOCK = 128
 OTHERS = 1 << 20
 #: What single precision may be off in a cosine.
 ROOM = 1e-4
+#: Compression of packed vectors.
+CODEC = "zstd"
 #: Examples whose cosines are computed at once.
 ROWS = 128
 #: Texts that are searched for at once.
@@ -281,21 +281,36 @@ def only(which: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.nda
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes)), terms[some], counts[some]
 
 
-def packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rising terms by their differences, and counts, as planes of bytes: a fraction of the lists' size."""
-    both = np.concatenate([np.diff(terms, prepend=0), counts]).astype("<i4")
-    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def packed(sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Of each vector its size, and its rising terms by their differences, and counts, as planes of bytes: a fraction of the lists' size."""
+    codec, ends, out = pa.Codec(CODEC), np.cumsum(sizes), []
+    steps = np.diff(terms, prepend=0)
+    first = (ends - sizes)[sizes > 0]
+    steps[first] = terms[first]
+    planes = [(x >> shift).astype(np.uint8).tobytes() for x in (steps, counts) for shift in (0, 8, 16, 24)]
+    at = 0
+    for end in ends.tolist():
+        row = b"".join([plane[at:end] for plane in planes])
+        out.append((end - at).to_bytes(4, "little") + codec.compress(row, asbytes=True) if row else b"")
+        at = end
+    return out
 
 
 def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sizes, terms and counts of vectors, one after the other."""
-    sizes, terms, counts = np.zeros(len(rows), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, row in enumerate(rows):
-        both = np.ascontiguousarray(np.frombuffer(zlib.decompress(row), np.uint8).reshape(4, -1).T).view("<i4")[:, 0]
-        sizes[i] = n = len(both) // 2
-        terms.append(np.cumsum(both[:n], dtype=np.int64))
-        counts.append(both[n:].astype(np.int64))
-    return sizes, np.concatenate(terms), np.concatenate(counts)
+    codec, many = pa.Codec(CODEC), [int.from_bytes(row[:4], "little") for row in rows]
+    held = [codec.decompress(row[4:], 8 * n, asbytes=True) if n else b"" for row, n in zip(rows, many, strict=True)]
+
+    def values(first: int) -> np.ndarray:
+        out = np.zeros(sum(many), np.int64)
+        for k in range(4):
+            plane = np.frombuffer(b"".join([row[(first + k) * n : (first + k + 1) * n] for row, n in zip(held, many, strict=True)]), np.uint8)
+            if plane.any():
+                out += plane.astype(np.int64) << (8 * k)
+        return out
+
+    sizes, sums = np.array(many, np.int64), np.append(0, np.cumsum(values(0)))
+    return sizes, sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes), values(4)
 
 
 def alike_together(held: list[bytes], idf: np.ndarray, size: int, groups: int = 24, rounds: int = 6) -> np.ndarray:
@@ -397,9 +412,7 @@ def score_toxicity(
     def pack(batches):
         for batch in batches:
             for at, to, sizes, found, n in shared.value.vectors(batch.column(1)):
-                cuts = np.cumsum(sizes)[:-1]
-                held = [packed(t, c) for t, c in zip(np.split(found, cuts), np.split(n, cuts), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(held, pa.binary())], ["doc_id", "held"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(packed(sizes, found, n), pa.binary())], ["doc_id", "held"])
 
     # a text's vector is a fraction of it: texts are cut into terms once, for the frequencies and for the search
     vectors = materialize(read.mapInArrow(pack, "doc_id long, held binary"), "vectors")

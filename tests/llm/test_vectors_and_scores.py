@@ -260,6 +260,20 @@ def test_equal_examples_are_compared_together(monkeypatch):
     assert ids.tolist() == [[n - 1, n - 2, n - 3, n - 4]] and np.allclose(cosines, 1) and len(gathered) == -(-n // toxicity.ROWS)
 
 
+def test_vectors_are_packed_many_at_once():
+    """Runs with empty vectors, large steps and large counts come back whole, in any cut of the rows."""
+    rng = np.random.default_rng(7)
+    sizes = np.array([0, 5, 1, 0, 0, 300, 2, 0])
+    terms = np.concatenate([np.sort(rng.choice(1 << 30, n, replace=False)) for n in sizes])
+    counts = np.where(rng.random(len(terms)) < 0.9, 1, rng.integers(1, 1 << 30, len(terms)))
+    rows = toxicity.packed(sizes, terms, counts)
+    assert len(rows) == len(sizes)
+    for at, to in ((0, 8), (0, 1), (1, 6), (3, 5), (8, 8)):
+        begin, end = sizes[:at].sum(), sizes[:to].sum()
+        for found, want in zip(toxicity.unpacked(rows[at:to]), (sizes[at:to], terms[begin:end], counts[begin:end]), strict=True):
+            assert found.dtype == np.int64 and np.array_equal(found, want)
+
+
 def test_quality(spark):
     docs, labels = corpus(spark)
     scored = quality.score_quality(docs, labels, fit_rows=300)
