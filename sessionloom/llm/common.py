@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch of whole texts.
+BATCH_BYTES = 4 << 20
 #: Folder used where spark.checkpoint.dir is unset, as in tests.
 _own_folder: list[str] = []
 
@@ -45,6 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark send rows to Python in Arrow batches of about BATCH_BYTES, unless the session sets a bound of its own.
+
+    By default a batch is 10,000 rows or 64 MB, which for whole texts is a task's entire share
+    of the input, held by the JVM while it is written and by the worker that reads it.
+    Rows are never cut: one longer than the bound is a batch by itself.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id as long and text, the only columns that most operators read."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

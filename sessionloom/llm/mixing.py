@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,8 +129,11 @@ def decided(rows: DataFrame, narrow: DataFrame, cycle: tuple[float, ...], most:
     sizes = [r["size"] for r in found]
     total, targets = sum(sizes), target_words(sizes, cycle, most)
     cell = max(1, total // max(512, total // cell_words))
-    sources = [(r.known, r.name, s, t, -(-s // cell) or 1) for r, s, t in zip(found, sizes, targets, strict=True)]
-    sources = spark.createDataFrame(sources, "known boolean, name string, source_size long, target double, shards long")
+    # Arrow tables, as lists of tuples start Python workers of another kind on every executor
+    known, name = pa.array([r.known for r in found], pa.bool_()), pa.array([r.name for r in found], pa.string())
+    shards_of = pa.array([-(-s // cell) or 1 for s in sizes], pa.int64())
+    columns = {"known": known, "name": name, "source_size": pa.array(sizes, pa.int64()), "target": pa.array(targets, pa.float64()), "shards": shards_of}
+    sources = spark.createDataFrame(pa.table(columns))
     shard = (F.col("hash") % F.col("shards")).alias("shard")
     in_source = lambda x: joined(x, sources, ["known", "name"], len(found), F.col("hash"))
     # equal rows are one unit of the seeded order, counted on the map side
@@ -138,7 +142,7 @@ def decided(rows: DataFrame, narrow: DataFrame, cycle: tuple[float, ...], most:
     cells = materialize(units.groupBy("known", "name", "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("cell_size")), "cells")
     block = min(1024, max(1, total // blocks))
     seats = sainte_lague(targets, round(total / block), [-(-most * x // block) for x in sizes])
-    quotas = spark.createDataFrame([(r.known, r.name, int(q)) for r, q in zip(found, seats, strict=True)], "known boolean, name string, quota long")
+    quotas = spark.createDataFrame(pa.table({"known": known, "name": name, "quota": pa.array(seats, pa.int64())}))
     words = F.least(F.col("seats") * block, F.col("cell_size") * most)
     plan = shard_seats(cells, quotas, len(found), block, most)
     plan = plan.select("known", "name", "shard", F.floor(words / F.col("cell_size")).cast("long").alias("passes"), (words % F.col("cell_size")).alias("rest"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import shingles
-from sessionloom.llm.common import connected_components, drop_tables, id_and_text, materialize
+from sessionloom.llm.common import bound_batches, connected_components, drop_tables, id_and_text, materialize
 
 SKETCH = "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
@@ -113,6 +113,7 @@ def near_groups(docs: DataFrame, percent: int = 75, size: int = 5, bands: int =
     several groups. Rows alike in doc_id and text get the same answer.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     sketched = materialize(sketches(docs, bands, rows, size), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     equal = ["fp1", "fp2", "n_shingles"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import id_and_text, materialize
+from sessionloom.llm.common import bound_batches, id_and_text, materialize
 from sessionloom.llm.tokens import rank_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -48,6 +48,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(columns if keep_ids else columns[:5], names if keep_ids else names[:5])
 
+    bound_batches(docs.sparkSession)
     return id_and_text(docs).mapInArrow(pieces, PIECES + (", ids binary" if keep_ids else ""))
 
 

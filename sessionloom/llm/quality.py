@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import shingles
-from sessionloom.llm.common import drop_tables, free_names, materialize
+from sessionloom.llm.common import bound_batches, drop_tables, free_names, materialize
 from sessionloom.llm.toxicity import logistic
 
 #: ASCII marks whose share of a text is a feature each.
@@ -207,6 +207,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, ro
     scores are ties and stay so. With labels of one class or none every score is
     that class's, or 1. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     new = free_names(["quality_score", "text_score", "metadata_score"], docs.columns)
     read = docs.select("doc_id", "text", "source", "lang")
     ids = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))

@@ -18,8 +18,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes of text that are hashed at once.
-CHUNK = 2_000_000
+#: The number that a byte counts as in a word's hash.
+VALUE = LOWER.astype(U) + U(1)
+#: Bytes of text that are hashed at once; each takes several arrays of 8 bytes meanwhile.
+CHUNK = 500_000
 
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
@@ -35,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(max(n, CHUNK), base, U)
+            steps = np.full(-(-(n - 1) // CHUNK) * CHUNK + 1, base, U)
             steps[0] = 1
             _powers[k] = np.cumprod(steps, dtype=U)
     return _powers
@@ -59,7 +61,9 @@ def words(data: np.ndarray, starts: np.ndarray, gap: np.ndarray = BLANK, opening
     last[inner - 1] = full[inner - 1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last)
     power, inverse = powers(len(data) + 1)
-    sums = np.cumsum((LOWER[data].astype(U) + U(1)) * power[: len(data)], dtype=U)
+    sums = VALUE[data]
+    sums *= power[: len(data)]
+    np.cumsum(sums, out=sums)
     before = np.where(begin > 0, sums[begin - 1], U(0))
     hashes = mix((sums[end] - before) * inverse[begin] + (end - begin).astype(U) * ODD[2])
     owner = np.searchsorted(starts, begin, side="right") - 1
@@ -132,8 +136,8 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     return out
 
 
-def text_chunks(column: pa.Array):
-    """(rows from, to, bytes, starts) of a string column, in runs of about CHUNK bytes; nulls count as empty."""
+def text_chunks(column: pa.Array, size: int = CHUNK):
+    """(rows from, to, bytes, starts) of a string column, in runs of about ``size`` bytes; nulls count as empty."""
     column = column.fill_null("") if column.null_count else column
     column = column.cast(pa.large_string())
     _, offsets, values = column.buffers()
@@ -141,7 +145,7 @@ def text_chunks(column: pa.Array):
     data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at:to] - offsets[at]
         at = to
 

@@ -37,11 +37,13 @@ CODEC = "zstd"
 ROWS = 128
 #: Texts that are searched for at once.
 BATCH = 256
+#: Bytes of text that are cut into terms at once.
+CHUNK = 2_000_000
 
 
 def text_terms(column: pa.Array):
     """(rows from, to, text number, hash, count) of the distinct terms of runs of whole texts, by text and hash."""
-    for at, to, data, starts in shingles.text_chunks(column):
+    for at, to, data, starts in shingles.text_chunks(column, CHUNK):
         text, hashes = shingles.words(data, starts, GAP, OPENING)
         order = np.lexsort((hashes, text))
         text, hashes = text[order], hashes[order]
@@ -114,7 +116,7 @@ class Terms:
 
     def vectors(self, column: pa.Array):
         """(rows from, to, sizes, terms, counts) of runs of texts; terms rise within a text, each once."""
-        for at, to, data, starts in shingles.text_chunks(column):
+        for at, to, data, starts in shingles.text_chunks(column, CHUNK):
             text, hashes = shingles.words(data, starts, GAP, OPENING)
             key = text * (self.size + OTHERS) + self.numbers(hashes)
             key.sort()
